@@ -10,8 +10,9 @@ exceeds a margin in single words, by the number of words and as a logarithm, so
 them, fitted on texts that the counts did not come from, gives the score.
 
 Training uses a bounded sample of the labelled rows: the first `max_toxic` and `max_ordinary` ids of
-each class by hash. The counts are made by Spark over that sample; the broadcast model holds the
-words and bigrams that were seen at least twice in it, so its size is bounded with the sample.
+each class by hash. The counts are made by Spark over that sample; the broadcast model holds
+only words, beginnings and bigrams that are more frequent in it than the discount, so its size is
+bounded with the sample.
 
 Defined results: a null text is the empty text; empty texts get the score of no evidence; null or
 repeated ids are scored row by row; labels with null id or value are ignored, a document with
@@ -151,15 +152,18 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held_
     return rows.select("doc_id", "text", "part"), share[0] / share[1] if min(sizes.get(0, 0), sizes.get(1, 0)) else 0.0
 
 
-def _blend(kt, ko, back_t, back_o):
-    """Interpolated probabilities of both classes from their counts; the backoff weight is that of both together."""
-    total_t, total_o = max(kt.sum(), 1), max(ko.sum(), 1)
-    weight = (np.minimum(kt, DISCOUNT).sum() + np.minimum(ko, DISCOUNT).sum()) / (total_t + total_o)
+def _blend(kt, ko, totals, which, back_t, back_o):
+    """Interpolated probabilities of both classes from their counts; the backoff weight is that of both together.
+
+    totals: sums of all counts of the level, and of what the discount takes off them.
+    """
+    total_t, total_o = max(totals[f"t{which}"], 1), max(totals[f"o{which}"], 1)
+    weight = (totals[f"low_t{which}"] + totals[f"low_o{which}"]) / (total_t + total_o)
     return np.maximum(kt - DISCOUNT, 0) / total_t + weight * back_t, np.maximum(ko - DISCOUNT, 0) / total_o + weight * back_o
 
 
-def build(words: pd.DataFrame, stems: pd.DataFrame, pairs: pd.DataFrame, which: str) -> Model:
-    """The model from the counts of fold 0, fold 1 or both ('0', '1', 'all')."""
+def build(words: pd.DataFrame, stems: pd.DataFrame, pairs: pd.DataFrame, totals: dict[int, dict[str, float]], which: str) -> Model:
+    """The model from the counts of fold 0, fold 1 or both ('0', '1', 'all'). totals: by number of letters, 0 for words."""
     t, o = f"t{which}", f"o{which}"
     # Stems, from the fewest letters to the most.
     prob: dict[str, tuple[float, float]] = {}
@@ -179,7 +183,7 @@ def build(words: pd.DataFrame, stems: pd.DataFrame, pairs: pd.DataFrame, which:
             parent_total[_parent(k, n)] += x
         within = pooled / np.array([parent_total[_parent(k, n)] for k in keys])
         back_t, back_o = (np.array([p[i] for p in parents]) * within for i in (0, 1))
-        pt, po = _blend(kt, ko, back_t, back_o)
+        pt, po = _blend(kt, ko, totals[n], which, back_t, back_o)
         diff = np.log(pt) - np.log(po)
         for k, a, b, d in zip(keys, pt.tolist(), po.tolist(), diff.tolist(), strict=True):
             prob[k], llr[k] = (a, b), d
@@ -195,11 +199,9 @@ def build(words: pd.DataFrame, stems: pd.DataFrame, pairs: pd.DataFrame, which:
     # A word without a known stem gets its share of all words.
     within = pooled / np.array([stem_total[s] if s else max(pooled.sum(), 1) for s, _ in parents])
     back_t, back_o = (np.array([p[i] for _, p in parents]) * within for i in (0, 1))
-    word_t, word_o = _blend(kt, ko, back_t, back_o)
+    word_t, word_o = _blend(kt, ko, totals[0], which, back_t, back_o)
     index = {w: k for k, w in enumerate(names)}
     word_llr = np.log(word_t) - np.log(word_o)
-    # Bigrams that were seen at least twice.
-    pairs = pairs[(pairs[t] + pairs[o]) > 1]
     v, w = (pairs[c].map(index) for c in ("v", "w"))
     known = (v.notna() & w.notna()).to_numpy()
     pairs, v, w = pairs[known], v[known].to_numpy(np.int64), w[known].to_numpy(np.int64)
@@ -237,12 +239,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     before = pairs.groupBy("v").agg(*(F.sum(n).alias(f"n{n}") for n in sums), *(F.count_if(F.col(f"t{f}") + F.col(f"o{f}") > 0).alias(f"d{f}") for f in ("0", "1", "all"))).withColumnRenamed("v", "prior")
     vocabulary = cut(after)
     prefix = F.explode(F.array(*(F.struct(F.lit(n).alias("letters"), F.when(F.length("word") >= n, F.substring("word", 1, n)).otherwise(F.concat("word", F.lit("$"))).alias("stem")) for n in STEMS)))
-    stems = vocabulary.select(prefix.alias("p"), *(F.col(f"k{n}").alias(n) for n in sums)).groupBy("p.letters", "p.stem").agg(*(is_there(n).alias(n) for n in sums)).where("tall + oall >= 2")
-    words = vocabulary.where("ktall + koall >= 2").join(before, F.col("word") == F.col("prior"), "left").drop("prior").na.fill(0)
-    words, stems, often = words.toPandas(), stems.toPandas(), pairs.where("tall + oall >= 2").toPandas()
+    stems = cut(vocabulary.select(prefix.alias("p"), *(F.col(f"k{n}").alias(n) for n in sums)).groupBy("p.letters", "p.stem").agg(*(is_there(n).alias(n) for n in sums)))
+    # What the discount takes off altogether in both classes has the difference of its backoff, so it need not be kept.
+    often = lambda least, t, o: F.greatest(t, o) > least
+    low = lambda n, c: F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"low_{n}")
+    totals = {r["letters"]: r.asDict() for r in stems.groupBy("letters").agg(*(F.sum(n).alias(n) for n in sums), *(low(n, n) for n in sums)).collect()}
+    totals[0] = vocabulary.agg(*(F.sum(f"k{n}").alias(n) for n in sums), *(low(n, f"k{n}") for n in sums)).first().asDict()
+    words = vocabulary.where(often(DISCOUNT, "ktall", "koall")).join(before, F.col("word") == F.col("prior"), "left").drop("prior").na.fill(0).toPandas()
+    stems, pairs = stems.where(often(DISCOUNT, "tall", "oall")).toPandas(), pairs.where(often(PAIR_DISCOUNT, "tall", "oall")).toPandas()
     words, stems = words.sort_values("word", ignore_index=True), stems.sort_values(["letters", "stem"], ignore_index=True)
     # Each half of the sample is scored with the counts of the other half, and the curve is fitted to that.
-    halves = docs.sparkSession.sparkContext.broadcast([build(words, stems, often, "1"), build(words, stems, often, "0")])
+    halves = docs.sparkSession.sparkContext.broadcast([build(words, stems, pairs, totals, "1"), build(words, stems, pairs, totals, "0")])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -250,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pd.DataFrame(x, columns=["mean", "strong", "weight"]).assign(toxic=pdf["part"] // 2)
 
     seen = rows.mapInPandas(features, "mean double, strong double, weight double, toxic int").toPandas()
-    model = build(words, stems, often, "all")
+    model = build(words, stems, pairs, totals, "all")
     model.curve = logistic(np.array([design(*x) for x in seen[["mean", "strong", "weight"]].to_numpy()]), seen["toxic"].to_numpy(float), np.where(seen["toxic"] == 1, 1.0, ratio))
     return model
 
