@@ -52,10 +52,15 @@ def _history(e: Encoding) -> tuple[Column, Column]:
     return F.sum(value).cast("double").alias("s"), F.count(value).alias("n")
 
 
-def forward_encode(train: DataFrame, e: Encoding, block: Column | None = None) -> DataFrame:
-    """train with the encoding added. Rows are first summed by group and block, so the windows run over these sums only."""
-    df = train.withColumn("__block", week_block(F.col("day")) if block is None else block)
-    cells = df.groupBy(F.col(e.group).alias("__group"), F.col("__block").alias("__at")).agg(*_history(e))
+def forward_encode(train: DataFrame, e: Encoding, block: Column | None = None, source: DataFrame | None = None) -> DataFrame:
+    """train with the encoding added. Rows are first summed by group and block, so the windows run over these sums only.
+
+    source: the same rows by a shorter plan, such as a written table, for the sums; several encodings
+    in a row then make a plan that grows by one join each.
+    """
+    at = week_block(F.col("day")) if block is None else block
+    df = train.withColumn("__block", at)
+    cells = (train if source is None else source).withColumn("__block", at).groupBy(F.col(e.group).alias("__group"), F.col("__block").alias("__at")).agg(*_history(e))
     before = Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     by_group = cells.where("__group is not null").select("__group", "__at", F.try_divide(F.sum("s").over(before), F.sum("n").over(before)).alias("__mean"))
     # A row for each block: there are as many as weeks.

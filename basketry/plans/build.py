@@ -44,15 +44,19 @@ def apply(df: DataFrame, a: Artefacts) -> DataFrame:
 
 
 def conditional(df: DataFrame, config: Config) -> DataFrame:
-    """History over all splits, then means and forward encodings that are learnt from training rows only."""
-    df = history.cumulative(df, first_day=config.train_days[0])
+    """History over all splits, then means and forward encodings that are learnt from training rows only.
+
+    df is read from a written table: all statistics are aggregates of that table, so each step adds
+    one join to the plan.
+    """
     train = df.where("split = 'train'")
+    df = history.cumulative(df, first_day=config.train_days[0])
     for column, name in (("group12", "group12_order"), ("group34", "group34_order"), ("week_block", "week_order")):
         df = features.target_encode(df, train, column, "order", name)
     later = df.where("split <> 'train'")
     own = df.where("split = 'train'")
     for e in history.ENCODINGS:
-        own = history.forward_encode(own, e)
+        own = history.forward_encode(own, e, source=train)
         known = train if e.history is None else train.where(e.history)
         later = features.target_encode(later, known, e.group, e.target, e.name, F.lit(e.cold_start))
     return own.unionByName(later)
@@ -78,12 +82,12 @@ def run(fact: DataFrame, dim: DataFrame, folder: str, mode: str = "safe_only", c
     began, spark = time.time(), fact.sparkSession
     if mode not in ("safe_only", "safe_plus_conditional"):
         raise ValueError(f"unknown mode {mode!r}")
-    first = base(fact, dim, config)
+    # What later stages aggregate again is a written table. The last is partitioned by split: every matrix, sample and audit reads only its columns and split.
+    featured = f"{folder}/featured"
+    first = spark.read.parquet(sinks.save_parquet(base(fact, dim, config), f"{folder}/staging/base.parquet"))
     df = apply(first, fit(first, config))
     if mode == "safe_plus_conditional":
-        df = conditional(df, config)
-    # Written once, partitioned by split; every matrix, sample and audit reads only its columns and split.
-    featured = f"{folder}/featured"
+        df = conditional(spark.read.parquet(sinks.save_parquet(df, f"{folder}/staging/safe.parquet")), config)
     df.write.mode("overwrite").partitionBy("split").parquet(featured)
     df = spark.read.parquet(featured)
     audit.assert_clean(df, audit.preprocessing_checks(), "cleaning")
