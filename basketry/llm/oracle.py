@@ -9,11 +9,11 @@ from basketry.llm.queries import LIST_ENTRIES
 def _url_filter() -> str:
     rows = ", ".join(f"('{k}', '{v}', TIMESTAMP '{d} 00:00:00', '{a}')" for k, v, d, a in LIST_ENTRIES)
     return f"""
-WITH entries(kind, key, at, action) AS (VALUES {rows}),
-e AS (SELECT kind, key, at, bool_and(action = 'add') AS on_list FROM entries GROUP BY ALL),
-f AS (SELECT *, lag(on_list) OVER (PARTITION BY kind, key ORDER BY at) AS was FROM e),
-g AS (SELECT kind, key, at, on_list, lead(at) OVER (PARTITION BY kind, key ORDER BY at) AS until FROM f WHERE was IS NULL OR was <> on_list),
-spans AS (SELECT kind, key, at AS valid_from, until AS valid_to FROM g WHERE on_list),
+WITH entries(kind, key, listed, action) AS (VALUES {rows}),
+e AS (SELECT kind, key, listed, bool_and(action = 'add') AS on_list FROM entries GROUP BY ALL),
+f AS (SELECT *, lag(on_list) OVER (PARTITION BY kind, key ORDER BY listed) AS was FROM e),
+g AS (SELECT kind, key, listed, on_list, lead(listed) OVER (PARTITION BY kind, key ORDER BY listed) AS until FROM f WHERE was IS NULL OR was <> on_list),
+spans AS (SELECT kind, key, listed AS valid_from, until AS valid_to FROM g WHERE on_list),
 c AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id % 91 AS INTEGER)) AS fetched_at,
     regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS host,
