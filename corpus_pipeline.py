@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from basketry.llm import packing, quality, secret_scan, simhash, toxicity
 from basketry.llm.common import fresh_path, table
