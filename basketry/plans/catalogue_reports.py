@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.operators import audit, clean, decide, features, metrics, rollup, sampling, screening, segment
+from basketry.operators import audit, clean, decide, metrics, rollup, sampling, screening, segment
 from basketry.plans.frames import featured, grid, predicted, prepared, scored, train_of
 from basketry.plans.registry import query
-from basketry.schema import FEATURE_SETS, feature_set
+from basketry.schema import FEATURE_SETS
 from basketry.sources import adapter
 
 C = F.col
@@ -357,17 +357,9 @@ def ablation_decision(spark, sf):
     return decide.ablation_decision(grid(spark, sf).select(name.alias("variant"), F.round(C("f1") - 0.4, 6).alias("delta_test"), F.round("mcc", 6).alias("delta_validation")))
 
 
-@query("prep", f"""SELECT CASE WHEN group12 IS NULL THEN NULL ELSE group12 END AS value, 'C_' || category_norm AS category_norm, price, "order" FROM (SELECT * FROM prep WHERE split = 'test') WHERE {"true"}""")
+@query("prep", """SELECT group12 AS value, 'C_' || category_norm AS category_norm, price, "order" FROM prep WHERE split = 'test'""")
 def export_frame(spark, sf):
     from basketry.sources.sinks import export_frame as export
 
     df = prepared(spark, sf).where("split = 'test'").withColumn("value", C("group12"))
     return export(df, ["value", "category_norm", "price"], "order")
-
-
-def build_matrices(spark, sf, name: str = "cls_base_safe"):
-    """The columns of a feature set, with the fitted ones added."""
-    df = featured(spark, sf)
-    train = train_of(df)
-    df = features.frequency_encode(df, train, "manufacturer", "manufacturer_freq")
-    return df.select(*feature_set(name))

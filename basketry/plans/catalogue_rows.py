@@ -190,10 +190,6 @@ def qcut_edges(spark, sf):
     return e.select(F.lit("price_diff").alias("feature"), F.explode("price_diff_edges").alias("edge")).unionByName(e.select(F.lit("price_discount").alias("feature"), F.explode("price_discount_edges").alias("edge")))
 
 
-def _binned(column: str, missing: str) -> str:
-    return f"CASE WHEN {column} IS NULL OR len(e.{column}) < 2 THEN '{missing}' ELSE 'Q' || lpad(CAST(len(list_filter(e.{column}[2:-2], lambda x: x < f.{column})) + 1 AS VARCHAR), 2, '0') END"
-
-
 @query("feat", f"""WITH e AS (SELECT list_sort({_EDGES.format(c="price_diff")}) AS price_diff, list_sort({_EDGES.format(c="price_discount")}) AS price_discount FROM feat WHERE split = 'train')
 SELECT "lineID", CASE WHEN f.price_diff IS NULL THEN 'NO_COMPETITOR_PRICE' ELSE 'Q' || lpad(CAST(len(list_filter(e.price_diff[2:-2], lambda x: x < f.price_diff)) + 1 AS VARCHAR), 2, '0') END AS price_diff_bin,
   CASE WHEN f.price_discount IS NULL THEN 'NO_RRP' ELSE 'Q' || lpad(CAST(len(list_filter(e.price_discount[2:-2], lambda x: x < f.price_discount)) + 1 AS VARCHAR), 2, '0') END AS discount_bin FROM feat f, e WHERE split IS NOT NULL""")
