@@ -158,12 +158,13 @@ def test_toxicity_without_labels(spark, docs):
 
 def test_pseudonyms(spark, empty):
     text = "card 4539578763621486 date 2020-02-29, 03/04/1999 or 05.06.2001 ip 10.2.3.4 ssn 123-45-6789 tel +1 (017) 555-7713 mail a.b@c.example.com number 4539578763621487 bad 300.1.1.1 year 2024"
-    rows = spark.createDataFrame([(1, text), (2, f"again {text}"), (3, None), (4, ""), (5, "plain text, 42 words")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, text), (2, f"again {text}"), (3, None), (4, ""), (5, "plain text, 42 words"), (6, "x été.34@mail7.example.com y")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.pseudonymise(rows, "k").collect()}
     assert [got[1][f"n_{k}"] for k in pii.KINDS] == [1, 1, 3, 1, 1, 1, 1]
     assert got[2]["text"] == f"again {got[1]['text']}"  # equal values stay linked
     assert (got[3]["text"], got[4]["text"], got[5]["text"]) == (None, "", "plain text, 42 words")
     assert re.fullmatch(r"card \d{16} date \d{4}-\d\d-\d\d, \d\d/\d\d/\d{4} or \d\d\.\d\d\.\d{4} ip \d+\.\d+\.\d+\.\d+ ssn \d{3}-\d\d-\d{4} tel \+1 \(\d{3}\) \d{3}-\d{4} mail u[0-9a-f]{12}@mail\.invalid number \d{16} bad 300\.1\.1\.1 year 2024", got[1]["text"])
+    assert re.fullmatch(r"x u[0-9a-f]{12}@mail\.invalid y", got[6]["text"])
     digits = [int(d) for d in re.search(r"card (\d+)", got[1]["text"])[1]]
     assert sum(digits[-1::-2]) + sum(d * 2 - 9 * (d > 4) for d in digits[-2::-2]) and (sum(digits[-1::-2]) + sum(d * 2 - 9 * (d > 4) for d in digits[-2::-2])) % 10 == 0
     for value in ("4539578763621486", "2020-02-29", "10.2.3.4", "123-45-6789", "555-7713", "a.b@c"):
