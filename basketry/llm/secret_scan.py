@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import fresh_path, text_or_empty
+from basketry.llm.common import cut, fresh_path, text_or_empty
 
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER_SCHEMA = f"blob string, rules array<string>, findings {FINDINGS}"
@@ -130,7 +130,8 @@ class BlobLedger:
         found = blobs.select("blob", "text", "due").mapInArrow(_scanner(rules), LEDGER_SCHEMA)
         found.write.mode("append").parquet(self.path)
         self.new = False
-        return self.findings(rules)
+        # Written, so that the join back has plain exchanges on both sides and Spark can split a blob that many paths hold.
+        return cut(self.findings(rules))
 
     def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
         """(blob, findings) with the findings of these rules by start, then rule order."""
