@@ -240,13 +240,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     vocabulary = cut(after)
     prefix = F.explode(F.array(*(F.struct(F.lit(n).alias("letters"), F.when(F.length("word") >= n, F.substring("word", 1, n)).otherwise(F.concat("word", F.lit("$"))).alias("stem")) for n in STEMS)))
     stems = cut(vocabulary.select(prefix.alias("p"), *(F.col(f"k{n}").alias(n) for n in sums)).groupBy("p.letters", "p.stem").agg(*(is_there(n).alias(n) for n in sums)))
-    # What the discount takes off altogether in both classes has the difference of its backoff, so it need not be kept.
+    # What the discount takes off altogether in both classes has the difference of its backoff, so it need not be kept for itself.
     often = lambda least, t, o: F.greatest(t, o) > least
     low = lambda n, c: F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"low_{n}")
     totals = {r["letters"]: r.asDict() for r in stems.groupBy("letters").agg(*(F.sum(n).alias(n) for n in sums), *(low(n, n) for n in sums)).collect()}
     totals[0] = vocabulary.agg(*(F.sum(f"k{n}").alias(n) for n in sums), *(low(n, f"k{n}") for n in sums)).first().asDict()
-    words = vocabulary.where(often(DISCOUNT, "ktall", "koall")).join(before, F.col("word") == F.col("prior"), "left").drop("prior").na.fill(0).toPandas()
-    stems, pairs = stems.where(often(DISCOUNT, "tall", "oall")).toPandas(), pairs.where(often(PAIR_DISCOUNT, "tall", "oall")).toPandas()
+    pairs = cut(pairs.where(often(PAIR_DISCOUNT, "tall", "oall")))
+    # A word of a kept bigram is kept too, whatever its own count: it has the difference of its stem, and the bigram its own.
+    paired = pairs.select(F.explode(F.array("v", "w")).alias("word")).distinct()
+    words = vocabulary.where(often(DISCOUNT, "ktall", "koall")).unionByName(vocabulary.where(~often(DISCOUNT, "ktall", "koall")).join(paired, "word", "left_semi"))
+    words = words.join(before, F.col("word") == F.col("prior"), "left").drop("prior").na.fill(0).toPandas()
+    stems, pairs = stems.where(often(DISCOUNT, "tall", "oall")).toPandas(), pairs.toPandas()
     words, stems = words.sort_values("word", ignore_index=True), stems.sort_values(["letters", "stem"], ignore_index=True)
     # Each half of the sample is scored with the counts of the other half, and the curve is fitted to that.
     halves = docs.sparkSession.sparkContext.broadcast([build(words, stems, pairs, totals, "1"), build(words, stems, pairs, totals, "0")])

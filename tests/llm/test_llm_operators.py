@@ -151,6 +151,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert awkward.where("score between 0 and 1").count() == len(AWKWARD)
 
 
+def test_toxicity_keeps_frequent_bigrams_of_words_with_one_predecessor(spark):
+    rng = np.random.default_rng(7)
+    plain = [" ".join(rng.choice(["river", "stone", "cloud", "meadow", "lantern", "harbour"], 12)) for _ in range(60)]
+    rows = [(k, f"{t} zqa xvb wkc yjd {t}" if k % 3 == 0 else t, int(k % 3 == 0)) for k, t in enumerate(plain)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    with_insult, without = model.features("xvb wkc yjd"), model.features("river stone cloud")
+    assert with_insult[1] > 0 and with_insult[0] > without[0] + 0.3
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
     assert toxicity.scores(docs, model, name="s").where("s <> 0").count() == 0
