@@ -9,10 +9,11 @@ Features of a text: the log-likelihood difference of the whole text by its numbe
 exceeds a margin in single words, by the number of words and as a logarithm, so that a few expressions count in a long text. A logistic curve over
 them, fitted on texts that the counts did not come from, gives the score.
 
-Training uses a bounded sample of the labelled rows: the first `max_toxic` and `max_ordinary` ids of
-each class by hash. The counts are made by Spark over that sample; the broadcast model holds
-only words, beginnings and bigrams that are more frequent in it than the discount, so its size is
-bounded with the sample.
+The counts are made over all labelled rows; only the logistic curve is fitted on a bounded sample,
+the first `max_toxic` and `max_ordinary` ids of each class by hash. Words are counted by their 64-bit
+hashes, in blobs by the first bits of these. The model holds the words, beginnings and bigrams that are
+more frequent than the discount, and the words of such bigrams. It grows with the rows, so it is
+not broadcast but a sorted file on the disk of each executor, of which lookups read what they need.
 
 Defined results: a null text is the empty text; empty texts get the score of no evidence; null or
 repeated ids are scored row by row; labels with null id or value are ignored, a document with
@@ -22,7 +23,10 @@ empty table gives an empty result; other columns are not read. Texts are scored
 
 from __future__ import annotations
 
+import pickle
 import re
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,12 +34,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import cut, text_or_empty
 
-#: Documents of each class that the counts are made from, at most.
+#: Documents of each class that the logistic curve is fitted on, at most.
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
 #: What is taken off each count: of words and their first letters, and of bigrams. Expressions that are no more frequent back off altogether.
 DISCOUNT, PAIR_DISCOUNT = 3.0, 2.0
@@ -57,99 +62,314 @@ def stems_of(word: str) -> list[str]:
     return [word[:n] if len(word) >= n else f"{word}$" for n in STEMS]
 
 
+def hashes(strings: list[str]) -> np.ndarray:
+    """64-bit hashes, the same in every process."""
+    if not strings:
+        return np.empty(0, np.uint64)
+    return pd.util.hash_array(np.array(strings, dtype=object), categorize=False)
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (v * np.uint64(0x9E3779B97F4A7C15) + w).view(np.int64)
+
+
+def stem_keys(stems: list[str]) -> np.ndarray:
+    return hashes([f"^{s}" for s in stems]).view(np.int64)
+
+
+#: The empty word, before the first word of a text.
+START = hashes([""])[0]
+#: The counts of a row: ordinary (o) and toxic (t), of fold 0, fold 1 and both.
+SUMS = ("o0", "o1", "oall", "t0", "t1", "tall")
+FOLDS = ("0", "1", "all")
+
+
+@dataclass
+class Lookup:
+    """A sorted table of int64 keys and float32 values in files that Spark copies to each executor's disk; it is mapped, not loaded."""
+
+    name: str
+    n: int
+    width: int
+
+    def __post_init__(self):
+        self.maps = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "maps": None}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, NaN where there are none."""
+        out = np.full((len(keys), self.width), np.nan, np.float32)
+        if not self.n or not len(keys):
+            return out
+        if self.maps is None:
+            self.maps = np.memmap(SparkFiles.get(f"{self.name}.keys"), np.int64, "r"), np.memmap(SparkFiles.get(f"{self.name}.values"), np.float32, "r").reshape(-1, self.width)
+        known, values = self.maps
+        at = np.searchsorted(known, keys)
+        at[at == self.n] = 0
+        hit = known[at] == keys
+        out[hit] = values[at[hit]]
+        return out
+
+
+def publish(df: DataFrame, key: str, columns: list[str]) -> Lookup:
+    """The table as a Lookup; a few thousand rows at a time pass through the driver to its disk."""
+    df = cut(df.select(F.col(key).alias("key"), *(F.col(c).cast("float") for c in columns)))
+    rows, name, folder = df.count(), f"lookup-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="basketry-")
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                values = np.stack([b.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(columns))], 1).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["k", "v"])
+
+    parts = df.repartitionByRange(rows // 1_000_000 + 1, "key").sortWithinPartitions("key").mapInArrow(blobs, "k binary, v binary")
+    with open(f"{folder}/{name}.keys", "wb") as keys, open(f"{folder}/{name}.values", "wb") as values:
+        for r in parts.toLocalIterator():
+            keys.write(r["k"])
+            values.write(r["v"])
+    for kind in ("keys", "values"):
+        df.sparkSession.sparkContext.addFile(f"{folder}/{name}.{kind}")
+    return Lookup(name, rows, len(columns))
+
+
 @dataclass
 class Model:
-    """Log-likelihood differences, toxic less ordinary, and the logistic curve over the features."""
-
-    words: dict[str, int]
-    word_llr: np.ndarray
-    stems: dict[str, float]
-    pair_keys: np.ndarray
-    pair_llr: np.ndarray
-    floor: float
+    """Log-likelihood differences, toxic less ordinary, of bigrams, words and stems by hash, and the logistic curve over the features."""
+
+    table: Lookup | None = None
+    #: The column of the table: counts of fold 0, of fold 1, of both.
+    fold: int = 2
     curve: np.ndarray | None = None
 
     def __post_init__(self):
-        self.rare: dict[str, float] = {}
+        self.rare: dict[int, float] = {}
 
-    def unknown(self, word: str) -> float:
-        for s in stems_of(word):
-            if (x := self.stems.get(s)) is not None:
-                return x
-        return self.floor
+    def __getstate__(self):
+        return {**self.__dict__, "rare": {}}
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Mean difference per word; mean of what exceeds STRONG per word; logarithm of the sum of that."""
-        words = words_of(text)
-        n = len(words)
-        if not n:
-            return 0.0, 0.0, 0.0
-        ids = np.fromiter(map(self.words.get, words, [-1] * n), np.int64, n)
-        out = self.word_llr[ids]
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        return self.table.find(keys)[:, self.fold].astype(float)
+
+    def _unknown(self, h: np.ndarray, words: list[str]) -> np.ndarray:
+        """Differences of words that are not in the table: that of the longest known stem."""
         rare = self.rare
         if len(rare) > 200_000:
             rare.clear()
-        for k in np.flatnonzero(ids < 0).tolist():
-            w = words[k]
-            if (x := rare.get(w)) is None:
-                x = rare[w] = self.unknown(w)
-            out[k] = x
-        if n > 1 and len(self.pair_keys):
-            keys = ids[:-1] * len(self.word_llr) + ids[1:]
-            keys[(ids[:-1] < 0) | (ids[1:] < 0)] = -1
-            at = np.searchsorted(self.pair_keys, keys)
-            at[at == len(self.pair_keys)] = 0
-            seen = self.pair_keys[at] == keys
-            out[1:][seen] = self.pair_llr[at[seen]]
-        size = max(n, LEAST_WORDS)
-        strong = float(np.maximum(out - STRONG, 0).sum())
-        return float(out.sum()) / size, strong / size, float(np.log1p(strong))
+        keys = h.tolist()
+        new = list({k: w for k, w in zip(keys, words, strict=True) if k not in rare}.items())
+        if new:
+            stems = [stems_of(w) for _, w in new]
+            flat, at = np.unique(np.array([s for x in stems for s in x], dtype=object), return_inverse=True)
+            found = self._find(stem_keys(flat.tolist()))[at].reshape(len(new), len(STEMS))
+            known = ~np.isnan(found)
+            first = np.where(known.any(1), found[np.arange(len(new)), known.argmax(1)], 0.0)
+            rare.update(zip((k for k, _ in new), first.tolist(), strict=True))
+        return np.array([rare[k] for k in keys])
+
+    def features_of(self, texts: list[str]) -> list[tuple[float, float, float]]:
+        """Mean difference per word; mean of what exceeds STRONG per word; logarithm of the sum of that."""
+        split = [words_of(t) for t in texts]
+        flat = [w for ws in split for w in ws]
+        if not flat or self.table is None:
+            return [(0.0, 0.0, 0.0)] * len(texts)
+        h, ends = hashes(flat), np.cumsum([len(ws) for ws in split])
+        seen, at = np.unique(h, return_inverse=True)
+        llr = self._find(seen.view(np.int64))[at]
+        lost = np.flatnonzero(np.isnan(llr))
+        llr[lost] = self._unknown(h[lost], [flat[k] for k in lost.tolist()])
+        pair = self._find(pair_keys(_before(h, ends), h))
+        out = np.where(np.isnan(pair), llr, pair)
+        rows = []
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            one, size = out[start:end], max(end - start, LEAST_WORDS)
+            strong = float(np.maximum(one - STRONG, 0).sum())
+            rows.append((float(one.sum()) / size, strong / size, float(np.log1p(strong))))
+        return rows
 
-    def score(self, text: str) -> float:
+    def features(self, text: str) -> tuple[float, float, float]:
+        return self.features_of([text])[0]
+
+    def scores(self, texts: list[str]) -> np.ndarray:
         if self.curve is None:
-            return 0.0
-        x = self.features(text)
-        return float(1 / (1 + np.exp(-np.clip(self.curve @ design(*x), -30, 30))))
+            return np.zeros(len(texts))
+        x = np.array([design(*f) for part in _some(texts) for f in self.features_of(part)]).reshape(-1, 4)
+        return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
+
+    def score(self, text: str) -> float:
+        return float(self.scores([text])[0])
+
+
+def _before(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the word before each word; texts end before the places `ends`."""
+    v = np.empty_like(h)
+    v[1:] = h[:-1]
+    v[0] = START
+    v[ends[ends < len(h)]] = START
+    return v
+
+
+def _some(texts: list[str], least: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts in runs of at least so many characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= least:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def design(mean: float, strong: float, weight: float) -> np.ndarray:
     return np.array([1.0, mean, strong, weight])
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams of (text, class and fold 0..3) with their four counts; a text begins after the empty word."""
-    counts: dict[tuple[str, str], list[int]] = {}
+BLOB = "bucket int, size long, blob binary"
+
+
+def _blobs(keys: np.ndarray, bits: int, cut_out) -> Iterator[tuple[int, int, bytes]]:
+    """The rows of sorted keys by their first bits, compressed. cut_out: from (start, end) to what is kept of these rows."""
+    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        raw = pickle.dumps(cut_out(int(edges[b]), int(edges[b + 1])), protocol=5)
+        yield b, len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _open(size: int, blob: bytes):
+    return pickle.loads(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True))
 
-    def out():
-        keys = list(counts)
-        cols = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([counts[k][i] for k in keys], pa.int64()) for i in range(4)]
-        return pa.RecordBatch.from_arrays(cols, names=["v", "w", "n0", "n1", "n2", "n3"])
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(int(counts.max())) if counts.size else np.uint8)
+
+
+def _summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums of rows with equal keys, in the order of keys."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if len(order) else np.empty(0, np.int64)
+    return [k[starts] for k in keys], np.stack([np.add.reduceat(c[order], starts, dtype=np.int64) for c in counts.T], 1) if len(starts) else np.empty((0, counts.shape[1]), np.int64)
+
+
+def _counted(parts: Lookup, bits: int):
+    """From (id hash, text) to blobs of the bigrams of labelled rows by the hash of their second word: w, v, four counts, words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[str] = []
+        ends: list[int] = []
+        part: list[int] = []
+
+        def flush():
+            h, n = hashes(words), np.array(ends)
+            of = np.repeat(np.array(part), np.diff(n, prepend=0))
+            seen, first = np.unique(h, return_index=True)
+            (w, v), counts = _summed((h, _before(h, n)), of[:, None] == np.arange(4))
+            counts = _narrow(counts)
+
+            def piece(start, end):
+                a, b = np.searchsorted(seen, w[start]), np.searchsorted(seen, w[end - 1], "right")
+                return w[start:end], v[start:end], counts[start:end], "\n".join(words[k] for k in first[a:b].tolist())
+
+            out = list(_blobs(w, bits, piece))
+            words.clear(), ends.clear(), part.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "size", "blob"])
+
+        for batch in batches:
+            of = parts.find(batch.column(0).to_numpy())[:, 0]
+            for k in np.flatnonzero(~np.isnan(of)).tolist():
+                words.extend(words_of(batch.column(1)[k].as_py()))
+                ends.append(len(words))
+                part.append(int(of[k]))
+                if len(words) > 500_000:
+                    yield flush()
+        if words:
+            yield flush()
+
+    return run
+
+
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+    """What the blobs of each bucket hold; rows come in order of buckets."""
+    now, held = None, []
     for batch in batches:
-        for text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            for pair, n in Counter(zip(["", *words], words, strict=False)).items():
-                counts.setdefault(pair, [0, 0, 0, 0])[part] += n
-            if len(counts) > 200_000:
-                yield out()
-                counts.clear()
-    yield out()
-
-
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held_out: Column | None, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, float]:
-    """text, part (2 * toxic + fold) and id of the training rows; the ratio of ordinary to toxic labels there are."""
+        for b, size, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if b != now and held:
+                yield held
+                held = []
+                pa.default_memory_pool().release_unused()
+            now = b
+            held.append(_open(size, blob))
+    if held:
+        yield held
+
+
+def _folds(counts: np.ndarray) -> np.ndarray:
+    """Four counts as those of SUMS."""
+    o0, o1, t0, t1 = counts.T
+    return np.stack([o0, o1, o0 + o1, t0, t1, t0 + t1], 1)
+
+
+MERGED = "kind int, v long, w long, word string, " + ", ".join(f"{n} long" for n in SUMS) + ", " + BLOB
+
+
+def _merged(bits: int):
+    """From sorted blobs of bigrams to words with their continuation counts (kind 0), bigrams above the discount (1), blobs of histories (2)."""
+
+    def batch(kind, n, v=None, w=None, word=None, sums=None, blobs=None):
+        none = lambda t: pa.nulls(n, t)
+        long = lambda x: none(pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64))
+        cols = [pa.array(np.full(n, kind, np.int32)), long(v), long(w), none(pa.string()) if word is None else pa.array(word, pa.string())]
+        cols += [long(None if sums is None else sums[:, k]) for k in range(6)]
+        cols += [pa.array([b[k] for b in blobs], t) if blobs else none(t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(cols, names=["kind", "v", "w", "word", *SUMS, "bucket", "size", "blob"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _buckets(batches):
+            names: dict[int, str] = {}
+            for w, _, _, text in held:
+                names.update(zip(np.unique(w).tolist(), text.split("\n"), strict=True))
+            (w, v), counts = _summed(tuple(np.concatenate([x[k] for x in held]) for k in (0, 1)), np.concatenate([x[2] for x in held]))
+            held.clear()
+            sums = _folds(counts)
+            starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            yield batch(0, len(starts), w=w[starts], word=[names[x] for x in w[starts].tolist()], sums=np.add.reduceat((sums > 0).astype(np.int64), starts, axis=0))
+            kept = np.maximum(sums[:, 2], sums[:, 5]) > PAIR_DISCOUNT
+            yield batch(1, int(kept.sum()), v=v[kept], w=w[kept], sums=sums[kept])
+            (first,), seen = _summed((v,), np.concatenate([counts, np.stack([(sums[:, k] + sums[:, k + 3]) > 0 for k in range(3)], 1)], 1))
+            seen = _narrow(seen)
+            blobs = list(_blobs(first, bits, lambda a, b: (first[a:b], seen[a:b])))
+            yield batch(2, len(blobs), blobs=blobs)
+            # Nothing of a bucket stays while the next one is read.
+            names = w = v = counts = sums = starts = kept = first = seen = blobs = None
+
+    return run
+
+
+HISTORY = "v long, " + ", ".join(f"n{n} long" for n in SUMS) + ", " + ", ".join(f"d{f} long" for f in FOLDS)
+
+
+def _histories(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words before others, with their counts and the numbers of distinct words after them; only those that a kept bigram can have."""
+    for held in _buckets(batches):
+        (v,), seen = _summed((np.concatenate([x[0] for x in held]),), np.concatenate([x[1] for x in held]))
+        held.clear()
+        sums = np.concatenate([_folds(seen[:, :4]), seen[:, 4:]], 1)
+        kept = np.maximum(sums[:, 2], sums[:, 5]) > PAIR_DISCOUNT
+        v, sums = v[kept].view(np.int64), sums[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(v), *(pa.array(np.ascontiguousarray(c)) for c in sums.T)], names=["v", *(f"n{n}" for n in SUMS), *(f"d{f}" for f in FOLDS)])
+
+
+def _marked(docs: DataFrame, labels: DataFrame, id_col: str, held_out: Column | None) -> DataFrame:
+    """Labelled training rows: id, class, hash, part (2 * toxic + fold)."""
     marked = labels.select(F.col(id_col).alias("label_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     marked = marked.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     if held_out is not None:
         marked = marked.where(~held_out)
-    marked = cut(marked.withColumn("h", F.xxhash64("label_id")))
-    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    chosen = marked.where("toxic = 1").orderBy("h", "label_id").limit(max_toxic).unionByName(marked.where("toxic = 0").orderBy("h", "label_id").limit(max_ordinary))
-    # At most max_toxic + max_ordinary rows of an id and a number.
-    chosen = F.broadcast(chosen.select("label_id", (F.col("toxic") * 2 + F.pmod("h", F.lit(2))).cast("int").alias("part")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("label_id"))
-    share = min(1.0, max_toxic / max(1, sizes.get(1, 0))), min(1.0, max_ordinary / max(1, sizes.get(0, 0)))
-    return rows.select("doc_id", "text", "part"), share[0] / share[1] if min(sizes.get(0, 0), sizes.get(1, 0)) else 0.0
+    marked = marked.withColumn("h", F.xxhash64("label_id"))
+    return cut(marked.withColumn("part", (F.col("toxic") * 2 + F.pmod("h", F.lit(2))).cast("int")).withColumn("key", F.xxhash64(F.col("label_id").cast("string"))))
 
 
 def _blend(kt, ko, totals, which, back_t, back_o):
@@ -162,57 +382,80 @@ def _blend(kt, ko, totals, which, back_t, back_o):
     return np.maximum(kt - DISCOUNT, 0) / total_t + weight * back_t, np.maximum(ko - DISCOUNT, 0) / total_o + weight * back_o
 
 
-def build(words: pd.DataFrame, stems: pd.DataFrame, pairs: pd.DataFrame, totals: dict[int, dict[str, float]], which: str) -> Model:
-    """The model from the counts of fold 0, fold 1 or both ('0', '1', 'all'). totals: by number of letters, 0 for words."""
+def rate(words: pd.DataFrame, stems: pd.DataFrame, totals: dict, which: str) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Probabilities t and o of words and stems by the counts of a fold; all that begin with the same first letters must be there.
+
+    totals: by number of letters, 0 for words; 'stems' and 'words' for the pooled sums of the fewest letters and of the kept words.
+    """
     t, o = f"t{which}", f"o{which}"
     # Stems, from the fewest letters to the most.
     prob: dict[str, tuple[float, float]] = {}
-    llr: dict[str, float] = {}
+    out = []
     stems = stems[(stems[t] + stems[o]) > 0]
-    base_t = base_o = 1.0
     for n in sorted(STEMS):
         level = stems[stems["letters"] == n]
-        kt, ko = level[t].to_numpy(float), level[o].to_numpy(float)
-        pooled = kt + ko
         if not len(level):
             continue
-        keys = level["stem"].tolist()
-        parents = [prob.get(_parent(k, n), (1.0, 1.0)) for k in keys]
-        parent_total: dict[str, float] = Counter()
-        for k, x in zip(keys, pooled, strict=True):
-            parent_total[_parent(k, n)] += x
-        within = pooled / np.array([parent_total[_parent(k, n)] for k in keys])
-        back_t, back_o = (np.array([p[i] for p in parents]) * within for i in (0, 1))
+        kt, ko = level[t].to_numpy(float), level[o].to_numpy(float)
+        keys = level["text"].tolist()
+        parents = [_parent(k, n) for k in keys]
+        sums: dict[str, float] = Counter()
+        for p, x in zip(parents, kt + ko, strict=True):
+            sums[p] += x
+        if n == min(STEMS):
+            sums[""] = totals["stems"][which]
+        within = (kt + ko) / np.array([sums[p] for p in parents])
+        back_t, back_o = (np.array([prob.get(p, (1.0, 1.0))[i] for p in parents]) * within for i in (0, 1))
         pt, po = _blend(kt, ko, totals[n], which, back_t, back_o)
-        diff = np.log(pt) - np.log(po)
-        for k, a, b, d in zip(keys, pt.tolist(), po.tolist(), diff.tolist(), strict=True):
-            prob[k], llr[k] = (a, b), d
+        prob.update(zip(keys, zip(pt.tolist(), po.tolist(), strict=True), strict=True))
+    out = pd.DataFrame([(k, *x) for k, x in prob.items()], columns=["text", "t", "o"])
     # Words, by the number of distinct words before them.
-    words = words[(words[f"k{t}"] + words[f"k{o}"]) > 0]
-    names = words["word"].tolist()
-    kt, ko = words[f"k{t}"].to_numpy(float), words[f"k{o}"].to_numpy(float)
-    pooled = kt + ko
-    parents = [next(((s, prob[s]) for s in stems_of(w) if s in prob), ("", (base_t, base_o))) for w in names]
-    stem_total: dict[str, float] = Counter()
-    for (s, _), x in zip(parents, pooled, strict=True):
-        stem_total[s] += x
+    words = words[(words[t] + words[o]) > 0]
+    kt, ko = words[t].to_numpy(float), words[o].to_numpy(float)
+    parents = [next((s for s in stems_of(w) if s in prob), "") for w in words["text"]]
+    sums = Counter()
+    for s, x in zip(parents, kt + ko, strict=True):
+        sums[s] += x
     # A word without a known stem gets its share of all words.
-    within = pooled / np.array([stem_total[s] if s else max(pooled.sum(), 1) for s, _ in parents])
-    back_t, back_o = (np.array([p[i] for _, p in parents]) * within for i in (0, 1))
+    sums[""] = max(totals["words"][which], 1)
+    within = (kt + ko) / np.array([sums[s] for s in parents])
+    back_t, back_o = (np.array([prob.get(s, (1.0, 1.0))[i] for s in parents]) * within for i in (0, 1))
     word_t, word_o = _blend(kt, ko, totals[0], which, back_t, back_o)
-    index = {w: k for k, w in enumerate(names)}
-    word_llr = np.log(word_t) - np.log(word_o)
-    v, w = (pairs[c].map(index) for c in ("v", "w"))
-    known = (v.notna() & w.notna()).to_numpy()
-    pairs, v, w = pairs[known], v[known].to_numpy(np.int64), w[known].to_numpy(np.int64)
-    history = {c: words[f"{c}"].to_numpy(float) for c in (f"n{t}", f"n{o}", f"d{which}")}
-    nt, no, distinct = history[f"n{t}"][v], history[f"n{o}"][v], history[f"d{which}"][v]
-    weight = np.minimum(0.95, PAIR_DISCOUNT * distinct / np.maximum(nt + no, 1))
-    one = lambda c, n, back: np.where(n > 0, np.maximum(c - PAIR_DISCOUNT, 0) / np.maximum(n, 1) + weight * back, back)
-    pt, po = one(pairs[t].to_numpy(float), nt, word_t[w]), one(pairs[o].to_numpy(float), no, word_o[w])
-    keys = v * max(len(names), 1) + w
-    order = np.argsort(keys)
-    return Model(index, np.append(word_llr, 0.0) if not len(names) else word_llr, llr, keys[order], (np.log(pt) - np.log(po))[order], 0.0)
+    return words[["text"]].assign(t=word_t, o=word_o), out
+
+
+RATED = "is_word boolean, key long, " + ", ".join(f"p{c}{f} double" for f in FOLDS for c in "to")
+
+
+def _rated(totals: dict):
+    """Words and stems with their probabilities by fold, a partition at a time; null where a fold does not hold them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+        if not len(rows):
+            return
+        words, stems = rows[rows["letters"] == 0], rows[rows["letters"] > 0]
+        both = [words[["text"]].drop_duplicates(), stems[["text"]].drop_duplicates()]
+        for f in FOLDS:
+            for k, one in enumerate(rate(words, stems, totals, f)):
+                both[k] = both[k].merge(one.rename(columns={"t": f"pt{f}", "o": f"po{f}"}), "left", "text")
+        yield both[0].assign(is_word=True, key=hashes(both[0]["text"].tolist()).view(np.int64)).drop(columns="text")[[c.split()[0] for c in RATED.split(", ")]]
+        yield both[1].assign(is_word=False, key=stem_keys(both[1]["text"].tolist())).drop(columns="text")[[c.split()[0] for c in RATED.split(", ")]]
+
+    return run
+
+
+def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Differences of bigrams with the counts of their first word and the probabilities of their second."""
+    for b in batches:
+        out = {"key": pair_keys(b["v"].to_numpy(np.int64).view(np.uint64), b["w"].to_numpy(np.int64).view(np.uint64))}
+        for f in FOLDS:
+            nt, no = b[f"nt{f}"].to_numpy(float), b[f"no{f}"].to_numpy(float)
+            weight = np.minimum(0.95, PAIR_DISCOUNT * b[f"d{f}"].to_numpy(float) / np.maximum(nt + no, 1))
+            one = lambda c, n, back: np.where(n > 0, np.maximum(c - PAIR_DISCOUNT, 0) / np.maximum(n, 1) + weight * back, back)  # noqa: B023, E731
+            out[f"x{f}"] = np.log(one(b[f"t{f}"].to_numpy(float), nt, b[f"pt{f}"].to_numpy(float))) - np.log(one(b[f"o{f}"].to_numpy(float), no, b[f"po{f}"].to_numpy(float)))
+        yield pd.DataFrame(out)
 
 
 def _parent(stem: str, n: int) -> str:
@@ -224,46 +467,63 @@ def _parent(stem: str, n: int) -> str:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
-    """held_out: a condition on label_id; such rows are not learnt from."""
-    rows, ratio = sample(docs, labels, id_col, text_col, held_out, max_toxic, max_ordinary)
-    rows = cut(rows)
-    empty = Model({}, np.zeros(1), {}, np.empty(0, np.int64), np.empty(0), 0.0)
-    if not ratio:
-        return empty
-    raw = rows.select("text", "part").mapInArrow(_counted, "v string, w string, n0 long, n1 long, n2 long, n3 long")
-    pairs = cut(raw.groupBy("v", "w").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))))
-    sums = {"o0": F.col("n0"), "o1": F.col("n1"), "oall": F.col("n0") + F.col("n1"), "t0": F.col("n2"), "t1": F.col("n3"), "tall": F.col("n2") + F.col("n3")}
-    pairs = pairs.select("v", "w", *(c.alias(n) for n, c in sums.items()))
-    is_there = lambda n: F.count_if(F.col(n) > 0)
-    after = pairs.groupBy("w").agg(*(is_there(n).alias(f"k{n}") for n in sums)).withColumnRenamed("w", "word")
-    before = pairs.groupBy("v").agg(*(F.sum(n).alias(f"n{n}") for n in sums), *(F.count_if(F.col(f"t{f}") + F.col(f"o{f}") > 0).alias(f"d{f}") for f in ("0", "1", "all"))).withColumnRenamed("v", "prior")
-    vocabulary = cut(after)
-    prefix = F.explode(F.array(*(F.struct(F.lit(n).alias("letters"), F.when(F.length("word") >= n, F.substring("word", 1, n)).otherwise(F.concat("word", F.lit("$"))).alias("stem")) for n in STEMS)))
-    stems = cut(vocabulary.select(prefix.alias("p"), *(F.col(f"k{n}").alias(n) for n in sums)).groupBy("p.letters", "p.stem").agg(*(is_there(n).alias(n) for n in sums)))
+    """held_out: a condition on label_id; such rows are not learnt from. max_toxic, max_ordinary: rows that the curve is fitted on."""
+    marked = _marked(docs, labels, id_col, held_out)
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    if not min(sizes.get(0, 0), sizes.get(1, 0)):
+        return Model()
+    ids = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id IS NOT NULL")
+    parts = publish(marked, "key", ["part"])
+    # A bucket holds the bigrams of about 3 million characters, so that one fits a worker.
+    share = sum(sizes.values()) / max(1, docs.count())
+    bits = max(2, int(np.ceil(np.log2(max(1.0, min(1.0, share) * (ids.agg(F.sum(F.length("text"))).first()[0] or 0) / 3e6)))))
+    by_bucket = lambda df: df.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
+    raw = ids.select(F.xxhash64(F.col("doc_id").cast("string")), "text").mapInArrow(_counted(parts, bits), BLOB)
+    merged = cut(by_bucket(raw).mapInArrow(_merged(bits), MERGED))
+    history = by_bucket(merged.where("kind = 2").select("bucket", "size", "blob")).mapInArrow(_histories, HISTORY)
+    pairs = merged.where("kind = 1").select("v", "w", *SUMS)
+    vocabulary = merged.where("kind = 0").select(F.col("w").alias("key"), F.col("word").alias("text"), *SUMS)
+    prefix = F.explode(F.array(*(F.struct(F.lit(n).alias("letters"), F.when(F.length("text") >= n, F.substring("text", 1, n)).otherwise(F.concat("text", F.lit("$"))).alias("stem")) for n in STEMS)))
+    stems = cut(vocabulary.select(prefix.alias("p"), *SUMS).groupBy(F.col("p.letters").alias("letters"), F.col("p.stem").alias("text")).agg(*(F.count_if(F.col(n) > 0).alias(n) for n in SUMS)))
+    often = F.greatest("tall", "oall") > DISCOUNT
+    totals: dict = {r["letters"]: r.asDict() for r in stems.groupBy("letters").agg(*_totals()).collect()}
+    totals[0] = vocabulary.agg(*_totals()).first().asDict()
     # What the discount takes off altogether in both classes has the difference of its backoff, so it need not be kept for itself.
-    often = lambda least, t, o: F.greatest(t, o) > least
-    low = lambda n, c: F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"low_{n}")
-    totals = {r["letters"]: r.asDict() for r in stems.groupBy("letters").agg(*(F.sum(n).alias(n) for n in sums), *(low(n, n) for n in sums)).collect()}
-    totals[0] = vocabulary.agg(*(F.sum(f"k{n}").alias(n) for n in sums), *(low(n, f"k{n}") for n in sums)).first().asDict()
-    pairs = cut(pairs.where(often(PAIR_DISCOUNT, "tall", "oall")))
     # A word of a kept bigram is kept too, whatever its own count: it has the difference of its stem, and the bigram its own.
-    paired = pairs.select(F.explode(F.array("v", "w")).alias("word")).distinct()
-    words = vocabulary.where(often(DISCOUNT, "ktall", "koall")).unionByName(vocabulary.where(~often(DISCOUNT, "ktall", "koall")).join(paired, "word", "left_semi"))
-    words = words.join(before, F.col("word") == F.col("prior"), "left").drop("prior").na.fill(0).toPandas()
-    stems, pairs = stems.where(often(DISCOUNT, "tall", "oall")).toPandas(), pairs.toPandas()
-    words, stems = words.sort_values("word", ignore_index=True), stems.sort_values(["letters", "stem"], ignore_index=True)
-    # Each half of the sample is scored with the counts of the other half, and the curve is fitted to that.
-    halves = docs.sparkSession.sparkContext.broadcast([build(words, stems, pairs, totals, "1"), build(words, stems, pairs, totals, "0")])
+    paired = pairs.select(F.col("w").alias("key")).distinct()
+    words = vocabulary.where(often).unionByName(vocabulary.where(~often).join(paired, "key", "left_semi"))
+    kept = cut(words.select(F.lit(0).alias("letters"), "text", *SUMS).unionByName(stems.where(often).select("letters", "text", *SUMS)))
+    pooled = [F.sum(F.col(f"t{f}") + F.col(f"o{f}")).alias(f) for f in FOLDS]
+    for name, n in (("words", 0), ("stems", min(STEMS))):
+        totals[name] = {f: x or 0 for f, x in kept.where(F.col("letters") == n).agg(*pooled).first().asDict().items()}
+    first = F.when(F.length("text") >= min(STEMS), F.substring("text", 1, min(STEMS))).otherwise(F.when(F.col("letters") == 0, F.concat("text", F.lit("$"))).otherwise(F.col("text")))
+    rated = cut(kept.repartition(first).mapInPandas(_rated(totals), RATED))
+    with_history = pairs.join(history, "v").join(rated.where("is_word").drop("is_word").withColumnRenamed("key", "w"), "w")
+    singles = rated.select("key", *((F.log(f"pt{f}") - F.log(f"po{f}")).alias(f"x{f}") for f in FOLDS))
+    table = publish(singles.unionByName(with_history.mapInPandas(_paired, "key long, x0 double, x1 double, xall double").select("key", "x0", "x1", "xall")), "key", ["x0", "x1", "xall"])
+    # Each half of a sample is scored with the counts of the other half, and the curve is fitted to that.
+    chosen = marked.where("toxic = 1").orderBy("h", "label_id").limit(max_toxic).unionByName(marked.where("toxic = 0").orderBy("h", "label_id").limit(max_ordinary))
+    # At most max_toxic + max_ordinary rows of an id and a number.
+    rows = ids.join(F.broadcast(chosen.select("label_id", "part")), F.col("doc_id") == F.col("label_id")).select("text", "part")
+    ratio = min(1.0, max_toxic / sizes[1]) / min(1.0, max_ordinary / sizes[0])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        halves = [Model(table, 1), Model(table, 0)]
         for pdf in batches:
-            x = [halves.value[p % 2].features(t) for t, p in zip(pdf["text"], pdf["part"], strict=True)]
-            yield pd.DataFrame(x, columns=["mean", "strong", "weight"]).assign(toxic=pdf["part"] // 2)
+            for fold in (0, 1):
+                own = pdf[pdf["part"] % 2 == fold]
+                x = [f for part in _some(own["text"].tolist()) for f in halves[fold].features_of(part)]
+                yield pd.DataFrame(x, columns=["mean", "strong", "weight"]).assign(toxic=(own["part"] // 2).to_numpy())
 
     seen = rows.mapInPandas(features, "mean double, strong double, weight double, toxic int").toPandas()
-    model = build(words, stems, pairs, totals, "all")
-    model.curve = logistic(np.array([design(*x) for x in seen[["mean", "strong", "weight"]].to_numpy()]), seen["toxic"].to_numpy(float), np.where(seen["toxic"] == 1, 1.0, ratio))
-    return model
+    if not len(seen):
+        return Model()
+    curve = logistic(np.array([design(*x) for x in seen[["mean", "strong", "weight"]].to_numpy()]), seen["toxic"].to_numpy(float), np.where(seen["toxic"] == 1, 1.0, ratio))
+    return Model(table, 2, curve)
+
+
+def _totals() -> list[Column]:
+    return [*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in SUMS), *(F.coalesce(F.sum(F.least(F.col(n), F.lit(DISCOUNT))), F.lit(0.0)).alias(f"low_{n}") for n in SUMS)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
@@ -287,6 +547,6 @@ def scores(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for batch in texts:
-            yield pd.Series([own.score(t) for t in batch], dtype="float64")
+            yield pd.Series(own.scores(batch.tolist()), dtype="float64")
 
     return docs.withColumn(name, score(text_or_empty(text_col)))

@@ -161,6 +161,16 @@ def test_toxicity_keeps_frequent_bigrams_of_words_with_one_predecessor(spark):
     assert with_insult[1] > 0 and with_insult[0] > without[0] + 0.3
 
 
+def test_toxicity_counts_rows_beyond_the_sample_of_the_curve(spark):
+    rng = np.random.default_rng(8)
+    plain = [" ".join(rng.choice(["river", "stone", "cloud", "meadow", "lantern", "harbour"], 12)) for _ in range(300)]
+    rows = [(k, f"{t} zqa xvb wkc yjd {t}" if k % 3 == 0 else t, int(k % 3 == 0)) for k, t in enumerate(plain)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    # Two rows of each class hold no bigram more often than the discount; all rows do.
+    model = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), max_toxic=2, max_ordinary=2)
+    assert model.features("xvb wkc yjd")[1] > 0
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
     assert toxicity.scores(docs, model, name="s").where("s <> 0").count() == 0
