@@ -26,13 +26,13 @@ def _sides(spark, sf):
 @query()
 def models_cls(spark, sf):
     train, validation = _sides(spark, sf)
-    return benchmark.run(train, validation, {"safe": _FEATURES}, regressors=()).where("task = 'cls'")
+    return benchmark.run(train, validation, {"safe": _FEATURES}, cap_train=None, cap_eval=None, regressors=()).where("task = 'cls'")
 
 
 @query()
 def models_reg(spark, sf):
     train, validation = _sides(spark, sf)
-    return benchmark.run(train, validation, {"safe": _FEATURES}, classifiers=()).where("task = 'reg'")
+    return benchmark.run(train, validation, {"safe": _FEATURES}, cap_train=None, cap_eval=None, classifiers=()).where("task = 'reg'")
 
 
 @query()

@@ -183,3 +183,13 @@ def test_build(spark, tmp_path):
     assert len(spark.read.parquet(f"{out}/matrices/cls_final_test_X.parquet").columns) == 28
     assert (tmp_path / "out" / "RUN_MANIFEST.md").exists() and delimited.variants(spark, f"{out}/matrices", "cls")
     assert delimited.evaluation_split(spark, f"{out}/matrices", "cls", "base_safe") == "validation"
+
+
+def test_registered_benchmarks_take_all_rows(spark, monkeypatch):
+    from basketry.plans import benchmark, catalogue_models
+
+    seen = []
+    monkeypatch.setattr(benchmark, "run", lambda *args, **options: seen.append(options) or spark.createDataFrame([], benchmark.COLUMNS))
+    for q in (catalogue_models.models_cls, catalogue_models.models_reg):
+        q(spark, "/root/testdata/sf0.001")
+    assert [(x.get("cap_train", 0), x.get("cap_eval", 0)) for x in seen] == [(None, None)] * 2
