@@ -66,3 +66,34 @@ NOTICES = {
     "MIT (licensed)": "Licensed under the MIT License.",
     "MIT (spdx)": "SPDX-License-Identifier: MIT",
 }
+
+#: SHA-256 of the canonical forms of long licences; "(terms)" stands for the text without the appendix on its use; fixed values.
+DIGESTS = {
+    "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184": "Apache-2.0",
+    "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0": "Apache-2.0 (terms)",
+    "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a": "Apache-2.0 (terms)",
+    "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2": "Apache-2.0",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e": "GFDL-1.2",
+    "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff": "GFDL-1.3",
+    "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f": "GPL-1.0",
+    "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9": "GPL-1.0 (terms)",
+    "4575f8cf583cfe5694de121df7d28ae3c2043234ee2357a6bc38c20fc1856cf0": "GPL-1.0 (terms)",
+    "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6": "GPL-2.0",
+    "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0": "GPL-2.0 (terms)",
+    "611467176757b44c5c63b6b18b9b61a9e3d7bd13d738d6dde1cdce99fb1f12ef": "GPL-2.0 (terms)",
+    "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8": "GPL-3.0",
+    "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b": "GPL-3.0 (terms)",
+    "7ffc4b405b2d22c9a01c3a22db88495dbca721fad42a69191637c049f0108153": "GPL-3.0 (terms)",
+    "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e": "LGPL-2.0",
+    "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389": "LGPL-2.0 (terms)",
+    "3ea7beb964a4396aa5ad75de90dd58ff01913b237f397517e8563b7acf07d87c": "LGPL-2.0 (terms)",
+    "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692": "LGPL-2.1",
+    "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97": "LGPL-2.1 (terms)",
+    "9c2c2afdce244f7835e438f43966f864ce47d82ebd6316bbcb123927f3280e30": "LGPL-2.1 (terms)",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6": "MPL-1.1",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+    "f507d73d343a3d7b0b7ecd39319f6c349b515eeed80b814918af61cdac69e4a5": "Unlicense",
+    "e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229": "Unlicense",
+}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import text_or_empty
-from basketry.llm.licence_texts import NOTICES, TEXTS
+from basketry.llm.licence_texts import DIGESTS, NOTICES, TEXTS
 
 #: Every known text holds one of these, every known notice the first; fixed values.
 HINTS = ("licen", "permission", "redistribution", "public domain", "warrant")
@@ -64,9 +64,9 @@ def _holds(text: Column, hints: tuple[str, ...]) -> Column:
     return out
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES, digests: dict[str, str] = DIGESTS) -> DataFrame:
     """doc_id, license_id (of an entire text, else null), notices (names of notice lines, sorted, comma-joined) and n_notice_lines."""
-    known, lines_known = digest_table(texts, HINTS), digest_table(notices, HINTS[:1])
+    known, lines_known = digest_table(texts, HINTS) | digests, digest_table(notices, HINTS[:1])
     whole = docs.sparkSession.createDataFrame(sorted(known.items()), "known_digest string, license_id string")
     name_of = F.create_map(*(F.lit(x) for pair in sorted(lines_known.items()) for x in pair))
     text = F.col("text")

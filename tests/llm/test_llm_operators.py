@@ -5,6 +5,7 @@ import hashlib
 import re
 import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -206,6 +207,16 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_long_licenses(spark):
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    rows = [(name, Path(f"/usr/share/common-licenses/{f}").read_text()) for f, name in files.items() if Path(f"/usr/share/common-licenses/{f}").exists()]
+    if not rows:
+        pytest.skip("no licence texts on this machine")
+    rows += [(f"{n} (terms)", t[: t.index("END OF TERMS AND CONDITIONS")]) for n, t in rows if n in ("Apache-2.0", "GPL-3.0")]
+    rows += [(n, t.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Someone")) for n, t in rows if n == "Apache-2.0"]
+    assert [r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).orderBy("doc_id").collect()] == sorted(n for n, _ in rows)
+
+
 def test_quality_measures_equal_brute_force(spark, documents, docs, empty):
     def want(i, t):
         t = t or ""
