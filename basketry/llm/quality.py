@@ -40,7 +40,7 @@ class Threshold:
 
 #: The production table. Ratios are per word or per line.
 THRESHOLDS = (
-    Threshold("n_words", 50, 200_000),
+    Threshold("n_words", 50, None),
     Threshold("mean_word_chars", 2.0, 14.0),
     Threshold("symbols_per_word", None, 0.25),
     Threshold("stop_words", 2, None),

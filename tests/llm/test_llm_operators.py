@@ -232,6 +232,12 @@ def test_quality_measures_equal_brute_force(spark, documents, docs, empty):
     assert report.where("kept and base_failed").count() == 0 and quality.report(empty).count() == 0
 
 
+def test_quality_keeps_long_clean_texts(spark):
+    text = " ".join(f"the {np.base_repr(k, 26).lower()}x of" for k in range(70_000))
+    row = quality.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_words"] == 210_000 and not row["base_failed"] and row["kept"]
+
+
 def _fingerprint(t):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
     shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
