@@ -83,7 +83,9 @@ def run_manifest(spark: SparkSession, folder: str, mode: str, counts: Mapping[st
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report table as Markdown; for frames of a few rows."""
-    rows = df.limit(limit).collect()
+    """A report table as Markdown; for frames of a few rows. More than `limit` rows are an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report table has at most {limit} rows; this frame has more")
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows])

@@ -193,3 +193,11 @@ def test_registered_benchmarks_take_all_rows(spark, monkeypatch):
     for q in (catalogue_models.models_cls, catalogue_models.models_reg):
         q(spark, "/root/testdata/sf0.001")
     assert [(x.get("cap_train", 0), x.get("cap_eval", 0)) for x in seen] == [(None, None)] * 2
+
+
+def test_markdown_table_does_not_cut(spark):
+    from basketry.sources import sinks
+
+    assert sinks.markdown_table(spark.range(3), limit=3).count("\n") == 4
+    with pytest.raises(ValueError, match="at most 3 rows"):
+        sinks.markdown_table(spark.range(4), limit=3)
