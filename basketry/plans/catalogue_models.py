@@ -43,7 +43,7 @@ def embedded_selection(spark, sf):
         one = models.importances(models.fit_classifier(train, _FEATURES, kind), train, _FEATURES).withColumn("model", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     reg = train.where(clean.stage2())
-    for kind in ("lasso", "boosted"):
+    for kind in ("lasso", "elastic_net", "boosted"):
         out = out.unionByName(models.importances(models.fit_regressor(reg, _FEATURES, kind), reg, _FEATURES).withColumn("model", F.lit(f"reg_{kind}")))
     return out
 

@@ -201,3 +201,10 @@ def test_markdown_table_does_not_cut(spark):
     assert sinks.markdown_table(spark.range(3), limit=3).count("\n") == 4
     with pytest.raises(ValueError, match="at most 3 rows"):
         sinks.markdown_table(spark.range(4), limit=3)
+
+
+def test_embedded_selection_has_every_surveyed_model(spark):
+    from basketry.plans import catalogue_models
+
+    models = {r["model"] for r in catalogue_models.embedded_selection(spark, "/root/testdata/sf0.001").select("model").distinct().collect()}
+    assert models == {"l1", "elastic_net", "boosted", "reg_lasso", "reg_elastic_net", "reg_boosted"}
