@@ -20,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, a temporary folder is used.
+    The cluster names it in spark.checkpoint.dir. Only on one machine (a local master), as in tests, a
+    temporary folder is used where that is unset.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = named or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='basketry-')}"
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='basketry-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -43,6 +46,14 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value computed once for a row, although use refers to it many times."""
     return F.element_at(F.transform(F.array(value), use), 1)

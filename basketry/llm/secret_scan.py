@@ -7,7 +7,8 @@ findings, and joins the findings of the ledger back to all paths.
 
 Defined results: a null text is the empty text and has no findings; null or repeated path columns
 are kept as they are, one row out for each row in; an empty table gives an empty result; columns
-beyond the named ones are not read, so their names cannot clash. Texts are scanned whole.
+beyond the named ones are not read by a scan and pass through `redact`, so their names cannot clash.
+Of findings that begin at one place the earlier rule comes first. Texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import cut, fresh_path, text_or_empty
+from basketry.llm.common import cut, fresh_path, text_or_empty, unused
 
-FINDINGS = "array<struct<kind:string,start:int,end:int>>"
+#: A finding carries the version of the rule that made it, so that a changed rule leaves nothing behind.
+FINDINGS = "array<struct<version:string,kind:string,start:int,end:int>>"
 LEDGER_SCHEMA = f"blob string, rules array<string>, findings {FINDINGS}"
 
 
@@ -81,14 +83,14 @@ def _scanner(rules: tuple[Rule, ...]):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [re.compile(r.pattern) for r in rules]
         versions = [r.version for r in rules]
-        kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        kind = pa.struct([("version", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             findings, covered = [], []
             for text, due in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = [k for k, v in enumerate(versions) if v in due]
                 covered.append([versions[k] for k in own])
                 found = find(text, [rules[k] for k in own], [compiled[k] for k in own])
-                findings.append([{"kind": rules[own[k]].kind, "start": s, "end": e} for s, k, e in found])
+                findings.append([{"version": versions[own[k]], "kind": rules[own[k]].kind, "start": s, "end": e} for s, k, e in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(covered, pa.list_(pa.string())), pa.array(findings, pa.list_(kind))],
                 names=["blob", "rules", "findings"],
@@ -117,29 +119,32 @@ class BlobLedger:
     def update(self, versions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         """Scan what is missing of versions (blob, text); returns (blob, findings) of all its blobs.
 
-        Copies are dropped before the shuffle by the partial aggregate, so the reducer of a blob
-        gets one row of it from each map task at most.
+        Blobs that the ledger knows are left out by their hashes, before any text moves. Copies are
+        dropped before the shuffle by the partial aggregate, so the reducer of a blob gets one row of
+        it from each map task at most.
         """
-        wanted = F.array(*(F.lit(r.version) for r in rules))
-        blobs = versions.dropDuplicates(["blob"]).withColumn("due", wanted)
-        if not self.new:
-            seen = self.read().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-            blobs = blobs.join(seen, "blob", "left").select(
-                "blob", "text", F.array_except("due", F.coalesce("seen", F.array().cast("array<string>"))).alias("due")
-            ).where(F.size("due") > 0)
-        found = blobs.select("blob", "text", "due").mapInArrow(_scanner(rules), LEDGER_SCHEMA)
+        wanted, own = F.array(*(F.lit(r.version) for r in rules)), None
+        if self.new:
+            due = versions.withColumn("due", wanted)
+        else:
+            own = cut(versions.select("blob").distinct())
+            seen = self.read().select("blob", "rules").join(own, "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+            lacking = own.join(seen, "blob", "left").select(F.col("blob").alias("due_blob"), F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("due")).where(F.size("due") > 0)
+            due = versions.join(lacking, F.col("blob") == F.col("due_blob")).drop("due_blob")
+        found = due.dropDuplicates(["blob"]).select("blob", "text", "due").mapInArrow(_scanner(rules), LEDGER_SCHEMA)
         found.write.mode("append").parquet(self.path)
         self.new = False
         # Written, so that the join back has plain exchanges on both sides and Spark can split a blob that many paths hold.
-        return cut(self.findings(rules))
+        return cut(self.findings(rules, own))
 
-    def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
-        """(blob, findings) with the findings of these rules by start, then rule order."""
-        kinds = F.array(*(F.lit(r.kind) for r in rules))
-        merged = self.read().groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("all"))
+    def findings(self, rules: tuple[Rule, ...], blobs: DataFrame | None = None) -> DataFrame:
+        """(blob, findings) with the findings of these versions of the rules by start, then rule order. blobs: only of these."""
+        versions = F.array(*(F.lit(r.version) for r in rules))
+        ledger = self.read() if blobs is None else self.read().join(blobs, "blob", "left_semi")
+        merged = ledger.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("all"))
         keyed = F.transform(
-            F.filter("all", lambda x: F.array_contains(kinds, x["kind"])),
-            lambda x: F.struct(x["start"].alias("start"), F.array_position(kinds, x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")),
+            F.filter("all", lambda x: F.array_contains(versions, x["version"])),
+            lambda x: F.struct(x["start"].alias("start"), F.array_position(versions, x["version"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")),
         )
         plain = F.transform(F.array_sort(F.array_distinct(keyed)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
         return merged.select("blob", plain.alias("findings"))
@@ -167,12 +172,13 @@ def redact(docs: DataFrame, text_col: str = "text", ledger: BlobLedger | None =
     replacement; the join back is by blob.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    keyed = docs.withColumn("__blob", F.sha2(text_or_empty(text_col), 256))
-    found = ledger.update(keyed.select(F.col("__blob").alias("blob"), text_or_empty(text_col).alias("text")), rules)
-    found = found.where(F.size("findings") > 0).select(F.col("blob").alias("__found_blob"), F.col("findings").alias("__findings"))
+    own_blob, found_blob, findings = (unused(docs, n) for n in ("blob", "found_blob", "findings"))
+    keyed = docs.withColumn(own_blob, F.sha2(text_or_empty(text_col), 256))
+    found = ledger.update(keyed.select(F.col(own_blob).alias("blob"), text_or_empty(text_col).alias("text")), rules)
+    found = found.where(F.size("findings") > 0).select(F.col("blob").alias(found_blob), F.col("findings").alias(findings))
     # Pieces: from the end of the furthest earlier span to the start of the next, each gap closed by one mask.
     spans = F.aggregate(
-        "__findings",
+        findings,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["end"]).alias("at"),
@@ -183,8 +189,8 @@ def redact(docs: DataFrame, text_col: str = "text", ledger: BlobLedger | None =
         ),
     )
     rest = F.concat(spans["out"], F.substring(F.col(text_col), spans["at"] + 1, F.lit(2**31 - 1)))
-    joined_docs = keyed.join(found, keyed["__blob"] == found["__found_blob"], "left")
-    out = joined_docs.withColumn(text_col, F.when(F.col("__findings").isNull(), F.col(text_col)).otherwise(rest))
+    joined_docs = keyed.join(found, F.col(own_blob) == F.col(found_blob), "left")
+    out = joined_docs.withColumn(text_col, F.when(F.col(findings).isNull(), F.col(text_col)).otherwise(rest))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__findings").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(findings).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
