@@ -11,14 +11,15 @@ from basketry.llm.common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the least node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "node")
+    # Written, so that the join has plain exchanges and Spark can split a node that most edges share.
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "node"))
     return both.join(least, F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node")
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node"))
     joined = down.join(least, F.col("u") == F.col("node"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 

@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import cut, text_or_empty
+from basketry.llm.common import cut, text_or_empty, unused
 from basketry.llm.components import components
 
 SEED = 42
@@ -230,12 +230,17 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
 
 
 def _classes(prints: DataFrame, radius: int, tile: int) -> DataFrame:
-    """fp, component_id and root of each distinct fingerprint of prints (doc_id, fp)."""
+    """fp, component_id and root of each distinct fingerprint of prints (doc_id, fp).
+
+    Only fingerprints with a link take part in the naming. The names are written before the join, so
+    that both of its sides are plain exchanges and Spark can split a root that most rows share.
+    """
     firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(firsts.select("fp"), radius, tile))
-    rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "named_root")
-    return rooted.join(named, F.col("root") == F.col("named_root")).select(F.col("fp").alias("class_fp"), "component_id", "root", "first_id")
+    linked = cut(firsts.join(components(links(firsts.select("fp"), radius, tile)), F.col("fp") == F.col("node")).select("node", "root", "first_id"))
+    named = cut(linked.groupBy(F.col("root").alias("named_root")).agg(F.min("first_id").alias("least_id")))
+    names = linked.join(named, F.col("root") == F.col("named_root")).select("node", "root", "least_id")
+    joined = firsts.join(names, F.col("fp") == F.col("node"), "left")
+    return joined.select(F.col("fp").alias("class_fp"), F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"), "first_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -254,19 +259,14 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The documents, one for each component: the one with the least id, null ids last.
 
     Of equal rows that qualify, one is kept; rows that share that id and a fingerprint are told
-    apart by their text.
+    apart by their text. Columns of docs may have any names.
     """
-    keyed = with_fingerprint(docs, text_col, "__fp", shingle).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
-    prints = cut(keyed.select(F.col("__id").alias("doc_id"), F.col("__fp").alias("fp")))
+    fp, own, place, best_id, best_fp = (unused(docs, n) for n in ("fp", "own_id", "place", "best_id", "best_fp"))
+    keyed = with_fingerprint(docs, text_col, fp, shingle).withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
+    prints = cut(keyed.select(F.col(own).alias("doc_id"), F.col(fp).alias("fp")))
     classes = _classes(prints, radius, tile)
-    best = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").alias("i"), F.col("class_fp").alias("f"))).alias("best")).select(F.col("best.i").alias("__best_id"), F.col("best.f").alias("__best_fp"))
-    kept = keyed.join(best, (F.col("__id") == F.col("__best_id")) & (F.col("__fp") == F.col("__best_fp")), "left_semi")
-    return _one_each(kept, text_col).select(*docs.columns)
-
-
-def _one_each(kept: DataFrame, text_col: str) -> DataFrame:
-    """One row for each (__id, __fp), the least by the hash of its text; groups are only as large as a row is repeated."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64(F.col(text_col)))
-    return kept.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").alias("i"), F.col("class_fp").alias("f"))).alias("best")).select(F.col("best.i").alias(best_id), F.col("best.f").alias(best_fp))
+    kept = keyed.join(best, (F.col(own) == F.col(best_id)) & (F.col(fp) == F.col(best_fp)), "left_semi")
+    # Groups are only as large as a row is repeated.
+    w = Window.partitionBy(own, fp).orderBy(F.xxhash64(F.col(text_col)))
+    return kept.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).select(*docs.columns)
