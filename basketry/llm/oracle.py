@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from basketry.llm.quality import MARKS
+from basketry.llm import licenses
+from basketry.llm.licence_texts import DIGESTS, NOTICES, TEXTS
+from basketry.llm.quality import MARKS, STOP_WORDS, THRESHOLDS
 from basketry.llm.queries import LIST_ENTRIES
+from basketry.llm.secret_scan import BASE_RULES, RULES
 
 
 def _url_filter() -> str:
@@ -31,6 +34,82 @@ SELECT page_id, url, fetched_at, host, CAST(coalesce(hits, 0) AS BIGINT) AS n_hi
 """
 
 
+#: White space and words of the contracts, as RE2 writes them.
+_SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _secret_scan() -> str:
+    """Matches lie between the parts of a split by the same pattern, so their places are sums of lengths."""
+    words = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    pattern = {r.kind: r.pattern.replace("(?ai:(password|passwd|secret|token|api_?key))", f"({words})") for r in RULES}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({k}, {quoted(r.kind)})" for k, r in enumerate(RULES))
+    each = " UNION ALL ".join(
+        f"SELECT rid, {k} AS k, string_split_regex(t, {quoted(pattern[r.kind])}) AS parts, regexp_extract_all(t, {quoted(pattern[r.kind])}) AS hits, regexp_extract_all(t, {quoted(pattern[r.kind])}, {r.group}) AS told, {r.least} AS least FROM d"
+        for k, r in enumerate(RULES)
+    )
+    base = len(BASE_RULES)
+    text_of = "kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(s + n AS VARCHAR)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+rules(k, kind) AS (VALUES {rules}),
+m AS ({each}),
+h AS (SELECT rid, k, hits, told, least, parts, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+f AS (SELECT rid, k, coalesce(list_sum(list_transform(parts[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hits[i]) AS n FROM h WHERE length(told[i]) >= least),
+g AS (SELECT rid, CAST(count(*) FILTER (k = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (k = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (k = 2) AS BIGINT) AS n_hex,
+  string_agg({text_of}, ',' ORDER BY s, k) FILTER (k < {base}) AS base, string_agg({text_of}, ',' ORDER BY s, k) AS spans FROM f JOIN rules USING (k) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
+
+def _license_scan() -> str:
+    known, lines = licenses.digest_table(TEXTS, licenses.HINTS) | DIGESTS, licenses.digest_table(NOTICES, licenses.HINTS[:1])
+    values = lambda t: ", ".join(f"('{d}', '{n}')" for d, n in sorted(t.items()))
+    line = licenses.COPYRIGHT_LINE.replace("'", "''")
+
+    def canonical(x: str) -> str:
+        out = f"regexp_replace(regexp_replace(lower({x}), '{line}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')".replace("\\\\", "\\")
+        for a, b in licenses.SPELLINGS:
+            out = f"replace({out}, '{a}', '{b}')"
+        return f"trim({out}, ' ')"
+
+    return f"""
+WITH known(digest, license_id) AS (VALUES {values(known)}), notices(digest, notice) AS (VALUES {values(lines)}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT rid, notice FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) JOIN notices ON sha256({canonical("line")}) = digest),
+n AS (SELECT rid, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices, count(*) AS n_notice_lines FROM l GROUP BY rid)
+SELECT doc_id, license_id, coalesce(notices, '') AS notices, coalesce(n_notice_lines, 0) AS n_notice_lines FROM d LEFT JOIN known ON sha256({canonical("t")}) = digest LEFT JOIN n USING (rid)
+"""
+
+
+def _quality_rules() -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    value = {
+        "n_words": "n_words", "mean_word_chars": "word_chars / w", "symbols_per_word": "n_symbols / w", "stop_words": "stop_words",
+        "dup_line_share": "CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0)", "repeat_word_share": "n_repeat_words / w", "upper_word_share": "upper_words / w",
+    }
+    tests = [f"coalesce({value[t.measure]} {op} CAST({limit} AS DOUBLE), true)" for t in THRESHOLDS for op, limit in ((">=", t.least), ("<=", t.most)) if limit is not None]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') AS words FROM d),
+u AS (SELECT rid, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM w),
+c AS (SELECT rid, count(*) AS n_words, CAST(sum(length(x)) AS BIGINT) AS word_chars, count(*) FILTER (lower(x) IN ({stop})) AS stop_words, count(*) FILTER (regexp_matches(x, '^[^\\p{{Ll}}]*\\p{{Lu}}{{2}}[^\\p{{Ll}}]*$')) AS upper_words FROM u GROUP BY rid),
+v AS (SELECT rid, i, x AS a, lead(x, 1) OVER o AS b, lead(x, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+p AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM v WHERE c IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM p CROSS JOIN range(3) AS s(k) WHERE n > 1 GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY rid),
+m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(translate(t, '{MARKS}', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(stop_words, 0) AS stop_words, coalesce(upper_words, 0) AS upper_words, n_lines, CAST(nullif(n_words, 0) AS DOUBLE) AS w
+  FROM d LEFT JOIN c USING (rid) LEFT JOIN r USING (rid) LEFT JOIN l USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, stop_words, upper_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {" AND ".join(tests)} AS kept FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     assert MARKS == "#*$%&|<>"
-    return {"op3_url_filter": _url_filter()}
+    return {"op1_secret_scan": _secret_scan(), "op3_url_filter": _url_filter(), "op7_license_scan": _license_scan(), "op8_quality_rules": _quality_rules()}
