@@ -5,15 +5,18 @@ is rated by the number of distinct words that it follows and backs off to its fi
 by the number of distinct words that begin so, and these to fewer letters. Backoff weights are those
 of the pooled counts of both classes, so an expression that neither class holds favours neither.
 
-Features of a text: the log-likelihood difference of the whole text by its number of words, and what
-exceeds a margin in single words, by the number of words and as a logarithm, so that a few expressions count in a long text. A logistic curve over
-them, fitted on texts that the counts did not come from, gives the score.
+Features of a text, all by the number of words: the log-likelihood difference of the whole text, what exceeds a
+margin in single words, so that a few expressions count in a long text, and the difference of the
+window that has the greatest. A logistic curve over them, fitted on texts that the counts did not
+come from, gives the score.
 
 The counts are made over all labelled rows; only the logistic curve is fitted on a bounded sample,
-the first `max_toxic` and `max_ordinary` ids of each class by hash. Words are counted by their 64-bit
-hashes, in blobs by the first bits of these. The model holds the words, beginnings and bigrams that are
-more frequent than the discount, and the words of such bigrams. It grows with the rows, so it is
-not broadcast but a sorted file on the disk of each executor, of which lookups read what they need.
+the first `max_toxic` and `max_ordinary` ids of each class by hash outside fold 0. Words are counted by
+their 64-bit hashes, in blobs by the first bits of these. Of the words, beginnings and bigrams that are
+more frequent than the discount, the model holds those whose counts tell more than their backoff
+(a test of the likelihood ratio); the others have the difference of their backoff. It grows with the
+rows, so it is not broadcast but a sorted file on the disk of each executor, of which lookups read
+what they need; it passes through the driver's disk a few thousand rows at a time.
 
 Defined results: a null text is the empty text; empty texts get the score of no evidence; null or
 repeated ids are scored row by row; labels with null id or value are ignored, a document with
@@ -29,7 +32,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -48,6 +51,14 @@ DISCOUNT, PAIR_DISCOUNT = 3.0, 2.0
 STEMS = (7, 6, 5, 4, 3)
 #: A word whose difference exceeds this speaks for itself, also in a long ordinary text.
 STRONG = 1.0
+#: One in so many rows by hash lies outside fold 0; the curve is fitted on such rows.
+CURVE_SHARE = 4
+#: An expression is kept if its counts in the two classes depart so far from those that its backoff lets expect (twice the log-likelihood ratio; 3.84 is the 5 % point).
+TELLING = 3.84
+#: The window whose mean difference is the greatest speaks for the text, in words.
+WINDOW = 24
+#: `Model.cut` is to catch this share of toxic texts, but to lose no more than that share of ordinary ones.
+RECALL, MOST_LOST = 0.99, 0.01
 #: Texts shorter than this are averaged as if they had so many words.
 LEAST_WORDS = 8
 WORD = re.compile(r"[^\W\d_]+")
@@ -79,14 +90,14 @@ def stem_keys(stems: list[str]) -> np.ndarray:
 
 #: The empty word, before the first word of a text.
 START = hashes([""])[0]
-#: The counts of a row: ordinary (o) and toxic (t), of fold 0, fold 1 and both.
-SUMS = ("o0", "o1", "oall", "t0", "t1", "tall")
-FOLDS = ("0", "1", "all")
+#: The counts of a row: ordinary (o) and toxic (t), of fold 0 and of all. The curve is fitted on rows outside fold 0.
+SUMS = ("o0", "oall", "t0", "tall")
+FOLDS = ("0", "all")
 
 
 @dataclass
 class Lookup:
-    """A sorted table of int64 keys and float32 values in files that Spark copies to each executor's disk; it is mapped, not loaded."""
+    """A sorted table of int64 keys and float16 values in files that Spark copies to each executor's disk; it is mapped, not loaded."""
 
     name: str
     n: int
@@ -104,7 +115,7 @@ class Lookup:
         if not self.n or not len(keys):
             return out
         if self.maps is None:
-            self.maps = np.memmap(SparkFiles.get(f"{self.name}.keys"), np.int64, "r"), np.memmap(SparkFiles.get(f"{self.name}.values"), np.float32, "r").reshape(-1, self.width)
+            self.maps = np.memmap(SparkFiles.get(f"{self.name}.keys"), np.int64, "r"), np.memmap(SparkFiles.get(f"{self.name}.values"), np.float16, "r").reshape(-1, self.width)
         known, values = self.maps
         at = np.searchsorted(known, keys)
         at[at == self.n] = 0
@@ -121,7 +132,7 @@ def publish(df: DataFrame, key: str, columns: list[str]) -> Lookup:
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                values = np.stack([b.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(columns))], 1).astype(np.float32)
+                values = np.stack([b.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(columns))], 1).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["k", "v"])
 
     parts = df.repartitionByRange(rows // 1_000_000 + 1, "key").sortWithinPartitions("key").mapInArrow(blobs, "k binary, v binary")
@@ -139,9 +150,11 @@ class Model:
     """Log-likelihood differences, toxic less ordinary, of bigrams, words and stems by hash, and the logistic curve over the features."""
 
     table: Lookup | None = None
-    #: The column of the table: counts of fold 0, of fold 1, of both.
-    fold: int = 2
+    #: The column of the table: counts of fold 0, or of all rows.
+    fold: int = 1
     curve: np.ndarray | None = None
+    #: Texts with this score or more are to be taken as toxic where a stated recall counts, see `cut_of`.
+    cut: float = 0.5
 
     def __post_init__(self):
         self.rare: dict[int, float] = {}
@@ -169,7 +182,7 @@ class Model:
         return np.array([rare[k] for k in keys])
 
     def features_of(self, texts: list[str]) -> list[tuple[float, float, float]]:
-        """Mean difference per word; mean of what exceeds STRONG per word; logarithm of the sum of that."""
+        """Mean difference per word; mean of what exceeds STRONG per word; mean difference per word of the window with the greatest."""
         split = [words_of(t) for t in texts]
         flat = [w for ws in split for w in ws]
         if not flat or self.table is None:
@@ -184,8 +197,10 @@ class Model:
         rows = []
         for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             one, size = out[start:end], max(end - start, LEAST_WORDS)
-            strong = float(np.maximum(one - STRONG, 0).sum())
-            rows.append((float(one.sum()) / size, strong / size, float(np.log1p(strong))))
+            sums = np.concatenate(([0.0], np.cumsum(one)))
+            long = min(WINDOW, end - start)
+            peak = float((sums[long:] - sums[: len(sums) - long]).max()) / max(long, LEAST_WORDS)
+            rows.append((float(sums[-1]) / size, float(np.maximum(one - STRONG, 0).sum()) / size, peak))
         return rows
 
     def features(self, text: str) -> tuple[float, float, float]:
@@ -195,6 +210,9 @@ class Model:
         if self.curve is None:
             return np.zeros(len(texts))
         x = np.array([design(*f) for part in _some(texts) for f in self.features_of(part)]).reshape(-1, 4)
+        return self.on_curve(x)
+
+    def on_curve(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
 
     def score(self, text: str) -> float:
@@ -223,8 +241,10 @@ def _some(texts: list[str], least: int = 2_000_000) -> Iterator[list[str]]:
         yield run
 
 
-def design(mean: float, strong: float, weight: float) -> np.ndarray:
-    return np.array([1.0, mean, strong, weight])
+def design(mean: float, strong: float, peak: float) -> np.ndarray:
+    """The columns of the curve; logarithms, so that single short texts do not bend it."""
+    damped = np.log1p(np.abs([10 * mean, 100 * strong, 10 * peak]))
+    return np.array([1.0, *(np.copysign(damped, [mean, strong, peak]))])
 
 
 BLOB = "bucket int, size long, blob binary"
@@ -307,9 +327,9 @@ def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
 
 
 def _folds(counts: np.ndarray) -> np.ndarray:
-    """Four counts as those of SUMS."""
+    """Four counts (two classes, inside and outside fold 0) as those of SUMS."""
     o0, o1, t0, t1 = counts.T
-    return np.stack([o0, o1, o0 + o1, t0, t1, t0 + t1], 1)
+    return np.stack([o0, o0 + o1, t0, t0 + t1], 1)
 
 
 MERGED = "kind int, v long, w long, word string, " + ", ".join(f"{n} long" for n in SUMS) + ", " + BLOB
@@ -322,7 +342,7 @@ def _merged(bits: int):
         none = lambda t: pa.nulls(n, t)
         long = lambda x: none(pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64))
         cols = [pa.array(np.full(n, kind, np.int32)), long(v), long(w), none(pa.string()) if word is None else pa.array(word, pa.string())]
-        cols += [long(None if sums is None else sums[:, k]) for k in range(6)]
+        cols += [long(None if sums is None else sums[:, k]) for k in range(len(SUMS))]
         cols += [pa.array([b[k] for b in blobs], t) if blobs else none(t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))]
         return pa.RecordBatch.from_arrays(cols, names=["kind", "v", "w", "word", *SUMS, "bucket", "size", "blob"])
 
@@ -336,9 +356,9 @@ def _merged(bits: int):
             sums = _folds(counts)
             starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             yield batch(0, len(starts), w=w[starts], word=[names[x] for x in w[starts].tolist()], sums=np.add.reduceat((sums > 0).astype(np.int64), starts, axis=0))
-            kept = np.maximum(sums[:, 2], sums[:, 5]) > PAIR_DISCOUNT
+            kept = np.maximum(sums[:, 1], sums[:, 3]) > PAIR_DISCOUNT
             yield batch(1, int(kept.sum()), v=v[kept], w=w[kept], sums=sums[kept])
-            (first,), seen = _summed((v,), np.concatenate([counts, np.stack([(sums[:, k] + sums[:, k + 3]) > 0 for k in range(3)], 1)], 1))
+            (first,), seen = _summed((v,), np.concatenate([counts, np.stack([(sums[:, k] + sums[:, k + 2]) > 0 for k in range(2)], 1)], 1))
             seen = _narrow(seen)
             blobs = list(_blobs(first, bits, lambda a, b: (first[a:b], seen[a:b])))
             yield batch(2, len(blobs), blobs=blobs)
@@ -357,7 +377,7 @@ def _histories(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (v,), seen = _summed((np.concatenate([x[0] for x in held]),), np.concatenate([x[1] for x in held]))
         held.clear()
         sums = np.concatenate([_folds(seen[:, :4]), seen[:, 4:]], 1)
-        kept = np.maximum(sums[:, 2], sums[:, 5]) > PAIR_DISCOUNT
+        kept = np.maximum(sums[:, 1], sums[:, 3]) > PAIR_DISCOUNT
         v, sums = v[kept].view(np.int64), sums[kept]
         yield pa.RecordBatch.from_arrays([pa.array(v), *(pa.array(np.ascontiguousarray(c)) for c in sums.T)], names=["v", *(f"n{n}" for n in SUMS), *(f"d{f}" for f in FOLDS)])
 
@@ -369,7 +389,7 @@ def _marked(docs: DataFrame, labels: DataFrame, id_col: str, held_out: Column |
     if held_out is not None:
         marked = marked.where(~held_out)
     marked = marked.withColumn("h", F.xxhash64("label_id"))
-    return cut(marked.withColumn("part", (F.col("toxic") * 2 + F.pmod("h", F.lit(2))).cast("int")).withColumn("key", F.xxhash64(F.col("label_id").cast("string"))))
+    return cut(marked.withColumn("part", (F.col("toxic") * 2 + (F.pmod("h", F.lit(CURVE_SHARE)) == 0).cast("int")).cast("int")).withColumn("key", F.xxhash64(F.col("label_id").cast("string"))))
 
 
 def _blend(kt, ko, totals, which, back_t, back_o):
@@ -382,15 +402,23 @@ def _blend(kt, ko, totals, which, back_t, back_o):
     return np.maximum(kt - DISCOUNT, 0) / total_t + weight * back_t, np.maximum(ko - DISCOUNT, 0) / total_o + weight * back_o
 
 
+def telling(t: np.ndarray, o: np.ndarray, back_t: np.ndarray, back_o: np.ndarray, totals: dict) -> np.ndarray:
+    """Whether counts depart from the split that the probabilities of the backoff let expect."""
+    a, b = back_t * max(totals["tall"], 1), back_o * max(totals["oall"], 1)
+    n, share = t + o, a / (a + b)
+    part = lambda k, p: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(n * p, 1e-9)), 0.0)
+    return 2 * (part(t, share) + part(o, 1 - share)) >= TELLING
+
+
 def rate(words: pd.DataFrame, stems: pd.DataFrame, totals: dict, which: str) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Probabilities t and o of words and stems by the counts of a fold; all that begin with the same first letters must be there.
+    """Probabilities t and o of words and stems by the counts of a fold, and whether they tell more than their backoff; all that begin with the same first letters must be there.
 
     totals: by number of letters, 0 for words; 'stems' and 'words' for the pooled sums of the fewest letters and of the kept words.
     """
     t, o = f"t{which}", f"o{which}"
     # Stems, from the fewest letters to the most.
     prob: dict[str, tuple[float, float]] = {}
-    out = []
+    tells: list[bool] = []
     stems = stems[(stems[t] + stems[o]) > 0]
     for n in sorted(STEMS):
         level = stems[stems["letters"] == n]
@@ -407,8 +435,9 @@ def rate(words: pd.DataFrame, stems: pd.DataFrame, totals: dict, which: str) ->
         within = (kt + ko) / np.array([sums[p] for p in parents])
         back_t, back_o = (np.array([prob.get(p, (1.0, 1.0))[i] for p in parents]) * within for i in (0, 1))
         pt, po = _blend(kt, ko, totals[n], which, back_t, back_o)
+        tells += telling(kt, ko, back_t, back_o, totals[n]).tolist()
         prob.update(zip(keys, zip(pt.tolist(), po.tolist(), strict=True), strict=True))
-    out = pd.DataFrame([(k, *x) for k, x in prob.items()], columns=["text", "t", "o"])
+    out = pd.DataFrame([(k, *x) for k, x in prob.items()], columns=["text", "t", "o"]).assign(tells=np.array(tells, bool))
     # Words, by the number of distinct words before them.
     words = words[(words[t] + words[o]) > 0]
     kt, ko = words[t].to_numpy(float), words[o].to_numpy(float)
@@ -421,10 +450,11 @@ def rate(words: pd.DataFrame, stems: pd.DataFrame, totals: dict, which: str) ->
     within = (kt + ko) / np.array([sums[s] for s in parents])
     back_t, back_o = (np.array([prob.get(s, (1.0, 1.0))[i] for s in parents]) * within for i in (0, 1))
     word_t, word_o = _blend(kt, ko, totals[0], which, back_t, back_o)
-    return words[["text"]].assign(t=word_t, o=word_o), out
+    tells = telling(kt, ko, back_t, back_o, totals[0])
+    return words[["text"]].assign(t=word_t, o=word_o, tells=tells), out
 
 
-RATED = "is_word boolean, key long, " + ", ".join(f"p{c}{f} double" for f in FOLDS for c in "to")
+RATED = "is_word boolean, key long, tells boolean, " + ", ".join(f"p{c}{f} double" for f in FOLDS for c in "to")
 
 
 def _rated(totals: dict):
@@ -439,23 +469,32 @@ def _rated(totals: dict):
         both = [words[["text"]].drop_duplicates(), stems[["text"]].drop_duplicates()]
         for f in FOLDS:
             for k, one in enumerate(rate(words, stems, totals, f)):
-                both[k] = both[k].merge(one.rename(columns={"t": f"pt{f}", "o": f"po{f}"}), "left", "text")
+                one = one.rename(columns={"t": f"pt{f}", "o": f"po{f}"})
+                both[k] = both[k].merge(one if f == FOLDS[-1] else one.drop(columns="tells"), "left", "text")
         yield both[0].assign(is_word=True, key=hashes(both[0]["text"].tolist()).view(np.int64)).drop(columns="text")[[c.split()[0] for c in RATED.split(", ")]]
         yield both[1].assign(is_word=False, key=stem_keys(both[1]["text"].tolist())).drop(columns="text")[[c.split()[0] for c in RATED.split(", ")]]
 
     return run
 
 
-def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Differences of bigrams with the counts of their first word and the probabilities of their second."""
-    for b in batches:
-        out = {"key": pair_keys(b["v"].to_numpy(np.int64).view(np.uint64), b["w"].to_numpy(np.int64).view(np.uint64))}
-        for f in FOLDS:
-            nt, no = b[f"nt{f}"].to_numpy(float), b[f"no{f}"].to_numpy(float)
-            weight = np.minimum(0.95, PAIR_DISCOUNT * b[f"d{f}"].to_numpy(float) / np.maximum(nt + no, 1))
-            one = lambda c, n, back: np.where(n > 0, np.maximum(c - PAIR_DISCOUNT, 0) / np.maximum(n, 1) + weight * back, back)  # noqa: B023, E731
-            out[f"x{f}"] = np.log(one(b[f"t{f}"].to_numpy(float), nt, b[f"pt{f}"].to_numpy(float))) - np.log(one(b[f"o{f}"].to_numpy(float), no, b[f"po{f}"].to_numpy(float)))
-        yield pd.DataFrame(out)
+def _paired(totals: dict):
+    """Differences of bigrams that tell more than their second word, from the counts of their first word and the probabilities of their second."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _differences(b[telling(*(b[c].to_numpy(float) for c in ("tall", "oall", "ptall", "poall")), totals)])
+
+    return run
+
+
+def _differences(b: pd.DataFrame) -> pd.DataFrame:
+    out = {"key": pair_keys(b["v"].to_numpy(np.int64).view(np.uint64), b["w"].to_numpy(np.int64).view(np.uint64))}
+    for f in FOLDS:
+        nt, no = b[f"nt{f}"].to_numpy(float), b[f"no{f}"].to_numpy(float)
+        weight = np.minimum(0.95, PAIR_DISCOUNT * b[f"d{f}"].to_numpy(float) / np.maximum(nt + no, 1))
+        one = lambda c, n, back: np.where(n > 0, np.maximum(c - PAIR_DISCOUNT, 0) / np.maximum(n, 1) + weight * back, back)  # noqa: B023, E731
+        out[f"x{f}"] = np.log(one(b[f"t{f}"].to_numpy(float), nt, b[f"pt{f}"].to_numpy(float))) - np.log(one(b[f"o{f}"].to_numpy(float), no, b[f"po{f}"].to_numpy(float)))
+    return pd.DataFrame(out)
 
 
 def _parent(stem: str, n: int) -> str:
@@ -469,13 +508,13 @@ def _parent(stem: str, n: int) -> str:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
     """held_out: a condition on label_id; such rows are not learnt from. max_toxic, max_ordinary: rows that the curve is fitted on."""
     marked = _marked(docs, labels, id_col, held_out)
-    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    if not min(sizes.get(0, 0), sizes.get(1, 0)):
+    counts = Counter({r["part"]: r["count"] for r in marked.groupBy("part").count().collect()})
+    if not counts[0] + counts[1] or not counts[2] + counts[3]:
         return Model()
     ids = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id IS NOT NULL")
     parts = publish(marked, "key", ["part"])
     # A bucket holds the bigrams of about 3 million characters, so that one fits a worker.
-    share = sum(sizes.values()) / max(1, docs.count())
+    share = counts.total() / max(1, docs.count())
     bits = max(2, int(np.ceil(np.log2(max(1.0, min(1.0, share) * (ids.agg(F.sum(F.length("text"))).first()[0] or 0) / 3e6)))))
     by_bucket = lambda df: df.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
     raw = ids.select(F.xxhash64(F.col("doc_id").cast("string")), "text").mapInArrow(_counted(parts, bits), BLOB)
@@ -499,44 +538,56 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     first = F.when(F.length("text") >= min(STEMS), F.substring("text", 1, min(STEMS))).otherwise(F.when(F.col("letters") == 0, F.concat("text", F.lit("$"))).otherwise(F.col("text")))
     rated = cut(kept.repartition(first).mapInPandas(_rated(totals), RATED))
     with_history = pairs.join(history, "v").join(rated.where("is_word").drop("is_word").withColumnRenamed("key", "w"), "w")
-    singles = rated.select("key", *((F.log(f"pt{f}") - F.log(f"po{f}")).alias(f"x{f}") for f in FOLDS))
-    table = publish(singles.unionByName(with_history.mapInPandas(_paired, "key long, x0 double, x1 double, xall double").select("key", "x0", "x1", "xall")), "key", ["x0", "x1", "xall"])
-    # Each half of a sample is scored with the counts of the other half, and the curve is fitted to that.
-    chosen = marked.where("toxic = 1").orderBy("h", "label_id").limit(max_toxic).unionByName(marked.where("toxic = 0").orderBy("h", "label_id").limit(max_ordinary))
+    singles = rated.where("tells").select("key", *((F.log(f"pt{f}") - F.log(f"po{f}")).alias(f"x{f}") for f in FOLDS))
+    table = publish(singles.unionByName(with_history.mapInPandas(_paired(totals[0]), "key long, x0 double, xall double")), "key", ["x0", "xall"])
+    # Rows outside fold 0 are scored with the counts of fold 0, and the curve is fitted to that.
+    outside = marked.where("part % 2 = 1")
+    chosen = outside.where("toxic = 1").orderBy("h", "label_id").limit(max_toxic).unionByName(outside.where("toxic = 0").orderBy("h", "label_id").limit(max_ordinary))
     # At most max_toxic + max_ordinary rows of an id and a number.
-    rows = ids.join(F.broadcast(chosen.select("label_id", "part")), F.col("doc_id") == F.col("label_id")).select("text", "part")
-    ratio = min(1.0, max_toxic / sizes[1]) / min(1.0, max_ordinary / sizes[0])
+    rows = ids.join(F.broadcast(chosen.select("label_id", "toxic")), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+
+    ratio = min(1.0, max_toxic / max(1, counts[3])) / min(1.0, max_ordinary / max(1, counts[1]))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        halves = [Model(table, 1), Model(table, 0)]
+        own = Model(table, 0)
         for pdf in batches:
-            for fold in (0, 1):
-                own = pdf[pdf["part"] % 2 == fold]
-                x = [f for part in _some(own["text"].tolist()) for f in halves[fold].features_of(part)]
-                yield pd.DataFrame(x, columns=["mean", "strong", "weight"]).assign(toxic=(own["part"] // 2).to_numpy())
+            x = [f for part in _some(pdf["text"].tolist()) for f in own.features_of(part)]
+            yield pd.DataFrame(x, columns=["mean", "strong", "peak"]).assign(toxic=pdf["toxic"].to_numpy())
 
-    seen = rows.mapInPandas(features, "mean double, strong double, weight double, toxic int").toPandas()
+    seen = rows.mapInPandas(features, "mean double, strong double, peak double, toxic int").toPandas()
     if not len(seen):
         return Model()
-    curve = logistic(np.array([design(*x) for x in seen[["mean", "strong", "weight"]].to_numpy()]), seen["toxic"].to_numpy(float), np.where(seen["toxic"] == 1, 1.0, ratio))
-    return Model(table, 2, curve)
+    x, y = np.array([design(*x) for x in seen[["mean", "strong", "peak"]].to_numpy()]), seen["toxic"].to_numpy(float)
+    model = Model(table, 1, logistic(x, y, np.where(y == 1, 1.0, ratio)))
+    return replace(model, cut=cut_of(model.on_curve(x), y))
+
+
+def cut_of(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The score that RECALL of the toxic rows reach, but for which no more than MOST_LOST of the ordinary ones do; 0.5 at most."""
+    if not toxic.any() or toxic.all():
+        return 0.5
+    by_recall = np.quantile(scores[toxic == 1], 1 - RECALL, method="lower")
+    by_loss = np.nextafter(np.quantile(scores[toxic == 0], 1 - MOST_LOST, method="higher"), 1)
+    return float(min(0.5, max(by_recall, by_loss)))
 
 
 def _totals() -> list[Column]:
     return [*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in SUMS), *(F.coalesce(F.sum(F.least(F.col(n), F.lit(DISCOUNT))), F.lit(0.0)).alias(f"low_{n}") for n in SUMS)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
-    """Coefficients by Newton's method with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 100) -> np.ndarray:
+    """Coefficients by Newton's method with a small ridge, on columns that are scaled to a deviation of one."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    x = x / scale
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (weight * (y - p)) - ridge * beta
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(len(beta)), grad)
-        beta += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), grad)
+        beta += step * min(1.0, 2 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
             break
-    return beta
+    return beta / scale
 
 
 def scores(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
