@@ -68,9 +68,13 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def stem_of(word: str, n: int) -> str:
+    """The first n letters of a word; a shorter word ends in a mark."""
+    return word[:n] if len(word) >= n else f"{word}$"
+
+
 def stems_of(word: str) -> list[str]:
-    """The first letters of a word by decreasing number; a shorter word ends in a mark."""
-    return [word[:n] if len(word) >= n else f"{word}$" for n in STEMS]
+    return [stem_of(word, n) for n in STEMS]
 
 
 def hashes(strings: list[str]) -> np.ndarray:
@@ -168,17 +172,20 @@ class Model:
     def _unknown(self, h: np.ndarray, words: list[str]) -> np.ndarray:
         """Differences of words that are not in the table: that of the longest known stem."""
         rare = self.rare
-        if len(rare) > 200_000:
+        if len(rare) > 100_000:
             rare.clear()
         keys = h.tolist()
-        new = list({k: w for k, w in zip(keys, words, strict=True) if k not in rare}.items())
-        if new:
-            stems = [stems_of(w) for _, w in new]
-            flat, at = np.unique(np.array([s for x in stems for s in x], dtype=object), return_inverse=True)
-            found = self._find(stem_keys(flat.tolist()))[at].reshape(len(new), len(STEMS))
+        new = {k: w for k, w in zip(keys, words, strict=True) if k not in rare}
+        rest = np.array(list(new.values()), dtype=object)
+        out, at = np.zeros(len(rest)), np.arange(len(rest))
+        for n in STEMS:
+            if not len(at):
+                break
+            found = self._find(stem_keys([stem_of(w, n) for w in rest[at].tolist()]))
             known = ~np.isnan(found)
-            first = np.where(known.any(1), found[np.arange(len(new)), known.argmax(1)], 0.0)
-            rare.update(zip((k for k, _ in new), first.tolist(), strict=True))
+            out[at[known]] = found[known]
+            at = at[~known]
+        rare.update(zip(new, out.tolist(), strict=True))
         return np.array([rare[k] for k in keys])
 
     def features_of(self, texts: list[str]) -> list[tuple[float, float, float]]:
@@ -228,7 +235,7 @@ def _before(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return v
 
 
-def _some(texts: list[str], least: int = 2_000_000) -> Iterator[list[str]]:
+def _some(texts: list[str], least: int = 500_000) -> Iterator[list[str]]:
     """The texts in runs of at least so many characters."""
     run, size = [], 0
     for t in texts:
@@ -513,9 +520,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return Model()
     ids = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id IS NOT NULL")
     parts = publish(marked, "key", ["part"])
-    # A bucket holds the bigrams of about 3 million characters, so that one fits a worker.
+    # A bucket holds the bigrams of about 2 million characters, so that one fits a worker.
     share = counts.total() / max(1, docs.count())
-    bits = max(2, int(np.ceil(np.log2(max(1.0, min(1.0, share) * (ids.agg(F.sum(F.length("text"))).first()[0] or 0) / 3e6)))))
+    bits = max(2, int(np.ceil(np.log2(max(1.0, min(1.0, share) * (ids.agg(F.sum(F.length("text"))).first()[0] or 0) / 2e6)))))
     by_bucket = lambda df: df.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
     raw = ids.select(F.xxhash64(F.col("doc_id").cast("string")), "text").mapInArrow(_counted(parts, bits), BLOB)
     merged = cut(by_bucket(raw).mapInArrow(_merged(bits), MERGED))
