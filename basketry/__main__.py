@@ -27,10 +27,11 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "build":
             print(build.run(fact, dim, a.out, a.mode))
         else:
-            df = prepare(fact, dim)
+            df = rollup.with_price_bins(prepare(fact, dim))
             daily = rollup.core_daily(df)
-            sinks.save_parquet(daily, f"{a.out}/core_daily.parquet")
-            sinks.save_parquet(rollup.order_lines(df, daily), f"{a.out}/orders_line.parquet")
+            for name, out in (("core_daily", daily), ("orders_line", rollup.order_lines(df, daily))):
+                path = sinks.save_parquet(out, f"{a.out}/{name}.parquet")
+                sinks.save_csv(spark.read.parquet(path), f"{a.out}/{name}.csv", sep="|")
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return 1

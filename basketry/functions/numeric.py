@@ -51,10 +51,10 @@ def rounded_quantity(raw: Column, tolerance: float = 0.05) -> tuple[Column, Colu
     return q, F.coalesce((F.abs(raw - F.rint(raw)) > tolerance) | (q <= 0), F.lit(False)).cast("int")
 
 
-def quantile_edges(x: Column, bins: int, digits: int = 9) -> Column:
-    """Aggregate: interpolated equal-frequency edges, rounded, without duplicates, both ends included."""
-    points = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    return F.array_sort(F.array_distinct(F.transform(F.percentile(x, points), lambda e: F.round(e, digits))))
+def edges_of(quantiles: Column, digits: int = 9) -> Column:
+    """Interpolated equal-frequency edges, rounded, without duplicates, both ends included; none without quantiles."""
+    none = F.array().cast("array<double>")
+    return F.array_sort(F.array_distinct(F.transform(F.coalesce(quantiles, none), lambda e: F.round(e, digits))))
 
 
 def bin_label(x: Column, edges: Column, missing: str) -> Column:

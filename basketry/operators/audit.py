@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.clean import stage2
+from basketry.operators.ordered import quantile_row, quantiles
 
 
 def rows_of(one: DataFrame, names: Sequence[str], key: str, value: str) -> DataFrame:
@@ -26,7 +27,7 @@ def missingness(df: DataFrame) -> DataFrame:
 
 def outliers(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
     """Quartiles, fences and the number of values outside them, of each column."""
-    quartiles = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{c}") for c in columns))
+    quartiles = quantile_row(df, columns, (0.25, 0.5, 0.75)).select(*(F.col(c).alias(f"q_{c}") for c in columns))
     joined, out = df.select(*columns).join(F.broadcast(quartiles)), []
     for c in columns:
         q1, q3 = F.col(f"q_{c}")[0], F.col(f"q_{c}")[2]
@@ -36,16 +37,17 @@ def outliers(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> Data
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    one = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), p.alias("p"), F.max(column).alias("max"))
+    one = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    one = one.join(F.broadcast(quantile_row(df, [column], (0.5, 0.9, 0.99)).select(F.col(column).alias("p"))))
     return one.select("n", "mean", "std", "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"), "max")
 
 
 def target_distribution(df: DataFrame) -> DataFrame:
     q = F.when(stage2(), F.col("quantity"))
-    return df.where("split is not null").groupBy("split").agg(
-        F.count("*").alias("n_rows"), F.avg("order").alias("order_rate"), F.count(q).alias("qty_n"), F.avg(q).alias("qty_mean"), F.median(q).alias("qty_median"), F.max(q).alias("qty_max")
-    )
+    rows = df.where("split is not null")
+    g = rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.avg("order").alias("order_rate"), F.count(q).alias("qty_n"), F.avg(q).alias("qty_mean"), F.max(q).alias("qty_max"))
+    medians = quantiles(rows.select("split", q.alias("quantity")), ["quantity"], [0.5], ["split"]).select("split", F.get("q", F.lit(0)).alias("qty_median"))
+    return g.join(medians, "split", "left")
 
 
 def join_quality(fact: DataFrame, dim: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import numeric
 from basketry.functions.numeric import ratio
+from basketry.operators.ordered import quantile_row
 
 
 def day_cycles(df: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def safe_row_features(df: DataFrame) -> DataFrame:
 
 def fit_edges(train: DataFrame, columns=("price_diff", "price_discount"), bins: int = 20) -> DataFrame:
     """One row with an array of edges for each column."""
-    return train.agg(*(numeric.quantile_edges(F.col(c), bins).alias(f"{c}_edges") for c in columns))
+    points = [k / bins for k in range(bins + 1)]
+    return quantile_row(train, columns, points).select(*(numeric.edges_of(F.col(c)).alias(f"{c}_edges") for c in columns))
 
 
 def apply_edges(df: DataFrame, edges: DataFrame, column: str, name: str, missing: str) -> DataFrame:
@@ -47,9 +49,9 @@ def apply_edges(df: DataFrame, edges: DataFrame, column: str, name: str, missing
 
 def clip_and_bin(df: DataFrame, column: str, name: str, bins: int = 10) -> DataFrame:
     """Clipped to the 1st and 99th percentile, then equal-frequency bins labelled by their interval."""
-    bounds = df.agg(F.percentile(column, F.array(F.lit(0.01), F.lit(0.99))).alias("__b"))
+    bounds = quantile_row(df, [column], (0.01, 0.99)).select(F.col(column).alias("__b"))
     held = df.join(F.broadcast(bounds)).withColumn("__c", numeric.clipped(F.col(column), F.col("__b")[0], F.col("__b")[1]))
-    edges = held.agg(numeric.quantile_edges(F.col("__c"), bins).alias("__e"))
+    edges = fit_edges(held, ["__c"], bins).select(F.col("__c_edges").alias("__e"))
     place = F.greatest(F.lit(1), F.size(F.filter("__e", lambda e: e < F.round("__c", 9))))
     label = F.format_string("(%.3f, %.3f]", F.element_at("__e", place), F.element_at("__e", F.least(place + 1, F.size("__e"))))
     return held.join(F.broadcast(edges)).withColumn(name, F.when(F.col("__c").isNotNull(), label)).drop("__b", "__c", "__e")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.ordered import quantiles, running, written
+
 GRID = tuple(k / 100 for k in range(5, 81))
 EPS = 1e-15
 
@@ -53,15 +55,14 @@ def confusion(scored: DataFrame, threshold: float) -> DataFrame:
 
 def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the curve with ties, by counting pairs over distinct scores."""
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = _counts(scored, by).withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    c = running(written(_counts(scored, by)), "score", {"below": "q"}, by)
     return c.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum over distinct scores, from the highest, of precision times the step in recall."""
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = _counts(scored, by).withColumns({"tp": F.sum("p").over(w), "n": F.sum(F.col("p") + F.col("q")).over(w)})
+    c = running(written(_counts(scored, by)), "score", {"p_above": "p", "q_above": "q"}, by, descending=True)
+    c = c.withColumn("tp", F.col("p_above") + F.col("p")).withColumn("n", F.col("tp") + F.col("q_above") + F.col("q"))
     return c.groupBy(*by).agg(F.try_divide(F.sum(F.col("tp") / F.col("n") * F.col("p")), F.sum("p")).alias("average_precision"))
 
 
@@ -75,10 +76,15 @@ def regression(df: DataFrame, by: Sequence[str] = (), unit: str = "percent") ->
     e, y = F.col("prediction") - F.col("y"), F.col("y")
     scale = 100.0 if unit == "percent" else 1.0
     g = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.median(F.abs(e)).alias("median_ae"), F.avg(e).alias("bias"),
+        F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"),
         (1 - F.try_divide(F.sum(e * e), F.var_pop("y") * F.count("*"))).alias("r2"), (F.avg(F.abs(F.try_divide(e, y))) * scale).alias("mape"),
     )
-    return g.withColumn("rmse", F.sqrt("mse"))
+    medians = quantiles(df.select(*by, F.abs(e).alias("error")), ["error"], [0.5], by)
+    medians = medians.select(*(F.col(c).alias(f"__m_{k}") for k, c in enumerate(by)), F.get("q", F.lit(0)).alias("median_ae"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__m_{k}"))
+    return g.join(medians, same, "left").select(*g.columns, "median_ae", F.sqrt("mse").alias("rmse"))
 
 
 SEGMENTS: Mapping[str, str] = {"all": "y IS NOT NULL", "eq_1": "y = 1", "gt_1": "y > 1", "ge_3": "y >= 3"}

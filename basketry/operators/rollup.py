@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import numeric
+from basketry.operators.features import clip_and_bin, price_features
+from basketry.operators.ordered import place_of_keys
 
 
 def daily_rates(df: DataFrame) -> DataFrame:
@@ -42,12 +44,18 @@ def first_by(column: str, order: Sequence[str]) -> Column:
     return F.min_by(column, F.when(F.col(column).isNotNull(), keys))
 
 
-DAILY_FIRST = ("availability", "adFlag", "campaignIndex_norm", "has_campaign", "competitorPrice_missing")
-STATIC = ("manufacturer", "category_norm", "pharmForm_norm", "genericProduct", "salesIndex", "is_multipack", "rrp")
+DAILY_FIRST = ("availability", "adFlag", "campaignIndex_norm", "has_campaign", "competitorPrice_missing", "price_diff_bin", "discount_bin")
+STATIC = ("manufacturer", "category_norm", "pharmForm_norm", "genericProduct", "salesIndex", "is_multipack", "pack_n", "pack_size", "rrp")
+
+
+def with_price_bins(df: DataFrame, bins: int = 10) -> DataFrame:
+    """The interval bins of price difference and discount that the extracts show."""
+    df = price_features(df)
+    return clip_and_bin(clip_and_bin(df, "price_diff", "price_diff_bin", bins), "price_discount", "discount_bin", bins)
 
 
 def core_daily(df: DataFrame) -> DataFrame:
-    """One row for each day and product: counts, rates, median price, first attributes and the segment of the product.
+    """One row for each day and product: counts, rates, median price, first attributes and the segment of the product. df has the price bins.
 
     One aggregate on (day, pid) replaces separate passes; product columns are the same in all rows of
     a product, so they are taken in the same aggregate.
@@ -59,7 +67,7 @@ def core_daily(df: DataFrame) -> DataFrame:
     days = days.withColumns({f"{a}_rate": F.col(f"n_{a}") / F.col("n_events") for a in ("click", "basket", "order")})
     totals = days.groupBy("pid").agg(F.sum("n_events").alias("pid_total_events"))
     size = totals.agg(F.count("*").alias("keys"))
-    ranked = totals.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("pid_total_events"), "pid"))).join(F.broadcast(size))
+    ranked = place_of_keys(totals, "pid_total_events", "pid").join(F.broadcast(size))
     segment = F.when(F.col("rank") <= F.ceil(F.col("keys") * 0.1), "Head").when(F.col("rank") > F.ceil(F.col("keys") * 0.5), "Tail").otherwise("Mid")
     return days.join(ranked.select("pid", "pid_total_events", segment.alias("pid_segment")), "pid")
 

@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.clean import stage2
+from basketry.operators.ordered import written
+
+
+PRIME = 2147483647
+#: Ranges of the hash in which the rows of a stratum are counted.
+RANGES = 1024
 
 
 def hash_order(key: str = "lineID", seed: int = 42) -> Column:
-    return (F.col(key) * F.lit(2654435761) + F.lit(seed)) % F.lit(2147483647)
+    # The key is reduced first, so that the product stays within 64 bits for every key.
+    return (F.col(key) % F.lit(PRIME) * F.lit(2654435761) + F.lit(seed)) % F.lit(PRIME)
 
 
 def stratum_size(n: Column, fraction: float) -> Column:
@@ -19,11 +26,38 @@ def stratum_size(n: Column, fraction: float) -> Column:
     return F.when(n <= 2, n).otherwise(F.greatest(F.lit(1), F.rint(n * fraction).cast("long")))
 
 
-def stratified(df: DataFrame, strata: Sequence[str], fraction: float, key: str = "lineID", seed: int = 42) -> DataFrame:
-    """Exactly stratum_size rows of each stratum. Only strata, order and key are sorted; the rows follow by their key."""
+def first_of_each(df: DataFrame, strata: Sequence[str], size: Column, key: str = "lineID", seed: int = 42, sizes: DataFrame | None = None) -> DataFrame:
+    """The first rows of each stratum in hash order, exactly `size` of them, without a sort of the rows.
+
+    Rows are counted by stratum and range of the hash; only the range in which the last row of a
+    stratum lies is ranked, by its keys alone. The rows themselves are filtered by that last key.
+    size: over `n`, the number of rows of the stratum, or over the columns of `sizes`, one row a stratum.
+    """
+    h = hash_order(key, seed)
+    narrow = written(df.select(*strata, h.alias("__h"), F.col(key).alias("__k"), F.floor(h / (PRIME / RANGES)).alias("__range")))
+    cells = narrow.groupBy(*strata, "__range").agg(F.count("*").alias("__here"))
     w = Window.partitionBy(*strata)
-    ranked = df.withColumns({"__n": F.count("*").over(w), "__r": F.row_number().over(w.orderBy(hash_order(key, seed), key))})
-    return ranked.where(F.col("__r") <= stratum_size(F.col("__n"), fraction)).drop("__n", "__r")
+    cells = cells.withColumns({"n": F.sum("__here").over(w), "__before": F.coalesce(F.sum("__here").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    if sizes is not None:
+        cells = _joined(cells, sizes, strata)
+    last = cells.withColumn("__left", size - F.col("__before")).where("__left between 1 and __here").select(*strata, F.col("__range").alias("__at"), "__left")
+    ranked = _joined(narrow, last, strata).where("__range = __at").withColumn("__r", F.row_number().over(w.orderBy("__h", "__k")))
+    ends = ranked.where(F.col("__r") == F.col("__left")).select(*strata, F.struct("__h", "__k").alias("__end"))
+    return _joined(df, ends, strata).where(F.struct(h.alias("__h"), F.col(key).alias("__k")) <= F.col("__end")).select(*df.columns)
+
+
+def _joined(df: DataFrame, other: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Inner join on strata, null being a stratum; the columns of the strata come from df."""
+    renamed = other.select(*(F.col(c).alias(f"__s_{k}") for k, c in enumerate(strata)), *(c for c in other.columns if c not in strata))
+    same = F.lit(True)
+    for k, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s_{k}"))
+    return df.join(renamed, same).drop(*(f"__s_{k}" for k in range(len(strata))))
+
+
+def stratified(df: DataFrame, strata: Sequence[str], fraction: float, key: str = "lineID", seed: int = 42) -> DataFrame:
+    """Exactly stratum_size rows of each stratum."""
+    return first_of_each(df, strata, stratum_size(F.col("n"), fraction), key, seed)
 
 
 def sample_cls(train: DataFrame, fraction: float = 0.3) -> DataFrame:
@@ -47,9 +81,8 @@ def class_stratified(df: DataFrame, target: str, rows: int, key: str = "lineID",
     # One row for each class.
     every = Window.partitionBy(F.lit(1))
     want = want.withColumn("__left", F.least(F.lit(rows), F.col("__total")) - F.sum("__floor").over(every)).withColumn("__place", F.row_number().over(every.orderBy(F.desc(F.col("__want") - F.col("__floor")), target)))
-    want = want.select(F.col(target).alias("__class"), (F.col("__floor") + (F.col("__place") <= F.col("__left")).cast("int")).alias("__k"))
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(target).orderBy(hash_order(key, seed), key)))
-    return ranked.join(F.broadcast(want), F.col(target) == F.col("__class")).where(F.col("__r") <= F.col("__k")).drop("__class", "__k", "__r")
+    want = want.select(target, (F.col("__floor") + (F.col("__place") <= F.col("__left")).cast("int")).alias("__k"))
+    return first_of_each(df, [target], F.col("__k"), key, seed, want)
 
 
 def shares(df: DataFrame, column: str, with_null: bool = True) -> DataFrame:

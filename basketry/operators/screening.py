@@ -9,7 +9,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions import numeric
+from basketry.operators.features import fit_edges
+from basketry.operators.ordered import running, written
 from basketry.schema import FAMILIES, family_of
 
 
@@ -33,8 +34,7 @@ def near_zero_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Average ranks, from counts of distinct values and a running sum over them."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("__v", (before + (F.col("__n") + 1) / 2).alias(name))
+    ranks = running(written(counts), "__v", {"__before": "__n"}).select("__v", (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
@@ -51,7 +51,7 @@ def spearman(df: DataFrame, columns: Sequence[str], target: str, least: int = 20
 def chi_square(df: DataFrame, column: str, target: str, bins: int = 10, least: int = 20) -> DataFrame:
     """Chi-square of equal-frequency bins against classes, with Yates' correction for two by two."""
     both = df.select(F.col(column).cast("double").alias("x"), F.col(target).alias("y")).dropna()
-    edges = both.agg(numeric.quantile_edges(F.col("x"), bins).alias("e"))
+    edges = fit_edges(both, ["x"], bins).select(F.col("x_edges").alias("e"))
     inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
     binned = both.join(F.broadcast(edges)).select((F.size(F.filter(inner, lambda e: e < F.col("x"))) + 1).alias("b"), "y")
     cells = binned.groupBy("b", "y").agg(F.count("*").alias("o"))
@@ -67,7 +67,7 @@ def chi_square(df: DataFrame, column: str, target: str, bins: int = 10, least: i
 def binned_mutual_information(df: DataFrame, column: str, target: str, bins: int = 10) -> DataFrame:
     """Plug-in mutual information (nats) of equal-frequency bins and classes; not the nearest-neighbour estimate."""
     both = df.select(F.col(column).cast("double").alias("x"), F.col(target).alias("y")).dropna()
-    edges = both.agg(numeric.quantile_edges(F.col("x"), bins).alias("e"))
+    edges = fit_edges(both, ["x"], bins).select(F.col("x_edges").alias("e"))
     inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
     cells = both.join(F.broadcast(edges)).select((F.size(F.filter(inner, lambda e: e < F.col("x"))) + 1).alias("b"), "y").groupBy("b", "y").agg(F.count("*").alias("o"))
     r, c = F.sum("o").over(Window.partitionBy("b")), F.sum("o").over(Window.partitionBy("y"))

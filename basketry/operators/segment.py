@@ -1,16 +1,18 @@
-"""Head, mid and tail keys and concentration of events; windows run over one row for each key."""
+"""Head, mid and tail keys and concentration of events; keys are ranked in ranges, never in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.ordered import place_of_keys
+
 
 def _ranked(df: DataFrame, key: str = "pid") -> DataFrame:
     """(key, n, rank, keys, total): keys by falling number of rows, ties by key."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
     size = counts.agg(F.count("*").alias("keys"), F.sum("n").alias("total"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), key))).join(F.broadcast(size))
+    return place_of_keys(counts, "n", key).join(F.broadcast(size))
 
 
 def _band(head: Column, mid: Column) -> Column:
@@ -55,4 +57,4 @@ def concentration(df: DataFrame) -> DataFrame:
 def pareto(df: DataFrame) -> DataFrame:
     """Cumulative share of events by rank of the key."""
     r = _ranked(df)
-    return r.select("pid", "rank", "n", (F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) / F.col("total")).alias("cum_share"))
+    return r.select("pid", "rank", "n", ((F.col("above") + F.col("n")) / F.col("total")).alias("cum_share"))

@@ -141,18 +141,18 @@ def top_categories(spark, sf):
     return rollup.top(prepared(spark, sf), "category", 50, 5)
 
 
-_DAILY = ("day", "pid", "n_events", "n_click", "n_basket", "n_order", "price", "availability", "adFlag", "campaignIndex_norm", "has_campaign", "competitorPrice_missing", "click_rate", "basket_rate", "order_rate", "pid_total_events", "pid_segment")
+_DAILY = ("day", "pid", "n_events", "n_click", "n_basket", "n_order", "price", "availability", "adFlag", "campaignIndex_norm", "has_campaign", "competitorPrice_missing", "price_diff_bin", "discount_bin", "manufacturer", "category_norm", "pharmForm_norm", "genericProduct", "salesIndex", "is_multipack", "pack_n", "pack_size", "rrp", "click_rate", "basket_rate", "order_rate", "pid_total_events", "pid_segment")
 
 
 @query("daily", "SELECT " + ", ".join(f'"{c}"' for c in _DAILY) + " FROM daily", "price click_rate basket_rate order_rate")
 def core_daily(spark, sf):
-    return rollup.core_daily(prepared(spark, sf)).select(*_DAILY)
+    return rollup.core_daily(rollup.with_price_bins(prepared(spark, sf))).select(*_DAILY)
 
 
 @query("daily", """SELECT p."lineID", p.day, p.pid, CAST(round_even(p.revenue / p.price, 0) AS BIGINT) AS quantity, CASE WHEN q <= 0 THEN NULL WHEN q <= 1 THEN '1' WHEN q <= 2 THEN '2' WHEN q <= 3 THEN '3' WHEN q <= 5 THEN '4-5' ELSE '>5' END AS quantity_class, d.pid_segment, d.availability
 FROM (SELECT *, round_even(revenue / price, 0) AS q FROM prep WHERE "order" = 1) p LEFT JOIN daily d USING (day, pid)""")
 def orders_line(spark, sf):
-    df = prepared(spark, sf)
+    df = rollup.with_price_bins(prepared(spark, sf))
     return rollup.order_lines(df, rollup.core_daily(df)).select("lineID", "day", "pid", "quantity", "quantity_class", "pid_segment", "availability")
 
 

@@ -94,15 +94,28 @@ FROM stage2, (SELECT avg(y) AS mean, median(y) AS med FROM stage2 WHERE split =
 SELECT model, kind, count(*) AS n, avg(power(prediction - y, 2)) AS mse, avg(abs(prediction - y)) AS mae, median(abs(prediction - y)) AS median_ae, avg(prediction - y) AS bias,
   1 - sum(power(prediction - y, 2)) / (var_pop(y) * count(*)) AS r2, avg(abs((prediction - y) / y)) * 100 AS mape, sqrt(avg(power(prediction - y, 2))) AS rmse
 FROM predicted GROUP BY model, kind"""),
-    "daily": (("prep",), """
+    "pdc": (("feat",), """
+SELECT "lineID", CASE WHEN price_diff IS NOT NULL THEN least(greatest(price_diff, lo), hi) END AS c FROM feat, (SELECT quantile_cont(price_diff, CAST(0.01 AS DOUBLE)) AS lo, quantile_cont(price_diff, CAST(0.99 AS DOUBLE)) AS hi FROM feat) b"""),
+    "pde": (("pdc",), """
+SELECT list_sort(list_distinct(list_transform(quantile_cont(c, [CAST(k AS DOUBLE) / 10 for k in range(0, 11)]), lambda x: round(x, 9)))) AS e FROM pdc"""),
+    "pdb": (("pdc", "pde"), """
+SELECT "lineID", CASE WHEN c IS NOT NULL THEN format('({:.3f}, {:.3f}]', e[k], e[least(k + 1, len(e))]) END AS price_diff_bin FROM (SELECT c.*, e.e, greatest(1, len(list_filter(e.e, lambda x: x < round(c.c, 9)))) AS k FROM pdc c, pde e)"""),
+    "ppc": (("feat",), """
+SELECT "lineID", CASE WHEN price_discount IS NOT NULL THEN least(greatest(price_discount, lo), hi) END AS c FROM feat, (SELECT quantile_cont(price_discount, CAST(0.01 AS DOUBLE)) AS lo, quantile_cont(price_discount, CAST(0.99 AS DOUBLE)) AS hi FROM feat) b"""),
+    "ppe": (("ppc",), """
+SELECT list_sort(list_distinct(list_transform(quantile_cont(c, [CAST(k AS DOUBLE) / 10 for k in range(0, 11)]), lambda x: round(x, 9)))) AS e FROM ppc"""),
+    "ppb": (("ppc", "ppe"), """
+SELECT "lineID", CASE WHEN c IS NOT NULL THEN format('({:.3f}, {:.3f}]', e[k], e[least(k + 1, len(e))]) END AS discount_bin FROM (SELECT c.*, e.e, greatest(1, len(list_filter(e.e, lambda x: x < round(c.c, 9)))) AS k FROM ppc c, ppe e)"""),
+    "daily": (("prep", "pdb", "ppb"), """
 SELECT d.*, CAST(n_click AS DOUBLE) / n_events AS click_rate, CAST(n_basket AS DOUBLE) / n_events AS basket_rate, CAST(n_order AS DOUBLE) / n_events AS order_rate,
   pid_total_events, CASE WHEN rnk <= ceil(keys * CAST(0.1 AS DOUBLE)) THEN 'Head' WHEN rnk > ceil(keys * CAST(0.5 AS DOUBLE)) THEN 'Tail' ELSE 'Mid' END AS pid_segment
 FROM (SELECT day, pid, count(*) AS n_events, CAST(sum(click) AS BIGINT) AS n_click, CAST(sum(basket) AS BIGINT) AS n_basket, CAST(sum("order") AS BIGINT) AS n_order, median(price) AS price,
     first(availability ORDER BY o) FILTER (availability IS NOT NULL) AS availability, first("adFlag" ORDER BY o) AS "adFlag",
     first("campaignIndex_norm" ORDER BY o) FILTER ("campaignIndex_norm" IS NOT NULL) AS "campaignIndex_norm", first(has_campaign ORDER BY o) FILTER (has_campaign IS NOT NULL) AS has_campaign,
     first("competitorPrice_missing" ORDER BY o) AS "competitorPrice_missing",
-    max(manufacturer) AS manufacturer, max(category_norm) AS category_norm, max("pharmForm_norm") AS "pharmForm_norm", max("genericProduct") AS "genericProduct", max("salesIndex") AS "salesIndex", max(is_multipack) AS is_multipack, max(rrp) AS rrp
-  FROM (SELECT *, row_number() OVER (PARTITION BY day, pid ORDER BY availability NULLS LAST, "adFlag", "campaignIndex_norm" NULLS LAST, has_campaign NULLS LAST, "competitorPrice_missing") AS o FROM prep) GROUP BY day, pid) d
+    first(price_diff_bin ORDER BY o) FILTER (price_diff_bin IS NOT NULL) AS price_diff_bin, first(discount_bin ORDER BY o) FILTER (discount_bin IS NOT NULL) AS discount_bin,
+    max(manufacturer) AS manufacturer, max(category_norm) AS category_norm, max("pharmForm_norm") AS "pharmForm_norm", max("genericProduct") AS "genericProduct", max("salesIndex") AS "salesIndex", max(is_multipack) AS is_multipack, max(pack_n) AS pack_n, max(pack_size) AS pack_size, max(rrp) AS rrp
+  FROM (SELECT *, row_number() OVER (PARTITION BY day, pid ORDER BY availability NULLS LAST, "adFlag", "campaignIndex_norm" NULLS LAST, has_campaign NULLS LAST, "competitorPrice_missing", price_diff_bin NULLS LAST, discount_bin NULLS LAST) AS o FROM prep JOIN pdb USING ("lineID") JOIN ppb USING ("lineID")) GROUP BY day, pid) d
 JOIN (SELECT pid, pid_total_events, row_number() OVER (ORDER BY pid_total_events DESC, pid) AS rnk, count(*) OVER () AS keys FROM (SELECT pid, count(*) AS pid_total_events FROM f GROUP BY pid)) t USING (pid)"""),
 }
 
