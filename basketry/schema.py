@@ -33,15 +33,29 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "conditional_segment": ("pid_segment",),
 }
 BINNED = ("price_diff_bin", "discount_bin")
-#: Columns of the export feature sets by stage, in export order; fixed values.
-_CLS_EXPORT = (
-    "day day_7 day_14 day_30 adFlag availability price competitorPrice salesIndex category_norm pharmForm_norm has_campaign group12 group34 is_greater_discount price_per_unit "
-    "price_diff_bin discount_bin pid_total_events click_time basket_time order_time group12_order group34_order pid_prob availability_likelihood day_7_likelihood pid_segment"
-).split()
-_REG_EXPORT = (
-    "day day_7 day_14 day_30 price competitorPrice genericProduct salesIndex category_norm pharmForm_norm campaignIndex_norm manufacturer_freq group34 is_multipack price_diff "
-    "price_discount price_diff_bin discount_bin pid_total_events click_time basket_time order_time group12_order group34_order pid_prob pid_segment"
-).split()
+#: Columns of the safe matrices and of the export feature sets by stage, in their order; fixed values.
+_SAFE = [
+    "day", "day_7", "day_14", "day_30", "adFlag", "availability",
+    "price", "rrp", "competitorPrice", "competitorPrice_missing", "genericProduct", "salesIndex",
+    "category_norm", "pharmForm_norm", "campaignIndex_norm", "has_campaign", "manufacturer_freq", "group12",
+    "group34", "is_multipack", "pack_n", "pack_size", "pack_total_size", "price_diff",
+    "price_discount", "competitorPrice_discount", "price_discount_diff", "is_lower_price", "is_discount", "is_greater_discount",
+    "rrp_per_unit", "price_per_unit", "competitorPrice_per_unit", "price_diff_bin", "discount_bin",
+]
+_CLS_EXPORT = [
+    "day", "day_7", "day_14", "day_30", "adFlag", "availability",
+    "price", "competitorPrice", "salesIndex", "category_norm", "pharmForm_norm", "has_campaign",
+    "group12", "group34", "is_greater_discount", "price_per_unit", "price_diff_bin", "discount_bin",
+    "pid_total_events", "click_time", "basket_time", "order_time", "group12_order", "group34_order",
+    "pid_prob", "availability_likelihood", "day_7_likelihood", "pid_segment",
+]
+_REG_EXPORT = [
+    "day", "day_7", "day_14", "day_30", "price", "competitorPrice",
+    "genericProduct", "salesIndex", "category_norm", "pharmForm_norm", "campaignIndex_norm", "manufacturer_freq",
+    "group34", "is_multipack", "price_diff", "price_discount", "price_diff_bin", "discount_bin",
+    "pid_total_events", "click_time", "basket_time", "order_time", "group12_order", "group34_order",
+    "pid_prob", "pid_segment",
+]
 _MAPPED = ["pharmform_group", "pharmform_missing_flag", "pharmform_unmapped_flag"]
 
 
@@ -49,11 +63,6 @@ def _without(columns: Sequence[str], *dropped: str) -> list[str]:
     return [c for c in columns if c not in dropped]
 
 
-def _safe() -> list[str]:
-    order = ("time", "campaign_ad", "price_absolute", "product_master", "pack_structure", "price_relative", "per_unit")
-    return [c for family in order for c in FAMILIES[family]]
-
-
 def _conditional(stage: str) -> list[str]:
     cumulative = _without(FAMILIES["conditional_cumulative"], *(["num_pid_order"] if stage == "reg" else []))
     encoded = _without(FAMILIES["conditional_oof"], "day_7_qty_mean_oof" if stage == "cls" else "day_7_likelihood")
@@ -61,10 +70,10 @@ def _conditional(stage: str) -> list[str]:
 
 
 FEATURE_SETS: dict[str, list[str]] = {
-    "cls_base_safe": _without(_safe(), *BINNED),
-    "cls_expanded_safe": _safe(),
-    "reg_base_safe": _without(_safe(), *BINNED),
-    "reg_expanded_safe": _safe(),
+    "cls_base_safe": _without(_SAFE, *BINNED),
+    "cls_expanded_safe": list(_SAFE),
+    "reg_base_safe": _without(_SAFE, *BINNED),
+    "reg_expanded_safe": list(_SAFE),
     "cls_conditional": _conditional("cls"),
     "reg_conditional": _conditional("reg"),
     "cls_final": _CLS_EXPORT,
@@ -95,7 +104,7 @@ class Config:
     cold_start_probability: float = 0.5
     cold_start_quantity: float = 1.0
     #: The dimension is broadcast up to this many bytes, by Spark's own estimate of its size.
-    broadcast_bytes: int = 256 << 20
+    broadcast_bytes: int = 64 << 20
     paths: dict[str, str] = field(default_factory=dict)
 
 
