@@ -57,6 +57,11 @@ def edges_of(quantiles: Column, digits: int = 9) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.coalesce(quantiles, none), lambda e: F.round(e, digits))))
 
 
+def quantile_edges(x: Column, bins: int, digits: int = 9) -> Column:
+    """Aggregate: the edges of a column, for frames whose distinct values fit one task; `features.fit_edges` is for others."""
+    return edges_of(F.percentile(x, F.array(*(F.lit(k / bins) for k in range(bins + 1)))), digits)
+
+
 def bin_label(x: Column, edges: Column, missing: str) -> Column:
     """Q01, Q02, ... of right-closed bins whose outer edges are infinite; `missing` for null or without bins."""
     inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
