@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.numeric import equal_width_bin
 from basketry.operators.clean import stage2
 from basketry.operators.ordered import quantile_row, quantiles
 
@@ -84,6 +85,7 @@ def preprocessing_checks() -> dict[str, Column]:
     texts = ("campaignIndex_norm", "category_norm", "pharmForm_norm", "unit_norm")
     return {
         "competitor_price_cleaned": c("competitorPrice") <= 0,
+        **{f"{b}_is_binary": ~c(b).isin(0, 1) for b in ("click", "basket", "order", "adFlag", "competitorPrice_missing", "qty_suspicious")},
         "missing_flag_agrees": c("competitorPrice_missing") != c("competitorPrice").isNull().cast("int"),
         **{f"{t}_not_empty": c(t) == "" for t in texts},
         "quantity_on_orders_only": (c("order") == 0) & c("quantity").isNotNull(),
@@ -101,6 +103,61 @@ def assert_clean(df: DataFrame, checks: Mapping[str, Column], context: str) -> N
         raise ValueError(f"{context}: {'; '.join(bad)}")
 
 
+def integrity(fact: DataFrame, dim: DataFrame) -> DataFrame:
+    """All integrity checks of both tables: rules of the fact's rows, doubled keys, and events without a product. Idle products are told, but are no failure."""
+    rows = {"revenue_not_negative": F.col("revenue") < 0, **integrity_checks()}
+    one = fact.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rows.items()))
+    surplus = lambda df, key, name: df.groupBy(key).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias(name))
+    fk, dk = fact.select("pid").distinct(), dim.select("pid").distinct()
+    lone = {"orphan_events": fk.join(dk, "pid", "left_anti"), "idle_products": dk.join(fk, "pid", "left_anti")}
+    # Frames of one row.
+    for extra in (surplus(fact, "lineID", "line_key_unique"), surplus(dim, "pid", "product_key_unique"), *(df.agg(F.count("*").alias(n)) for n, df in lone.items())):
+        one = one.join(F.broadcast(extra))
+    told = F.when(F.col("check_name") == "idle_products", "INFO").when(F.col("n_violations") == 0, "PASS").otherwise("FAIL")
+    return rows_of(one, one.columns, "check_name", "n_violations").withColumn("status", told)
+
+
+def leakage(fact: DataFrame, tolerance: float = 0.01, accept: float = 0.95) -> DataFrame:
+    """One row: whether revenue agrees with orders, how many quantities (revenue by price) are near whole numbers, their spread, and the verdict."""
+    raw = F.try_divide("revenue", "price")
+    whole = F.rint(raw)
+    rows = fact.select("order", "revenue", F.when((F.col("order") == 1) & (F.col("price") > 0), raw).alias("raw"), whole.alias("whole"))
+    near = F.abs(F.col("raw") - F.col("whole")) <= tolerance
+    q = rows.withColumn("q", F.when(near, F.col("whole")))
+    one = q.agg(
+        F.count_if(F.col("order") == 1).alias("n_orders"), F.count_if((F.col("order") != 1) & (F.col("revenue") > 0)).alias("revenue_without_order"), F.count_if((F.col("order") == 1) & (F.col("revenue") <= 0)).alias("order_without_revenue"),
+        F.count("raw").alias("n_checked"), F.count("q").alias("n_near"), F.min("q").alias("q_min"), F.avg("q").alias("q_mean"), F.max("q").alias("q_max"),
+    )
+    one = one.join(F.broadcast(quantile_row(q, ["q"], (0.5,)).select(F.get("q", F.lit(0)).alias("q_median"))))
+    share = F.try_divide("n_near", "n_checked")
+    return one.withColumn("share_near", share).withColumn("accepted", F.coalesce(share >= accept, F.lit(False)))
+
+
+def top_quantities(fact: DataFrame, k: int = 10, tolerance: float = 0.01) -> DataFrame:
+    """The k most frequent whole quantities with their shares of all."""
+    raw = F.try_divide("revenue", "price")
+    q = fact.where("`order` = 1 and price > 0").where(F.abs(raw - F.rint(raw)) <= tolerance).groupBy(F.rint(raw).cast("long").alias("quantity")).agg(F.count("*").alias("n_orders"))
+    total = F.broadcast(q.agg(F.sum("n_orders").alias("__all")))
+    return q.join(total).select("quantity", "n_orders", (F.col("n_orders") / F.col("__all")).alias("share")).orderBy(F.desc("n_orders"), "quantity").limit(k)
+
+
+def target_summary(df: DataFrame, column: str, by: str) -> DataFrame:
+    """Number, shares of 1, above 1 and from 3, mean, range and upper quantiles of a quantity within each group."""
+    y = F.col(column)
+    rows = df.where(y.isNotNull())
+    share = lambda c: F.avg(c.cast("double"))
+    g = rows.groupBy(by).agg(F.count("*").alias("n"), share(y == 1).alias("share_eq_1"), share(y > 1).alias("share_gt_1"), share(y >= 3).alias("share_ge_3"), F.avg(y).alias("mean"), F.min(y).alias("min"), F.max(y).alias("max"))
+    q = quantiles(rows, [column], (0.5, 0.95, 0.99), [by]).select(F.col(by), *(F.col("q")[k].alias(n) for k, n in enumerate(("median", "p95", "p99"))))
+    return g.join(q, by)
+
+
+def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """Rows in bins of equal width (right-closed, the lowest value in the first); empty bins have no row."""
+    ends = F.broadcast(df.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi")))
+    at = equal_width_bin(F.col(column), F.col("__lo"), F.col("__hi"), bins)
+    return df.select(column).where(F.col(column).isNotNull()).join(ends).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"))
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows, distinct keys, surplus rows, and rows that share their key."""
     groups = df.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -66,6 +66,23 @@ def average_precision(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return c.groupBy(*by).agg(F.try_divide(F.sum(F.col("tp") / F.col("n") * F.col("p")), F.sum("p")).alias("average_precision"))
 
 
+def screening_metrics(scored: DataFrame, by: Sequence[str], threshold: float = 0.5, digits: int = 4) -> DataFrame:
+    """Accuracy, F1 and MCC at a threshold, both areas and the log loss of each group, rounded."""
+    hit, y = F.col("score") >= threshold, F.col("y") == 1
+    at = scored.groupBy(*by).agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count_if(~hit & ~y).alias("tn"))
+    m = from_counts(*(F.col(n) for n in ("tp", "fp", "fn", "tn")))
+    at = at.select(*by, *(m[n].alias(n) for n in ("accuracy", "f1", "mcc")))
+    for part in (roc_auc(scored, by), average_precision(scored, by), log_loss(scored, by)):
+        at = at.join(part, list(by))
+    return at.select(*by, *(F.round(c, digits).alias(c) for c in at.columns if c not in by))
+
+
+def with_predictions(scored: DataFrame, thresholds: DataFrame, default: float = 0.5) -> DataFrame:
+    """scored with the class at the default threshold and at the model's own. thresholds: a row of model and threshold for each model."""
+    own = F.broadcast(thresholds.select("model", F.col("threshold").alias("__t")))
+    return scored.join(own, "model", "left").withColumn("pred_default", (F.col("score") >= default).cast("int")).withColumn("pred_best", (F.col("score") >= F.col("__t")).cast("int")).drop("__t")
+
+
 def log_loss(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.col("score")))
     return scored.groupBy(*by).agg(F.avg(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("log_loss"))

@@ -6,12 +6,12 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.features import fit_edges
-from basketry.operators.ordered import running, written
-from basketry.schema import FAMILIES, family_of
+from basketry.operators.ordered import RANGES, running, written
+from basketry.schema import FAMILIES, FEATURE_SETS, PRUNED, family_of
 
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], least: float = 0.95) -> DataFrame:
@@ -84,6 +84,39 @@ def family_report(scores: DataFrame, score: str = "score") -> DataFrame:
     return g.agg(F.count("*").alias("n_features"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"), F.array_join(F.sort_array(F.collect_set("feature")), ", ").alias("features"))
 
 
+def family_importance(importance: DataFrame, score: str = "importance") -> DataFrame:
+    """Number of features, sum, mean and maximum of their importance within each family."""
+    spark = importance.sparkSession
+    families = spark.createDataFrame([(f, n) for n, fs in FAMILIES.items() for f in fs], "feature string, family string")
+    g = importance.join(F.broadcast(families), "feature", "left").groupBy(F.coalesce("family", F.lit("other")).alias("family"))
+    return g.agg(F.count("*").alias("n_features"), F.sum(score).alias("total"), F.avg(score).alias("mean"), F.max(score).alias("most"))
+
+
+def candidates(spark: SparkSession) -> DataFrame:
+    """Every feature and stage: whether the pruned sets hold it, and the reasons (from `schema.PRUNED`, `schema.FAMILIES`)."""
+    rules = spark.createDataFrame([(f, s, why) for (why, stages), fs in PRUNED.items() for f in fs for s in stages], "feature string, stage string, why string")
+    of = [(f, s, not n.startswith("conditional"), f in FEATURE_SETS[f"{s}_expanded_safe"] or f in FEATURE_SETS[f"{s}_conditional"]) for n, fs in FAMILIES.items() for f in fs for s in ("cls", "reg")]
+    all_features = spark.createDataFrame(of, "feature string, stage string, is_safe boolean, in_stage boolean")
+    reasons = rules.groupBy("feature", "stage").agg(F.array_join(F.array_sort(F.collect_list("why")), "; ").alias("drop_reason"))
+    df = all_features.join(reasons, ["feature", "stage"], "left").withColumn("drop_reason", F.coalesce("drop_reason", F.lit("")))
+    kept = F.col("in_stage") & (F.col("drop_reason") == "")
+    why = F.when(kept, F.when(F.col("is_safe"), "signal; always available").otherwise("signal; needs history")).otherwise("")
+    return df.select("feature", "stage", (kept & F.col("is_safe")).alias("in_safe_pruned"), kept.alias("in_full_pruned"), why.alias("keep_reason"), "drop_reason", F.col("drop_reason").contains("redundant").alias("redundant"))
+
+
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """value and code of each value that is not null, from 0 in the order of values.
+
+    Values are sorted in ranges that are written once; the only window without a partition is over the sizes of the ranges.
+    """
+    parts = written(df.select(F.col(column).alias("value")).where("value is not null").distinct().repartitionByRange(RANGES, "value").withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most RANGES rows.
+    offsets = parts.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy("value"))
+    return parts.withColumn("__k", within).join(F.broadcast(offsets), "__part").select("value", (F.col("__k") - 1 + F.col("__before")).cast("long").alias("code"))
+
+
 def feature_kind(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """categorical, binary or numeric, and the family of each feature."""
     texts = {f.name for f in df.schema if f.dataType.simpleString() == "string"}

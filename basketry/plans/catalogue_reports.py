@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.operators import audit, clean, decide, metrics, rollup, sampling, screening, segment
-from basketry.plans.frames import featured, grid, predicted, prepared, scored, train_of
+from basketry.plans.frames import featured, grid, predicted, prepared, scored, split_grid, train_of
 from basketry.plans.registry import query
 from basketry.schema import FEATURE_SETS
 from basketry.sources import adapter
@@ -100,7 +100,17 @@ def integrity_checks(spark, sf):
     return audit.violations(adapter.fact_all(adapter.table(spark, sf, "events")), audit.integrity_checks())
 
 
-@query()
+_POST = {
+    "competitor_price_cleaned": '"competitorPrice" <= 0',
+    **{f"{b}_is_binary": f'"{b}" NOT IN (0, 1)' for b in ("click", "basket", "order", "adFlag", "competitorPrice_missing", "qty_suspicious")},
+    "missing_flag_agrees": '"competitorPrice_missing" <> CAST("competitorPrice" IS NULL AS INTEGER)',
+    **{f"{t}_not_empty": f""""{t}" = ''""" for t in ("campaignIndex_norm", "category_norm", "pharmForm_norm", "unit_norm")},
+    "quantity_on_orders_only": '"order" = 0 AND quantity IS NOT NULL',
+    "suspicious_on_orders_only": '"order" = 0 AND qty_suspicious <> 0',
+}
+
+
+@query("prep", "SELECT check_name, n_violations, CASE WHEN n_violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (UNPIVOT (SELECT " + ", ".join(f'count(*) FILTER ({c}) AS "{n}"' for n, c in _POST.items()) + " FROM prep) ON COLUMNS(*) INTO NAME check_name VALUE n_violations)")
 def preprocessing_checks(spark, sf):
     return audit.violations(prepared(spark, sf), audit.preprocessing_checks())
 
@@ -244,7 +254,7 @@ def feature_kinds(spark, sf):
     return screening.feature_kind(featured(spark, sf), ["price", "adFlag", "pharmForm_norm", "is_multipack"])
 
 
-@query()
+@query("", " UNION ALL ".join(f"SELECT '{n}' AS name, {len(c)} AS n_features, '{', '.join(c)}' AS features" for n, c in FEATURE_SETS.items()))
 def feature_set_table(spark, sf):
     return spark.createDataFrame([(n, len(c), ", ".join(c)) for n, c in FEATURE_SETS.items()], "name string, n_features int, features string")
 
@@ -344,10 +354,10 @@ def against_baseline(spark, sf):
     return decide.against_baseline(metrics.regression(predicted(spark, sf), ["model"]).select("model", "mae", "rmse"), "always_1", ["mae", "rmse"])
 
 
-@query("grid", """SELECT model, a.f1 AS test_f1, b.f1 AS val_f1, b.f1 - a.f1 AS delta_f1, abs(b.f1 - a.f1) < CAST(0.05 AS DOUBLE) AS stable FROM grid a JOIN grid b USING (model) WHERE a.threshold = CAST(50 AS DOUBLE) / 100 AND b.threshold = CAST(22 AS DOUBLE) / 100""", "test_f1 val_f1 delta_f1")
+@query("sgrid", """SELECT model, a.f1 AS test_f1, b.f1 AS val_f1, b.f1 - a.f1 AS delta_f1, abs(b.f1 - a.f1) < CAST(0.05 AS DOUBLE) AS stable FROM sgrid a JOIN sgrid b USING (model, threshold) WHERE a.split = 'test' AND b.split = 'val' AND threshold = CAST(50 AS DOUBLE) / 100""", "test_f1 val_f1 delta_f1")
 def split_stability(spark, sf):
-    g = grid(spark, sf)
-    return decide.stability(g.where("threshold = 0.5"), g.where("threshold = 0.22"), ["f1"])
+    g = split_grid(spark, sf).where("threshold = 0.5")
+    return decide.stability(g.where("split = 'test'"), g.where("split = 'val'"), ["f1"])
 
 
 @query("grid", """SELECT *, delta_test >= CAST(0.002 AS DOUBLE) AND delta_validation >= 0 AS accepted, (delta_test >= CAST(0.002 AS DOUBLE) AND delta_validation >= 0) AND row_number() OVER (ORDER BY delta_test >= CAST(0.002 AS DOUBLE) AND delta_validation >= 0 DESC, delta_test DESC, variant) = 1 AS chosen

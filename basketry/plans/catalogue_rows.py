@@ -22,7 +22,7 @@ def daily_action_rates(spark, sf):
 
 @query("f dim", """SELECT metric, value FROM (SELECT (SELECT count(*) FROM f) AS fact_rows, (SELECT count(DISTINCT pid) FROM f) AS fact_keys, (SELECT count(*) FROM dim) AS dim_rows, (SELECT count(DISTINCT pid) FROM dim) AS dim_keys,
   (SELECT count(DISTINCT pid) FROM f WHERE pid NOT IN (SELECT pid FROM dim)) AS fact_orphans, (SELECT count(*) FROM dim WHERE pid NOT IN (SELECT pid FROM f)) AS dim_orphans,
-  (SELECT count(*) FROM f LEFT JOIN dim USING (pid)) AS joined_rows, CAST(1 AS BIGINT) AS rows_kept) UNPIVOT (value FOR metric IN (fact_rows, fact_keys, dim_rows, dim_keys, fact_orphans, dim_orphans, joined_rows, rows_kept))""")
+  (SELECT count(*) FROM f LEFT JOIN dim USING (pid)) AS joined_rows, CAST((SELECT count(*) FROM f LEFT JOIN dim USING (pid)) = (SELECT count(*) FROM f) AS BIGINT) AS rows_kept) UNPIVOT (value FOR metric IN (fact_rows, fact_keys, dim_rows, dim_keys, fact_orphans, dim_orphans, joined_rows, rows_kept))""")
 def join_quality(spark, sf):
     from basketry.operators.audit import join_quality as report
 

@@ -30,7 +30,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = F.explode(F.array(
         F.struct(F.lit("chars").alias("model"), F.least(F.lit(1.0), F.col("n_chars") / 4000).alias("score")), F.struct(F.lit("id").alias("model"), (F.col("doc_id") % 101 / 100).alias("score"))
     ))
-    return both.select("y", models.alias("m")).select("m.model", "y", "m.score")
+    return both.select("doc_id", "y", models.alias("m")).select("m.model", "doc_id", "y", "m.score")
+
+
+def split_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold grid by split: documents with even numbers are the test rows, the others the validation rows."""
+    split = F.when(F.col("doc_id") % 2 == 0, "test").otherwise("val")
+    return metrics.threshold_grid(scored(spark, sf_dir).withColumn("split", split), by=["model", "split"])
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:

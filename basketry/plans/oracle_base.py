@@ -118,6 +118,10 @@ FROM (SELECT day, pid, count(*) AS n_events, CAST(sum(click) AS BIGINT) AS n_cli
   FROM (SELECT *, row_number() OVER (PARTITION BY day, pid ORDER BY availability NULLS LAST, "adFlag", "campaignIndex_norm" NULLS LAST, has_campaign NULLS LAST, "competitorPrice_missing", price_diff_bin NULLS LAST, discount_bin NULLS LAST) AS o FROM prep JOIN pdb USING ("lineID") JOIN ppb USING ("lineID")) GROUP BY day, pid) d
 JOIN (SELECT pid, pid_total_events, row_number() OVER (ORDER BY pid_total_events DESC, pid) AS rnk, count(*) OVER () AS keys FROM (SELECT pid, count(*) AS pid_total_events FROM f GROUP BY pid)) t USING (pid)"""),
 }
+#: The same by split: documents with even numbers are the test rows, the others the validation rows.
+VIEWS["smodels"] = (("scored",), """
+SELECT model, CASE WHEN doc_id % 2 = 0 THEN 'test' ELSE 'val' END AS split, y, score FROM (SELECT 'chars' AS model, * FROM scored UNION ALL SELECT 'id', doc_id, y, CAST(doc_id % 101 AS DOUBLE) / 100 FROM scored)""")
+VIEWS["sgrid"] = (("smodels",), VIEWS["grid"][1].replace("model, threshold", "model, split, threshold").replace("FROM models,", "FROM smodels,"))
 
 
 def with_views(sql: str, names: str, rounded: str = "", digits: int = 8) -> str:

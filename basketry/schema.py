@@ -86,6 +86,33 @@ FEATURE_SETS: dict[str, list[str]] = {
     "cls_pharmform_v3": _CLS_EXPORT + _MAPPED,
 }
 _NEVER = ("revenue", "lineID", "click", "basket", "quantity", "quantity_class", "qty_suspicious", "order", "q_raw", "pid_likelihood")
+#: Columns that no model gets: scope and reason; fixed features and scopes.
+DROPPED = (
+    ("revenue", "CLS+REG", "price times quantity"),
+    ("click", "CLS", "a click excludes an order"),
+    ("basket", "CLS", "a basket excludes an order"),
+    ("lineID", "CLS+REG", "identifier"),
+    ("quantity", "CLS", "made from the target"),
+    ("quantity_class", "CLS+REG-input", "made from the target"),
+    ("qty_suspicious", "CLS+REG", "mark of a check"),
+    ("pid_likelihood", "CLS+REG", "same as pid_prob"),
+    ("num_pid_order", "REG", "sums the target"),
+    ("order", "REG", "constant in the second stage"),
+)
+#: Features that pruning leaves out, by reason and stages; fixed values.
+PRUNED: dict[tuple[str, tuple[str, ...]], tuple[str, ...]] = {
+    ("redundant", ("cls", "reg")): ("is_lower_price", "rrp", "rrp_per_unit", "competitorPrice_per_unit", "num_pid_order"),
+    ("near-zero variance", ("cls", "reg")): ("competitorPrice_missing", "pack_n", "is_discount"),
+    ("near-zero variance", ("reg",)): ("availability",),
+    ("weak", ("cls",)): (
+        "genericProduct", "manufacturer_freq", "is_multipack", "pack_size", "pack_total_size", "price_diff",
+        "price_discount", "competitorPrice_discount", "price_discount_diff", "campaignIndex_norm", "week_order",
+    ),
+    ("weak", ("reg",)): (
+        "adFlag", "has_campaign", "group12", "pack_size", "pack_total_size", "competitorPrice_discount", "price_discount_diff", "is_greater_discount", "price_per_unit",
+        "week_order", "availability_likelihood", "day_7_qty_mean_oof",
+    ),
+}
 FORBIDDEN = {"cls": (*_NEVER, "day_7_qty_mean_oof"), "reg": (*_NEVER, "num_pid_order", "day_7_likelihood")}
 TEXT_IN_EXPORTS = ("pid_segment", "category_norm", "campaignIndex_norm", "pharmForm_norm", "pharmform_group", "group12")
 EXPORT_PREFIX = {"category_norm": "C_"}
