@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry import schema
 from basketry.functions.numeric import week_block
-from basketry.operators import audit, clean, features, history, sampling, segment
+from basketry.operators import audit, clean, features, guards, history, sampling, segment
 from basketry.schema import Config
 from basketry.sources import sinks
 
@@ -31,6 +31,17 @@ def base(fact: DataFrame, dim: DataFrame, config: Config) -> DataFrame:
     return features.safe_row_features(df.withColumn("week_block", week_block(F.col("day"), config.train_days[0])))
 
 
+def save_artefacts(a: Artefacts, folder: str) -> str:
+    """What was fitted, as Parquet, so that later rows can be scored with it."""
+    for f in fields(a):
+        sinks.save_parquet(getattr(a, f.name), f"{folder}/{f.name}.parquet")
+    return folder
+
+
+def load_artefacts(spark: SparkSession, folder: str) -> Artefacts:
+    return Artefacts(**{f.name: spark.read.parquet(f"{folder}/{f.name}.parquet") for f in fields(Artefacts)})
+
+
 def fit(df: DataFrame, config: Config) -> Artefacts:
     train = df.where("split = 'train'")
     return Artefacts(features.fit_edges(train, bins=config.bins), segment.fit_segments(train), features.fit_frequency(train, "manufacturer"))
@@ -77,15 +88,29 @@ def matrices(df: DataFrame, mode: str) -> dict[str, tuple[DataFrame, list[str],
     return out
 
 
+def exports(df: DataFrame, samples: dict[str, DataFrame], config: Config) -> dict[str, sinks.Export]:
+    """The files for an outside tool: each stage's splits and training sample with its final features, and its splits without the groups that did not pay."""
+    out = {}
+    for stage, target in STAGES.items():
+        rows = df if stage == "cls" else df.where(clean.stage2())
+        final, variant = f"{stage}_final", "no_groups" if stage == "cls" else "no_group34"
+        for name, suffix in ((final, ""), (f"{final}_{variant}", f"_{variant}")):
+            for split in ("train", "test", "validation"):
+                out[f"{stage}_{split}{suffix}"] = sinks.Export(rows.where(F.col("split") == split), schema.feature_set(name), target, stage.upper(), split, name.upper())
+        out[f"{stage}_sample_train"] = sinks.Export(samples[stage], schema.feature_set(final), target, stage.upper(), "sample_train", final.upper(), config.sample_fraction)
+    return out
+
+
 def run(fact: DataFrame, dim: DataFrame, folder: str, mode: str = "safe_only", config: Config = Config()) -> dict[str, int]:
     """Writes all outputs and returns the row counts. mode: safe_only or safe_plus_conditional."""
     began, spark = time.time(), fact.sparkSession
     if mode not in ("safe_only", "safe_plus_conditional"):
         raise ValueError(f"unknown mode {mode!r}")
     # What later stages aggregate again is a written table. The last is partitioned by split: every matrix, sample and audit reads only its columns and split.
+    guards.require_valid(guards.unique_key(dim, "pid"), "product table")
     featured = f"{folder}/featured"
     first = spark.read.parquet(sinks.save_parquet(base(fact, dim, config), f"{folder}/staging/base.parquet"))
-    df = apply(first, fit(first, config))
+    df = apply(first, load_artefacts(spark, save_artefacts(fit(first, config), f"{folder}/metadata/artefacts")))
     if mode == "safe_plus_conditional":
         df = conditional(spark.read.parquet(sinks.save_parquet(df, f"{folder}/staging/safe.parquet")), config)
     df.write.mode("overwrite").partitionBy("split").parquet(featured)
@@ -104,12 +129,13 @@ def run(fact: DataFrame, dim: DataFrame, folder: str, mode: str = "safe_only", c
     for name, report in reports.items():
         sinks.save_csv(report, f"{folder}/audit/{name}.csv", one_file=True)
     if mode == "safe_plus_conditional":
-        exports = {n: (rows.select(*c, t), c, t) for n, (rows, c, t) in frames.items() if "_final_" in n}
-        sinks.save_csv(sinks.export_csvs(exports, f"{folder}/exports"), f"{folder}/exports/manifest.csv", one_file=True)
+        samples = {n: spark.read.parquet(f"{folder}/samples/{n}.parquet") for n in STAGES}
+        sinks.save_csv(sinks.export_csvs(exports(df, samples, config), f"{folder}/exports", mode), f"{folder}/exports/manifest.csv", one_file=True)
         infos = None
         for e in history.ENCODINGS:
             one = history.fold_info(features.day_cycles(train), e)
             infos = one if infos is None else infos.unionByName(one)
         sinks.save_csv(infos, f"{folder}/metadata/fold_info.csv", one_file=True)
+    sinks.save_csv(sinks.outputs(spark, folder), f"{folder}/metadata/outputs.csv", one_file=True)
     sinks.run_manifest(spark, folder, mode, counts, time.time() - began)
     return counts

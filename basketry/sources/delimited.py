@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from basketry.schema import DIM_SCHEMA, FACT_SCHEMA, SEGMENT_SCHEMA, require_columns
+from basketry.schema import DIM_SCHEMA, FACT_SCHEMA, SEGMENT_SCHEMA, require_columns, same_columns
 
 SEPARATORS = ("|", ",", ";", "\t")
 #: Cells of metadata rows in exported predictions; fixed values.
@@ -93,6 +93,18 @@ def read_predictions(spark: SparkSession, path: str, sep: str = ",") -> DataFram
     return rows.select(*(F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns))
 
 
+def load_exports(spark: SparkSession, paths: Mapping[str, str], target: str) -> DataFrame:
+    """Exports of several splits as one frame, tagged with `split`; each must hold the target, and all the same columns in the same order."""
+    frames = {split: spark.read.option("header", True).option("inferSchema", True).csv(require_path(spark, path)) for split, path in paths.items()}
+    same_columns({n: df.columns for n, df in frames.items()}, "exports")
+    out = None
+    for split, df in frames.items():
+        require_columns(df.columns, [target], split)
+        one = df.withColumn("split", F.lit(split))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def normalised_name(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", name.lower())
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from basketry.schema import EXPORT_PREFIX, TEXT_IN_EXPORTS, require_columns
 
+#: The columns of an export manifest.
+MANIFEST = "file_name string, stage string, split string, n_rows long, n_features int, target_name string, feature_set_name string, sampling_used boolean, sampling_frac double, build_mode string, source_pipeline string, reg_mask_applied boolean, created_at string"
+
 
 def save_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     df.write.mode(mode).parquet(path)
@@ -59,19 +63,39 @@ def export_frame(df: DataFrame, features: Sequence[str], target: str) -> DataFra
     return df.select(*(shown(c) for c in features), target)
 
 
-def export_csvs(frames: Mapping[str, tuple[DataFrame, Sequence[str], str]], folder: str) -> DataFrame:
-    """Writes each (frame, features, target) and returns the manifest, one row for each file."""
+@dataclass(frozen=True)
+class Export:
+    """A frame to be written for an outside tool: rows of a stage ('CLS', 'REG') and split, and the share of rows if they are a sample."""
+
+    rows: DataFrame
+    features: Sequence[str]
+    target: str
+    stage: str
+    split: str
+    feature_set: str
+    fraction: float | None = None
+
+
+def export_csvs(exports: Mapping[str, Export], folder: str, mode: str) -> DataFrame:
+    """Writes each export and returns the manifest, one row for each file.
+
+    What was written is read again: the columns must be those asked for, and no target may be missing.
+    """
     spark, rows = None, []
-    for name, (df, features, target) in frames.items():
-        spark = df.sparkSession
-        out = export_frame(df, features, target)
-        path = save_csv(out, f"{folder}/{name}.csv")
+    for name, e in exports.items():
+        spark = e.rows.sparkSession
+        path = save_csv(export_frame(e.rows, e.features, e.target), f"{folder}/{name}.csv")
         back = spark.read.option("header", True).csv(path)
-        n = back.agg(F.count("*").alias("n"), F.count_if(F.col(target).isNull()).alias("missing")).first()
-        if back.columns != [*features, target] or n["missing"]:
+        n = back.agg(F.count("*").alias("n"), F.count_if(F.col(e.target).isNull()).alias("missing")).first()
+        if back.columns != [*e.features, e.target] or n["missing"]:
             raise ValueError(f"export {name}: columns or target differ from what was asked for")
-        rows.append((name, path, n["n"], len(back.columns), len(features), target, True, n["missing"], datetime.now(timezone.utc).isoformat()))
-    return spark.createDataFrame(rows, "file string, path string, n_rows long, n_columns int, n_features int, target string, target_last boolean, target_missing long, written_at string")
+        rows.append((f"{name}.csv", e.stage, e.split, n["n"], len(e.features), e.target, e.feature_set, e.fraction is not None, e.fraction, mode, "build", e.stage == "REG", datetime.now(timezone.utc).isoformat(timespec="seconds")))
+    return spark.createDataFrame(rows, MANIFEST)
+
+
+def outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """path and size in bytes of all files below a folder; their contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("n_bytes"))
 
 
 def run_manifest(spark: SparkSession, folder: str, mode: str, counts: Mapping[str, int], seconds: float) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry import schema
 from basketry.functions import numeric, text
-from basketry.operators import clean, features, history, metrics, sampling, segment
+from basketry.operators import clean, decide, features, guards, history, metrics, sampling, segment
 from basketry.plans import build
 from basketry.sources import delimited, sinks
 
@@ -183,6 +183,51 @@ def test_build(spark, tmp_path):
     assert len(spark.read.parquet(f"{out}/matrices/cls_final_test_X.parquet").columns) == 28
     assert (tmp_path / "out" / "RUN_MANIFEST.md").exists() and delimited.variants(spark, f"{out}/matrices", "cls")
     assert delimited.evaluation_split(spark, f"{out}/matrices", "cls", "base_safe") == "validation"
+    manifest = spark.read.option("header", True).csv(f"{out}/exports/manifest.csv")
+    assert (manifest.count(), len(manifest.columns), manifest.where("sampling_used = 'true'").count()) == (14, 13, 2)
+    again = delimited.load_exports(spark, {s: f"{out}/exports/cls_{s}.csv" for s in ("train", "test")}, "order")
+    assert again.count() == counts["train"] + counts["test"] and again.columns[-2:] == ["order", "split"]
+    # Later rows get from the stored artefacts what the build gave them.
+    stored = build.load_artefacts(spark, f"{out}/metadata/artefacts")
+    new = ["price_diff_bin", "discount_bin", "pid_segment", "manufacturer_freq"]
+    first = build.apply(spark.read.parquet(f"{out}/staging/base.parquet"), stored).select("lineID", *new)
+    built = spark.read.parquet(f"{out}/featured").select("lineID", *new)
+    assert first.exceptAll(built).count() == 0 and first.count() == built.count()
+    with pytest.raises(ValueError, match="product table"):
+        dim = adapter.dim(spark, "/root/testdata/sf0.001")
+        build.run(adapter.fact(spark, "/root/testdata/sf0.001"), dim.unionByName(dim.limit(1)), out)
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([(1, "1", 0.5, 0.5), (0, "x", 0.2, 0.9), (None, None, 1.5, -0.5)], "y int, t string, p double, q double")
+    assert guards.binary_target(df, "y").first()["valid"] is False and guards.binary_target(df.dropna(), "y").first()["valid"] is True
+    assert [guards.probability_pairs(df, "p", "q").first()[c] for c in ("n_outside", "n_off_sum")] == [1, 1]
+    assert [r[0] for r in df.select(guards.number_or(F.col("t"), -1.0)).collect()] == [1.0, -1.0, -1.0]
+    with pytest.raises(Exception, match="not a number: x"):
+        df.select(guards.strict_number(F.col("t"))).collect()
+    assert [r[0] for r in df.where("t is null or t = '1'").select(guards.strict_number(F.col("t"))).collect()] == [1.0, None]
+    with pytest.raises(ValueError, match="keys"):
+        guards.require_valid(guards.unique_key(df.unionByName(df), "t"), "keys")
+    guards.require_valid(guards.unique_key(df.where("t is not null"), "t"), "keys")
+    none = df.limit(0)
+    assert guards.binary_target(none, "y").first()["valid"] is False and guards.unique_key(none, "t").first()["valid"] is True
+    # Figures that one side lacks are not valid.
+    a, b = spark.createDataFrame([("m", 1.0)], "model string, f1 double"), spark.createDataFrame([("m", 1.0), ("n", 0.5)], "model string, f1 double")
+    assert [r["valid"] for r in guards.pinned(a, b, ["model"], ["f1"]).orderBy("model").collect()] == [True, False]
+
+
+def test_decisions(spark):
+    errors = lambda mae, rmse: spark.createDataFrame([("one", "baseline", 1.0, 2.0), ("m", "model", mae, rmse)], "model string, kind string, mae double, rmse double")
+    got = [decide.recommend(errors(*x), "one").first()["recommended"] for x in ((1.1, 1.0), (1.03, 1.9), (1.03, 1.96), (1.0, 1.96), (0.9, 1.98))]
+    assert got == ["one", "m", "one", "m", "one"]
+    run = decide.sample_run(spark.range(10), spark.range(20), 10, 21).first()
+    assert (run["n_test"], run["n_events"], run["is_sample"]) == (10, 20, True)
+    table = [("m", "v0", s, 0.5, 0.5, 0.5, 0.5) for s in ("test", "val")] + [("m", "v1", "test", 0.51, 0.5, 0.5, 0.5), ("m", "v1", "val", 0.49, 0.5, 0.5, 0.5), ("m", "v2", "test", 0.503, 0.5, 0.5, 0.5), ("m", "v2", "val", 0.5, 0.5, 0.5, 0.5)]
+    deltas = decide.variant_deltas(spark.createDataFrame(table, "model string, variant string, split string, f1 double, pr_auc double, precision double, recall double"), "v0", ["f1", "pr_auc", "precision", "recall"])
+    of = lambda least, primary="m": decide.overall_decision(deltas, decide.sample_run(spark.range(10), spark.range(20), least, 1), primary, "v0").first()
+    assert (of(1)["decision"], of(1)["winner"]) == ("keep as challenger", "v2")
+    assert (of(11)["decision"], of(11)["winner"]) == ("sample run, no decision", None)
+    assert of(1, "other")["decision"] == "primary model missing, no decision"
 
 
 def test_registered_benchmarks_take_all_rows(spark, monkeypatch):
