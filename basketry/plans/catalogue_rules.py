@@ -25,8 +25,8 @@ def quantity_target(spark, sf):
     return guards.at_least(prepared(spark, sf).where("`order` = 1"), "quantity", 1.0, ["split"])
 
 
-@query("models", """SELECT model, count(*) AS n_rows, count(*) FILTER (score IS NULL) AS n_missing, count(*) FILTER (score NOT BETWEEN 0 AND 1) AS n_outside, count(*) FILTER (abs(score + CASE WHEN y = 1 THEN 1 - score ELSE CAST(0.9999 AS DOUBLE) - score END - 1) > CAST(0.000001 AS DOUBLE)) AS n_off_sum,
-  bool_and(score BETWEEN 0 AND 1 AND y = 1) AS valid FROM models GROUP BY model""")
+@query("models", """SELECT *, n_missing + n_outside + n_off_sum = 0 AS valid FROM (SELECT model, count(*) AS n_rows, count(*) FILTER (score IS NULL OR negative IS NULL) AS n_missing, count(*) FILTER (score NOT BETWEEN 0 AND 1 OR negative NOT BETWEEN 0 AND 1) AS n_outside,
+  count(*) FILTER (abs(score + negative - 1) > CAST(0.000001 AS DOUBLE)) AS n_off_sum FROM (SELECT *, CASE WHEN y = 1 THEN 1 - score ELSE CAST(0.9999 AS DOUBLE) - score END AS negative FROM models) GROUP BY model)""")
 def probability_pairs(spark, sf):
     """The second probability of ordinary rows is made too small, so that the guard has something to find."""
     pairs = scored(spark, sf).withColumn("negative", F.when(C("y") == 1, 1 - C("score")).otherwise(0.9999 - C("score")))
