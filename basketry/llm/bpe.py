@@ -11,8 +11,10 @@ Text between white space is encoded on its own, so its ids are kept in a bounded
 
 Defined results: a null text is the empty text (no ids, empty decoded text); null and repeated ids
 are kept row by row; an empty table gives an empty result; other columns are not read. Texts are
-encoded whole. Texts that hold a special token of the file, or one of the four control characters on
-which Python and the file differ about white space, go through the library itself.
+encoded whole. Special tokens of the file stand for themselves, and the text between them is encoded
+as texts by themselves. Where Python's Unicode tables could differ from the library's (from U+0250 on,
+and for four control characters that only Python takes for white space), the library's own normaliser
+and splitter give the pieces; proposal, pair check and merging are the same for all pieces.
 """
 
 from __future__ import annotations
@@ -35,8 +37,15 @@ ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of the table of encoded words, and of known pairs, before either starts afresh.
 TABLE_ROWS = 250_000
-#: Code points from which pieces are given to the library: the scripts below are the same in all Unicode versions in use.
+#: Code points from which the library's tables normalise and split: the scripts below are the same in all Unicode versions in use.
 PLAIN_BELOW = 0x250
+#: White space for Python, but not for the file.
+CONTROLS = "\x1c\x1d\x1e\x1f"
+
+
+def plain(text: str) -> bool:
+    """Whether Python's tables normalise and split a text as the library's do."""
+    return text.isascii() and text.isprintable() or not text or max(text) < chr(PLAIN_BELOW) and not any(c in text for c in CONTROLS)
 
 
 class SpeculativeBpe:
@@ -54,11 +63,16 @@ class SpeculativeBpe:
         self.names = {i: t for t, i in self.vocab.items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {m: k for k, m in enumerate(merges)}
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        added = spec["added_tokens"]
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("special tokens must be matched as they stand")
+        self.specials = {t["content"]: t["id"] for t in added}
+        self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.specials, key=len, reverse=True)) + ")") if added else None
         self.names |= {t["id"]: t["content"] for t in spec["added_tokens"]}
         cut = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(cut["pattern"]["Regex"])
         self.alphabet = ByteEncoder._printable()
+        self.byte_of = {c: b for b, c in self.alphabet.items()}
         #: Length of the longest token by its first two characters.
         self.reach: dict[str, int] = {}
         for t in self.vocab:
@@ -69,7 +83,9 @@ class SpeculativeBpe:
         self.library.no_truncation()
         self.model = self.library.model
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        #: Special tokens go by their content after a space, which no word holds: in lower case a word may look like one.
+        self.fixed = {f" {t}": (np.asarray([i], "<u4").tobytes(), t) for t, i in self.specials.items()}
+        self.words: dict[str, tuple[bytes, str]] = dict(self.fixed)
         self.good = np.empty(0, np.int64)
         self.bad = np.empty(0, np.int64)
         self.stats = {"pieces": 0, "pairs_merged": 0, "merged_whole": 0}
@@ -132,19 +148,20 @@ class SpeculativeBpe:
         self.stats["pairs_merged"] += len(new)
         self.stats["merged_whole"] += len(failing)
 
+    def split(self, word: str) -> list[str]:
+        """The pieces of a word as the file cuts them."""
+        if plain(word):
+            return self.piece.findall(word)
+        return [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
+
     def learn(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
         """(ids as bytes, decoded text) of each word, a word being normalised text without white space."""
-        plain, out = {}, {}
-        for w in words:
-            if max(w) < chr(PLAIN_BELOW):
-                plain[w] = self.piece.findall(w)
-            else:
-                ids = self.library.encode(w, add_special_tokens=False).ids
-                out[w] = (np.asarray(ids, "<u4").tobytes(), self.decoded(ids))
-        new = list(dict.fromkeys(p for ps in plain.values() for p in ps if p not in self.pieces))
+        cut = {w: self.split(w) for w in words}
+        new = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in self.pieces))
         if new:
             self.encode_pieces(new)
-        for w, ps in plain.items():
+        out = {}
+        for w, ps in cut.items():
             ids = [t for p in ps for t in self.pieces[p]]
             out[w] = (np.asarray(ids, "<u4").tobytes(), self.decoded(ids))
         if len(self.pieces) > TABLE_ROWS:
@@ -155,34 +172,34 @@ class SpeculativeBpe:
         """Names of the ids, space-joined: the file has no decoder, so this is what the library returns."""
         return " ".join(map(self.names.__getitem__, ids))
 
-    def normalised(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def words_between(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if not plain(text):
+            return [w for w in self.library.normalizer.normalize_str(text).split(" ") if w]
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
 
-    def by_library(self, text: str) -> bool:
-        return any(c in text for c in "\x1c\x1d\x1e\x1f") or any(s in text for s in self.specials)
+    def words_of(self, text: str) -> list[str]:
+        """The normalised words of a text, and its special tokens under their names in the table of words."""
+        if not any(t in text for t in self.specials):
+            return self.words_between(text)
+        return [w for k, part in enumerate(self.special.split(text)) for w in ([f" {part}"] if k % 2 else self.words_between(part))]
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
-        words = [None if self.by_library(t) else self.normalised(t).split() for t in texts]
+        words = [self.words_of(t) for t in texts]
         known = self.words
-        missing = {w for ws in words if ws for w in ws if w not in known}
+        missing = {w for ws in words for w in ws if w not in known}
         if len(known) + len(missing) > TABLE_ROWS:
             if len(known) > TABLE_ROWS // 2:
-                known = self.words = {}
-                missing = {w for ws in words if ws for w in ws}
+                known = self.words = dict(self.fixed)
+                missing = {w for ws in words for w in ws if w not in known}
         got = known | self.learn(missing) if missing else known
         if missing and len(got) <= TABLE_ROWS:
             self.words = got
         out = []
-        for text, ws in zip(texts, words, strict=True):
-            if ws is None:
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                out.append((np.asarray(ids, "<u4").tobytes(), self.decoded(ids)))
-            else:
-                pairs = [got[w] for w in ws]
-                out.append((b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]])))
+        for ws in words:
+            pairs = [got[w] for w in ws]
+            out.append((b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]])))
         return out
 
 

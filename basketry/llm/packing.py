@@ -51,6 +51,13 @@ class ByteEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model, before = spec["model"], spec["pre_tokenizer"]
+        order = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        # What makes merging by ranks the same as merging by the file's list.
+        if order != sorted(order) or model.get("ignore_merges") or model.get("dropout") or spec["normalizer"] or (before["type"], before["add_prefix_space"], before["use_regex"]) != ("ByteLevel", False, True):
+            raise ValueError(f"{path} is not a plain byte-level file with merges in the order of their ids")
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("special tokens must be matched as they stand")
         to_byte = {c: b for b, c in self._printable().items()}
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in to_byte for c in token)}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import json
 import re
+import types
 import unicodedata
 import zlib
 from pathlib import Path
@@ -358,4 +360,29 @@ def test_pipeline_stages_keep_what_they_should(spark):
 
 def test_normalised_text_is_what_the_library_sees():
     b = bpe.codec(public_tokenizers.path("word_bpe_49k.json"))
-    assert b.normalised("É") == unicodedata.normalize("NFC", "é") == "é"
+    assert b.words_of("E\u0301 x") == [unicodedata.normalize("NFC", "é"), "x"]
+
+
+def test_all_scripts_go_through_proposal_and_pair_check(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, b = Tokenizer.from_file(path), bpe.SpeculativeBpe(path)
+    tables = types.SimpleNamespace(normalizer=library.normalizer, pre_tokenizer=library.pre_tokenizer)
+    monkeypatch.setattr(b, "library", tables)  # it normalises and splits, but cannot encode
+    parts = ["привет мир Ёжик", "ΟΔΥΣΣΕΥΣ σοφός", "漢字かな交じり文。", "مرحبا ١٢٣", "😀👩\u200d👧🇩🇪", "“curly” — dash’s İ ẞ", "\x1c\x1d\x1e\x1f\x85\u200b\u3000 \xa0", "e\u0301 \u0301x", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "हिन्दी ไทย", "it's WE'LL 12\n"]
+    rng = np.random.default_rng(5)
+    texts = [str(p) for p in parts] + ["".join(rng.choice(parts, 4)) for _ in range(300)] + ["".join(rng.choice(list("".join(parts)), 30)) for _ in range(300)]
+    for text, (ids, decoded) in zip(texts, b.encode_batch(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, text
+        assert decoded == library.decode(want, skip_special_tokens=False)
+    assert 0 < b.stats["merged_whole"] < b.stats["pieces"]
+
+
+def test_packing_refuses_files_that_need_another_merge_order(tmp_path):
+    spec = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    spec["model"]["merges"][:2] = spec["model"]["merges"][1::-1]
+    (tmp_path / "file.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="order"):
+        packing.ByteEncoder(str(tmp_path / "file.json"), public_tokenizers.PATTERN)
