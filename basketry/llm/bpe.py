@@ -45,7 +45,7 @@ CONTROLS = "\x1c\x1d\x1e\x1f"
 
 def plain(text: str) -> bool:
     """Whether Python's tables normalise and split a text as the library's do."""
-    return text.isascii() and text.isprintable() or not text or max(text) < chr(PLAIN_BELOW) and not any(c in text for c in CONTROLS)
+    return (text.isascii() or max(text) < chr(PLAIN_BELOW)) and not any(c in text for c in CONTROLS)
 
 
 class SpeculativeBpe:
