@@ -6,7 +6,9 @@ pair within the radius does. Rows of a task are ordered by bucket and stored as
 of a plane holding one bit of 64 rows. All rows are compared with the row s places further on at
 once: the planes are combined with themselves shifted by s bits, and carry-save counters, themselves
 bit planes, add up the differences of 64 pairs at a time. Words in which every pair has exceeded the
-radius are abandoned. A bucket that is larger than a tile is dealt out to tasks by pairs of tiles.
+radius are abandoned. A bucket that is larger than a tile is first split by stripes of bits, one more
+than the radius, of which any pair within the radius shares one; only what is still larger than a
+tile, and so alike in even more bits, is dealt out to tasks by pairs of tiles.
 
 Each task returns a spanning forest of the links that it found, so a group of copies never becomes
 all its pairs. Components are then found over the forests.
@@ -213,19 +215,27 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)
 
 
+def _large(keyed: DataFrame, tile: int) -> DataFrame:
+    """The keys of more rows than a tile, with their numbers of tiles."""
+    return keyed.groupBy("key").count().where(F.col("count") > tile).select(F.col("key").alias("large_key"), F.ceil(F.col("count") / (tile / 2)).cast("int").alias("tiles"))
+
+
 def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """Links (u, v) between the distinct values of the column fp, enough of them to connect all that are within the radius."""
-    masks = _masks(blocks_for(fps.count(), radius), radius)
+    key_of = lambda name, masks: F.explode(F.array(*(F.xxhash64(*name, F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))).alias("key")
     # A bucket's name: which blocks it fixes, and their bits.
-    keyed = fps.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))).alias("key"))
-    large = keyed.groupBy("key").count().where(F.col("count") > tile).select(F.col("key").alias("large_key"), F.ceil(F.col("count") / (tile / 2)).cast("int").alias("tiles"))
-    keyed = keyed.join(large, F.col("key") == F.col("large_key"), "left")
+    keyed = fps.select("fp", key_of([], _masks(blocks_for(fps.count(), radius), radius)))
+    large = cut(_large(keyed, tile).select("large_key"))
+    is_large = F.col("key") == F.col("large_key")
+    stripes = [sum(1 << bit for bit in range(k, 64, radius + 1)) for k in range(radius + 1)]
+    finer = keyed.join(large, is_large, "left_semi").select("fp", key_of(["key"], stripes))
+    split = finer.join(_large(finer, tile), is_large, "left")
     own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.coalesce("tiles", F.lit(1))).cast("int")
     # A row of tile a goes to the tasks of all pairs that hold a.
     pairs = F.when(F.col("tiles").isNull(), F.array(F.col("key"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda b: F.xxhash64(F.col("key"), F.least(own, b), F.greatest(own, b)))
     )
-    dealt = keyed.select(F.explode(pairs).alias("key"), "fp")
+    dealt = keyed.join(large, is_large, "left_anti").select("key", "fp").unionByName(split.select(F.explode(pairs).alias("key"), "fp"))
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "u long, v long")
 
 

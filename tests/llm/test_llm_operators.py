@@ -278,6 +278,32 @@ def test_simhash_equals_brute_force(spark, documents, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(set(group.values()))
 
 
+@pytest.mark.parametrize("tile", [8, 64, 4096])
+def test_links_within_large_buckets(spark, tile):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**32, 60, dtype=np.uint64)  # the upper half is the same everywhere, so some buckets hold all rows
+    near = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (12, 3), dtype=np.uint64), axis=1) for b in base]
+    fps = sorted({int(f) for f in np.concatenate(near)})
+    frame = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    root = {f: f for f in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in simhash.links(frame, tile=tile).collect():
+        u, v = (x % 2**64 for x in r)
+        assert (u ^ v).bit_count() <= 4
+        root[top(u)] = top(v)
+    found, want = collections.defaultdict(set), collections.defaultdict(set)
+    groups = _groups(set(fps))
+    for f in fps:
+        found[top(f)].add(f)
+        want[groups[f]].add(f)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and len(want) < len(fps)
+
+
 @pytest.mark.parametrize("radius", [1, 3, 4, 7])
 def test_bit_slices_count_exactly(radius):
     rng = np.random.default_rng(radius)
@@ -321,6 +347,16 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("vec_id is null"), F.col("vec_id") == 0).count() == 0
 
 
+def test_lists_and_sample_grow_within_their_bounds(monkeypatch):
+    assert [neighbours.lists_for(n) for n in (1, 1600, 1 << 24, 1 << 28, 1 << 40)] == [1, 10, 1024, 4096, neighbours.MOST_LISTS]
+    assert neighbours.sample_rows(1000, 64) == neighbours.SAMPLE and neighbours.sample_rows(1 << 40, 64) == neighbours.MOST_SAMPLE
+    assert neighbours.sample_rows(1 << 40, 4096) * 4096 * 8 <= neighbours.SAMPLE_BYTES
+    x = np.random.default_rng(2).standard_normal((500, 8))
+    want = ((x[:, None] - x[None, :37]) ** 2).sum(2).argmin(1)
+    monkeypatch.setattr(neighbours, "HELD", 100)
+    assert neighbours._nearest(x, x[:37]).tolist() == want.tolist() and len(neighbours._nearest(x[:0], x[:37])) == 0
+
+
 def test_url_lists(spark):
     entries = spark.createDataFrame([("domain", "bad.org", "2024-01-10", "add"), ("domain", "bad.org", "2024-01-20", "remove"), ("path", "x.com/ads", "2024-01-01", "add"), (None, "y", "2024-01-01", "add")], "kind string, key string, listed_at string, action string")
     rows = [(1, "http://a.BAD.org:80/x", "2024-01-09"), (2, "http://u@a.bad.org/x", "2024-01-10"), (3, "http://bad.org", "2024-01-20"), (4, "https://x.com/ads/1", "2024-03-01"), (5, None, "2024-03-01"), (6, "http://bad.org", None), (7, "nonsense", "2024-01-15"), (2, "http://u@a.bad.org/x", "2024-01-10")]
