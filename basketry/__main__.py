@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from basketry.operators import rollup
 from basketry.operators.clean import prepare
@@ -13,6 +13,15 @@ from basketry.plans import build
 from basketry.sources import delimited, sinks
 
 
+def extract(fact: DataFrame, dim: DataFrame, folder: str) -> None:
+    """Writes the daily and the order extract, as Parquet and as pipe-separated text."""
+    df = rollup.with_price_bins(prepare(fact, dim))
+    daily = rollup.core_daily(df)
+    for name, out in (("core_daily", daily), ("orders_line", rollup.order_lines(df, daily))):
+        path = sinks.save_parquet(out, f"{folder}/{name}.parquet")
+        sinks.save_csv(fact.sparkSession.read.parquet(path), f"{folder}/{name}.csv", sep="|")
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="basketry", description=__doc__)
     p.add_argument("command", choices=("build", "extract"))
@@ -27,11 +36,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "build":
             print(build.run(fact, dim, a.out, a.mode))
         else:
-            df = rollup.with_price_bins(prepare(fact, dim))
-            daily = rollup.core_daily(df)
-            for name, out in (("core_daily", daily), ("orders_line", rollup.order_lines(df, daily))):
-                path = sinks.save_parquet(out, f"{a.out}/{name}.parquet")
-                sinks.save_csv(spark.read.parquet(path), f"{a.out}/{name}.csv", sep="|")
+            extract(fact, dim, a.out)
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return 1
