@@ -15,11 +15,12 @@ from basketry.sources import delimited, sinks
 
 def extract(fact: DataFrame, dim: DataFrame, folder: str) -> None:
     """Writes the daily and the order extract, as Parquet and as pipe-separated text."""
-    df = rollup.with_price_bins(prepare(fact, dim))
-    daily = rollup.core_daily(df)
-    for name, out in (("core_daily", daily), ("orders_line", rollup.order_lines(df, daily))):
-        path = sinks.save_parquet(out, f"{folder}/{name}.parquet")
-        sinks.save_csv(fact.sparkSession.read.parquet(path), f"{folder}/{name}.csv", sep="|")
+    keep = lambda df, name: fact.sparkSession.read.parquet(sinks.save_parquet(df, f"{folder}/{name}.parquet"))
+    # What several aggregates read again is a written table.
+    df = keep(rollup.with_price_bins(keep(prepare(fact, dim), "staging/prepared")), "staging/binned")
+    daily = keep(rollup.core_daily(df), "core_daily")
+    lines = keep(rollup.order_lines(df, daily), "orders_line")
+    sinks.at_once(lambda: sinks.save_csv(daily, f"{folder}/core_daily.csv", sep="|"), lambda: sinks.save_csv(lines, f"{folder}/orders_line.csv", sep="|"))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import numeric
 from basketry.operators.features import clip_and_bin, price_features
-from basketry.operators.ordered import place_of_keys
+from basketry.operators.ordered import place_of_keys, written
 
 
 def daily_rates(df: DataFrame) -> DataFrame:
@@ -64,7 +64,8 @@ def core_daily(df: DataFrame) -> DataFrame:
         F.count("lineID").alias("n_events"), F.sum("click").alias("n_click"), F.sum("basket").alias("n_basket"), F.sum("order").alias("n_order"), F.median("price").alias("price"),
         *(first_by(c, DAILY_FIRST).alias(c) for c in DAILY_FIRST), *(F.first(c, ignorenulls=True).alias(c) for c in STATIC),
     )
-    days = days.withColumns({f"{a}_rate": F.col(f"n_{a}") / F.col("n_events") for a in ("click", "basket", "order")})
+    # Written, since the segments are made from it and joined to it.
+    days = written(days).withColumns({f"{a}_rate": F.col(f"n_{a}") / F.col("n_events") for a in ("click", "basket", "order")})
     totals = days.groupBy("pid").agg(F.sum("n_events").alias("pid_total_events"))
     size = totals.agg(F.count("*").alias("keys"))
     ranked = place_of_keys(totals, "pid_total_events", "pid").join(F.broadcast(size))

@@ -7,7 +7,8 @@ file system too, so a path may be remote.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -20,6 +21,13 @@ from basketry.schema import EXPORT_PREFIX, TEXT_IN_EXPORTS, require_columns
 MANIFEST = "file_name string, stage string, split string, n_rows long, n_features int, target_name string, feature_set_name string, sampling_used boolean, sampling_frac double, build_mode string, source_pipeline string, reg_mask_applied boolean, created_at string"
 
 
+def at_once(*jobs: Callable[[], object], most: int = 4) -> None:
+    """Runs independent writes side by side, so that small ones do not leave the executors idle; an error of one is raised."""
+    with ThreadPoolExecutor(most) as pool:
+        for done in [pool.submit(j) for j in jobs]:
+            done.result()
+
+
 def save_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     df.write.mode(mode).parquet(path)
     return path
