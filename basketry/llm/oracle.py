@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from basketry.llm import licenses
+from basketry.llm.divergence import SMOOTHING, UNIT
 from basketry.llm.licence_texts import DIGESTS, NOTICES, TEXTS
 from basketry.llm.quality import MARKS, STOP_WORDS, THRESHOLDS
 from basketry.llm.queries import LIST_ENTRIES
@@ -110,6 +111,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, stop
 """
 
 
+def _centroids(k: int = 16, rounds: int = 3) -> str:
+    square = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: CAST(({a}[i] - {b}[i]) AS HUGEINT) * ({a}[i] - {b}[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, arg_min(n, (d, n)) AS n, min(d) AS d FROM (SELECT v.rid, c{r}.n, {square('v.x', f'c{r}.x')} AS d FROM v, c{r}) GROUP BY rid)")
+        if r < rounds:
+            steps.append(f"""u{r} AS (SELECT n, list(floor_mean ORDER BY i) AS x FROM (
+  SELECT n, i, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean FROM (SELECT n, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM v JOIN a{r} USING (rid)) GROUP BY n, i) GROUP BY n),
+c{r + 1} AS MATERIALIZED (SELECT n, coalesce(u{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN u{r} USING (n))""")
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (SELECT rid, vec_id, list_transform(embedding, lambda y: CAST(floor(64 * CAST(y AS DOUBLE)) AS HUGEINT)) AS x FROM e
+  WHERE len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS n, x FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) LIMIT {k}),
+{", ".join(steps)}
+SELECT vec_id, CAST(n AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c{rounds}.x, lambda y: CAST(y AS VARCHAR)), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN c{rounds} USING (n)
+"""
+
+
+def _divergence() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    p = lambda n, total: f"1 + ({UNIT}::HUGEINT * ({n} + {SMOOTHING})) // ({total} + {SMOOTHING}::HUGEINT * terms)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM k GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(terms, 0) AS terms, coalesce(lang_total, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL) USING (lang, source) LEFT JOIN l USING (lang)),
+f AS (SELECT lang, source, term, coalesce(n, 0) AS n, {p("coalesce(n, 0)", "total")} AS p, {p("lang_n", "lang_total")} AS q FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f x ON x.lang = a.lang AND x.source = a.source LEFT JOIN f y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term WHERE x.term IS NULL OR y.term IS NOT NULL GROUP BY ALL),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM f WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     assert MARKS == "#*$%&|<>"
-    return {"op1_secret_scan": _secret_scan(), "op3_url_filter": _url_filter(), "op7_license_scan": _license_scan(), "op8_quality_rules": _quality_rules()}
+    return {
+        "op1_secret_scan": _secret_scan(), "op3_url_filter": _url_filter(), "op7_license_scan": _license_scan(), "op8_quality_rules": _quality_rules(),
+        "op12_centroids": _centroids(), "op13_divergence": _divergence(),
+    }
