@@ -2,9 +2,9 @@
 
 Tasks count the terms of their documents in blocks and emit one record for each (lang, term, source)
 of a block, with the place of the block's first document, the number of documents that hold the term
-and the number of its occurrences. The records are dealt out by (lang, term), sorted by lang, term,
-source and document, and a run-length scan adds them up; a run of too few documents is dropped. A
-frequent term costs a record for each block, not for each document, so no task gets a hot term's
+and the number of its occurrences. The records are dealt out by a hash of (lang, term), sorted by it and
+by lang, term, source and document, and a run-length scan adds them up; a run of too few documents is
+dropped. A frequent term costs a record for each block, not for each document, so no task gets a hot term's
 documents, and a scan holds one run, summed by source.
 
 The kept counts are dealt out again, by language and a share of the terms, behind the header rows of
@@ -49,6 +49,8 @@ BLOCK = 300_000
 LONG = 8_000_000
 #: Sources of a language that a task holds at most twice; tiles of them are paired. Terms of a group that a scan collects before it keeps the greatest.
 TILE, BUFFER = 256, 20_000
+#: Counts of a share of the terms of a language, about.
+SHARE = 100_000
 #: Rows of an emitted batch.
 ROWS = 50_000
 
@@ -62,9 +64,9 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
 
 
-def terms_of(text: bytes) -> Iterable[bytes]:
-    text = text.lower()  # of bytes: A-Z alone
-    return TERM.findall(text) if len(text) <= LONG else (m[0] for m in TERM.finditer(text))
+def terms_of(text: bytes) -> Iterator[bytes]:
+    """The terms of a text one by one."""
+    return (m[0] for m in TERM.finditer(text.lower()))
 
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,22 +77,27 @@ def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emitted() -> Iterator[pa.RecordBatch]:
         for (lang, source), (docs, n) in held.items():
-            terms = list(docs)
+            # Both counters got their terms in the same order.
+            terms, counts, sums = pa.array(docs, pa.binary()).cast(pa.string()), pa.array(docs.values(), pa.int64()), pa.array(n.values(), pa.int64())
             for at in range(0, len(terms), ROWS):
                 some = terms[at : at + ROWS]
-                same = lambda x: pa.array([x] * len(some))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([same(lang), pa.array(some, pa.binary()).cast(pa.string()), same(source), pa.array([first] * len(some), pa.int64()), pa.array([docs[t] for t in some], pa.int64()), pa.array([n[t] for t in some], pa.int64())], schema=RECORDS)
+                same = lambda x, t: pa.repeat(pa.scalar(x, t), len(some))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(lang, pa.string()), some, same(source, pa.string()), same(first, pa.int64()), counts[at : at + ROWS], sums[at : at + ROWS]], schema=RECORDS)
         held.clear()
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            counts = Counter(terms_of(text))
             docs, n = held.setdefault((lang, source), (Counter(), Counter()))
-            before = len(docs)
-            docs.update(counts.keys())
-            n.update(counts)
+            before = len(n)
+            if len(text) <= LONG:
+                terms = TERM.findall(text.lower())  # of bytes: A-Z alone
+                n.update(terms)
+                docs.update(dict.fromkeys(terms).keys())
+            else:
+                n.update(terms_of(text))
+                docs.update(dict.fromkeys(terms_of(text)).keys())
             document += 1
-            weight += len(docs) - before
+            weight += len(n) - before
             if weight > BLOCK:
                 yield from emitted()
                 first, weight = document, 0
@@ -111,26 +118,26 @@ def _starts(table: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
 def _collapsed(table: pa.Table) -> pa.Table:
     """One row for each run of a source within a term."""
     at = _starts(table, ("lang", "term", "source"))
-    sums = {c: pa.array(np.add.reduceat(table[c].to_numpy(), at)) if len(at) else pa.array([], pa.int64()) for c in ("docs", "n")}
-    rows = table.select(["lang", "term", "source"]).take(pa.array(at))
+    sums = {c: pa.array(np.add.reduceat(table[c].to_numpy(), at)) for c in ("docs", "n")}
+    rows = table.drop_columns(list(sums)).take(pa.array(at))
     return pa.table({**{c: rows[c] for c in rows.column_names}, **sums})
 
 
 def _runs(least: int):
-    """From sorted records to the counts of terms that at least so many documents hold."""
+    """From sorted records to the counts of terms that at least so many documents hold.
+
+    A run of a key is a term, but for terms of equal hash; most runs are too short for any term and go at once.
+    """
 
     def finished(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = _collapsed(table.combine_chunks())
         at = _starts(table, ("lang", "term"))
-        if not len(at):
-            return
         sizes = np.diff(np.append(at, table.num_rows))
         kept = np.repeat(np.add.reduceat(table["docs"].to_numpy(), at) >= least, sizes)
-        if not kept.any():
-            return
         first = np.zeros(table.num_rows, bool)
         first[at] = True
         lang_n = np.repeat(np.add.reduceat(table["n"].to_numpy(), at), sizes)
-        out = table.drop_columns(["docs"]).append_column("lang_n", pa.array(lang_n)).append_column("first", pa.array(first)).filter(pa.array(kept))
+        out = table.drop_columns(["docs", "key"]).append_column("lang_n", pa.array(lang_n)).append_column("first", pa.array(first)).filter(pa.array(kept))
         yield from out.cast(KEPT).combine_chunks().to_batches(max_chunksize=ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +145,17 @@ def _runs(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = _collapsed(pa.Table.from_batches([batch]).drop_columns(["document"]))
-            if rest is not None:
-                table = _collapsed(pa.concat_tables([rest, table]))
-            last = int(_starts(table, ("lang", "term"))[-1])
-            yield from finished(table.slice(0, last))
-            rest = table.slice(last).combine_chunks()  # of one term: a row for each source
+            table = pa.table({c: batch.column(c) for c in ("lang", "term", "source", "key", "docs", "n")})
+            table = table if rest is None else pa.concat_tables([rest, table])
+            keys = table["key"].to_numpy()
+            at = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+            sizes = np.diff(np.append(at, len(keys)))
+            # The last run may go on in the next batch.
+            enough = np.add.reduceat(table["docs"].to_numpy(), at) >= least
+            enough[-1] = False
+            if enough.any():
+                yield from finished(table.filter(pa.array(np.repeat(enough, sizes))))
+            rest = _collapsed(table.slice(int(at[-1])).combine_chunks())  # a row for each source
         if rest is not None:
             yield from finished(rest)
 
@@ -173,7 +185,7 @@ class Share:
         size = len(self.sources)
         self.none = probability(np.zeros(size, np.int64), self.n, self.terms) if self.terms else np.zeros(size, np.int64)
         self.base = np.abs(self.none[:, None] - self.none[None, :])
-        # The sums of the share with number 0 hold what the distances would be without any term.
+        # The sums of the share number 0 hold what the distances would be without any term.
         self.sums = self.terms * self.base if self.salt == 0 else np.zeros((size, size), np.int64)
         self.whole = len(set(self.tile.tolist())) == 1 and bool(head["whole"].iloc[0])
         self.best: list[pd.DataFrame] = []
@@ -277,24 +289,25 @@ def audit(docs: DataFrame, *, least: int = 30, top: int = 50, tile: int = TILE,
 
     least: documents of a language that must hold a term. tile: sources of a language that are paired in one task.
     """
-    spark = docs.sparkSession
     rows = docs.select(text_or_empty(lang_col).alias("lang"), text_or_empty(source_col).alias("source"), text_or_empty(text_col).cast("binary").alias("text"))
-    records = rows.mapInArrow(_records, ddl(RECORDS))
-    order = ["lang", "term", "source", "document"]
-    kept = cut(records.repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(_runs(least), ddl(KEPT)))
+    # The hash comes first, so that two terms differ in a number; strings are compared within a run.
+    records = rows.mapInArrow(_records, ddl(RECORDS)).withColumn("key", F.xxhash64("lang", "term"))
+    kept = cut(records.repartition("key").sortWithinPartitions("key", "lang", "term", "source", "document").mapInArrow(_runs(least), ddl(KEPT)))
 
     by_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    by_lang = kept.where("first").groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_n"))
+    shares = F.ceil(F.count("*") / SHARE).cast("int").alias("shares")
+    by_lang = cut(kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum(F.when(F.col("first"), F.col("lang_n"))).alias("lang_n"), shares))
     named = rows.select("lang", "source").distinct()
-    groups = cut(named.join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left").na.fill(0, ["n", "v", "lang_n"]))
+    groups = cut(named.join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left").na.fill(0, ["n", "v", "lang_n"]).na.fill(1, ["shares"]))
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    tiles, salts = max(1, -(-most // tile)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles = max(1, -(-most // tile))
     number = F.pmod(F.xxhash64("source"), F.lit(tiles)).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda b: F.least("tile", b) * tiles + F.greatest("tile", b))).alias("pair")
     shown = ["lang", "pair", "salt", "term", "source", "n", "lang_n", "v", "tile", F.expr(f"pair div {tiles} = pair % {tiles}").alias("whole")]
     own = lambda df: df.withColumn("tile", number).select("*", pairs)
-    headers = own(groups).withColumn("term", F.lit(None).cast("string")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).select(*shown)
-    entries = own(kept).withColumns({"salt": F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int"), "v": F.lit(0).cast("long")}).select(*shown)
+    headers = own(groups).withColumn("term", F.lit(None).cast("string")).select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")).select(*shown)
+    shared = kept.join(by_lang.select("lang", "shares"), "lang")
+    entries = own(shared).withColumns({"salt": F.pmod(F.xxhash64("term"), F.col("shares")).cast("int"), "v": F.lit(0).cast("long")}).select(*shown)
     dealt = headers.unionByName(entries).repartition("lang", "pair", "salt").sortWithinPartitions("lang", "pair", "salt", "term", "source")
     partial = dealt.mapInArrow(_partials(top), ddl(PARTIAL))
     summed = partial.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))

@@ -141,11 +141,24 @@ def test_audit_of_nothing(spark):
     assert found(spark, [(None, None, None), ("x", None, "b")], least=3) == {("", "", "pair", "b", 0, 1): 1, ("", "b", "pair", "", 0, 1): 1}
 
 
-def test_long_texts_are_counted_whole(monkeypatch):
-    text = ("Word and wordé " * 1000).encode()
-    whole = collections.Counter(divergence.terms_of(text))
+def test_long_texts_and_small_shares(spark, monkeypatch):
+    rows = [(f"Word and wordé {k % 7} " * 40, "en", "ab"[k % 2]) for k in range(20)]
+    monkeypatch.setattr(divergence, "SHARE", 2)
+    assert found(spark, rows, least=5) == brute_audit(rows, 5)
+    assert collections.Counter(divergence.terms_of(b"Aa \xc3\xa9B aA")) == {b"aa": 2, b"\xc3\xa9b": 1}
+
+
+def test_long_texts_are_counted_like_others(monkeypatch):
+    import pyarrow as pa
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(divergence, "TaskContext", type("T", (), {"get": staticmethod(Context)}))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 2), pa.array(["s"] * 2), pa.array([b"Word and wordz Word " * 9, b"and so"])], names=["lang", "source", "text"])
+    whole = list(divergence._records([batch]))
     monkeypatch.setattr(divergence, "LONG", 10)
-    assert collections.Counter(divergence.terms_of(text)) == whole
+    assert list(divergence._records([batch])) == whole
 
 
 def test_probabilities_beyond_64_bits():
