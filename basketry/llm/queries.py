@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, centroids, divergence, licenses, neighbours, packing, pii, quality, secret_scan, simhash, toxicity, url_filter
+from basketry.llm import bpe, centroids, divergence, licenses, neighbours, packing, pii, pu_quality, quality, secret_scan, simhash, toxicity, url_filter
 from basketry.llm.common import table
 
 #: The key of the pseudonyms in the registered query; a deployment passes its own.
@@ -88,6 +88,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.crc32(F.col("id").cast("string")) % 4 == 2
+    statistics = pu_quality.with_statistics(table(spark, sf_dir, "documents"))
+    model = pu_quality.train(statistics, table(spark, sf_dir, "labels"), held_out=apart)
+    scored = pu_quality.scores(statistics, model)
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(apart, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -97,5 +105,5 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_packing, op3_url_filter, op4_bpe, op5_toxicity, op6_pii, op7_license_scan, op8_quality_rules, op9_simhash, op10_ann, op12_centroids, op13_divergence)
+    own = (op1_secret_scan, op2_packing, op3_url_filter, op4_bpe, op5_toxicity, op6_pii, op7_license_scan, op8_quality_rules, op9_simhash, op10_ann, op11_quality_classifier, op12_centroids, op13_divergence)
     return {f.__name__: f for f in own}
