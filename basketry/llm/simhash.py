@@ -239,13 +239,13 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "u long, v long")
 
 
-def _classes(prints: DataFrame, radius: int, tile: int) -> DataFrame:
-    """fp, component_id and root of each distinct fingerprint of prints (doc_id, fp).
+def _classes(prints: DataFrame, radius: int, tile: int, first: str = "doc_id") -> DataFrame:
+    """fp, component_id, root and first_id of each distinct fingerprint of prints (doc_id, fp); ids are the least values of the column `first`.
 
     Only fingerprints with a link take part in the naming. The names are written before the join, so
     that both of its sides are plain exchanges and Spark can split a root that most rows share.
     """
-    firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    firsts = cut(prints.groupBy("fp").agg(F.min(first).alias("first_id")))
     linked = cut(firsts.join(components(links(firsts.select("fp"), radius, tile)), F.col("fp") == F.col("node")).select("node", "root", "first_id"))
     named = cut(linked.groupBy(F.col("root").alias("named_root")).agg(F.min("first_id").alias("least_id")))
     names = linked.join(named, F.col("root") == F.col("named_root")).select("node", "root", "least_id")
@@ -268,15 +268,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, tile: int = TILE) -> DataFrame:
     """The documents, one for each component: the one with the least id, null ids last.
 
-    Of equal rows that qualify, one is kept; rows that share that id and a fingerprint are told
-    apart by their text. Columns of docs may have any names.
+    Of rows with that id the one whose text has the least digest is kept, and one of equal rows.
+    Columns of docs may have any names.
     """
-    fp, own, place, best_id, best_fp = (unused(docs, n) for n in ("fp", "own_id", "place", "best_id", "best_fp"))
-    keyed = with_fingerprint(docs, text_col, fp, shingle).withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
-    prints = cut(keyed.select(F.col(own).alias("doc_id"), F.col(fp).alias("fp")))
-    classes = _classes(prints, radius, tile)
-    best = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").alias("i"), F.col("class_fp").alias("f"))).alias("best")).select(F.col("best.i").alias(best_id), F.col("best.f").alias(best_fp))
-    kept = keyed.join(best, (F.col(own) == F.col(best_id)) & (F.col(fp) == F.col(best_fp)), "left_semi")
+    own, digest, place, best_id, best_digest = (unused(docs, n) for n in ("own_id", "digest", "place", "best_id", "best_digest"))
+    marked = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), digest: F.xxhash64(F.col(text_col))})
+    # Fingerprints are made once; the rows are found again by their id and a digest that costs little.
+    prints = cut(with_fingerprint(marked.select(F.struct(F.col(own).alias("i"), F.col(digest).alias("d")).alias("doc"), F.col(text_col).alias("text")), "text", "fp", shingle).select("doc", "fp"))
+    classes = _classes(prints, radius, tile, "doc")
+    best = classes.groupBy("root").agg(F.min("first_id").alias("best")).select(F.col("best.i").alias(best_id), F.col("best.d").alias(best_digest))
+    kept = marked.join(best, (F.col(own) == F.col(best_id)) & (F.col(digest) == F.col(best_digest)), "left_semi")
     # Groups are only as large as a row is repeated.
-    w = Window.partitionBy(own, fp).orderBy(F.xxhash64(F.col(text_col)))
+    w = Window.partitionBy(own, digest).orderBy(F.lit(0))
     return kept.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).select(*docs.columns)
