@@ -3,8 +3,10 @@
 Numbers and dates that pass their checks are permuted within their own format by a keyed Feistel
 network over two parts, with additions modulo the sizes of the parts: a card number becomes another
 of as many digits whose check digit is right, a long number another whose check digit is wrong, a
-social security number another valid one, a date another date in the same notation, an address
-another address. Where a notation holds only some values of the permuted set (a date that can only
+social security number another valid one, an account number (IBAN) another whose check digits are
+right, a date another date in the same notation, an address another address. A telephone number is
+taken for one only in a notation that says so (a plus sign, an area code in parentheses or with a
+trunk zero, a national grouping, a word such as tel before it), never for its grouped digits alone. Where a notation holds only some values of the permuted set (a date that can only
 be read month first, or that has a field of one digit), the permutation is repeated until it lands
 on one of them. So a pseudonym has the kind of what it stands for: it is recognised, equal values
 stay linked in all documents, and whoever holds the key can undo it with `undo`, in whole texts too.
@@ -26,17 +28,27 @@ from pyspark.sql import functions as F
 from basketry.llm.common import let
 
 ROUNDS = 8
-KINDS = ("email", "ip", "date", "ssn", "phone", "card", "number")
+KINDS = ("email", "ip", "date", "ssn", "phone", "card", "number", "iban")
 #: Order matters: at one place the first alternative that fits is taken.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){0,2}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
 }
-PATTERN = "|".join(PATTERNS[k] for k in ("email", "ip", "date", "ssn", "card", "phone"))
+#: Digits in groups are a telephone number only in a notation that says so: table cells, years and measurements are not. In order: international, of any grouping; North American with dashes,
+#: points or an area code in parentheses; with a trunk zero, an area code and one or two unlike groups; French, five pairs; and any grouping behind a word that announces one.
+PHONES = (
+    r"(?<![0-9A-Za-z+])\+[0-9](?:(?: ?\(|\)[ .-]?|[ ./-])?[0-9]){7,14}(?![0-9])",
+    r"(?<![0-9A-Za-z+.-])(?:\([2-9][0-9]{2}\) ?[0-9]{3}[.-][0-9]{4}|[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}|[2-9][0-9]{2}\.[0-9]{3}\.[0-9]{4})(?![0-9]|[.-][0-9])",
+    r"(?<![0-9A-Za-z+.,-])(?<![0-9][ /])(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{1,3}[ /-])(?:[0-9]{5,8}|[0-9]{3}[ -][0-9]{4,5}|[0-9]{4}[ -][0-9]{3,4})(?![0-9]|[ .,/-][0-9])",
+    r"(?<![0-9A-Za-z+.,])(?<![0-9][ .-])0[1-9](?:[ .][0-9]{2}){4}(?![0-9]|[ .-][0-9])",
+    r"(?=[0-9(])(?<=\b(?i:tel|telefon|telephone|phone|fax|mobil|mobile|call)\.?:? {0,2})(?:\([0-9]{1,5}\)|[0-9])(?:[ ./-]?[0-9]){6,14}(?![0-9])",
+)
+PATTERNS["phone"] = "|".join(PHONES)
+PATTERNS["iban"] = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
+PATTERN = "|".join(PATTERNS[k] for k in ("email", "ip", "date", "ssn", "iban", "card", "phone"))
 #: Days that dates are permuted among, from a first one on: 400 years, or 100 years if the year has two digits; the numbers of days are the products.
 LONG_YEARS, SHORT_YEARS = ("1800-01-01", 189, 773), ("1950-01-01", 75, 487)
 #: Numbers of first parts (001 to 899 but 666), second and third parts of social security numbers.
@@ -178,17 +190,37 @@ def permuted_number(digits: Column, key: str, undo: bool = False) -> Column:
     return let(permuted_digits(body, key, "number", undo), shown)
 
 
+def iban_check(account: Column) -> Column:
+    """The two check digits that belong to an account number without spaces."""
+    n = F.length(account)
+    turned = F.concat(F.substring(account, F.lit(5), n - 4), F.substring(account, 1, 2), F.lit("00"))
+    value = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise((acc * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
+def permuted_iban(m: Column, key: str, undo: bool = False) -> Column:
+    """An account number whose digits behind the check are permuted among those of its notation; country, letters and spaces stay, and the check digits fit again."""
+    digits = digits_of(m)
+    fresh = refilled(m, permuted_digits(F.substring(digits, F.lit(3), F.length(digits)), key, "iban", undo), F.lit(2))
+    return let(fresh, lambda x: F.concat(F.substring(x, 1, 2), iban_check(F.replace(x, F.lit(" "), F.lit(""))), F.substring(x, F.lit(5), F.length(x))))
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a match that passes the checks of its kind, else null."""
     n = F.length(digits_of(m))
+    iban = F.replace(m, F.lit(" "), F.lit(""))
     octets = F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
     plain = m.rlike(r"^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}$|^[0-9]{13,19}$")
     return (
         F.when(F.contains(m, F.lit("@")), "email")
+        .when(m.rlike("^[A-Z]"), F.when(F.length(iban).between(15, 34) & (iban_check(iban) == F.substring(iban, 3, 2)), "iban"))
         .when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.when(octets, "ip"))
         .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{1,2}([/.])[0-9]{1,2}\1(?:[0-9]{4}|[0-9]{2})$"), F.when(date_reading(m).isNotNull(), "date"))
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), "ssn"))
-        .when(plain & n.between(13, 19), F.when(luhn_sum(digits_of(m), False) % 10 == 0, "card").otherwise("number"))
+        # In groups only what passes the check is a number, and a row of years is none.
+        .when(m.rlike(r"^(?:(?:1[89]|20)[0-9]{2}[ -]){3}(?:1[89]|20)[0-9]{2}$"), None)
+        .when(plain & n.between(13, 19), F.when(luhn_sum(digits_of(m), False) % 10 == 0, "card").when(m.rlike("^[0-9]+$"), "number"))
         .when(~plain & n.between(7, 15), "phone")
     )
 
@@ -204,8 +236,9 @@ def pseudonym(m: Column, kind: Column, key: str, undo: bool = False) -> Column:
         feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), F.lit(65536), F.lit(65536), key, "ip", undo=undo),
         lambda p: F.concat_ws(".", *(x.cast("long").cast("string") for x in (F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256))),
     )
-    # The country code stays, so that the number remains one of its country.
-    code = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
+    # The country code stays, or the area code of a national number, so that the number remains one of its country and notation.
+    first = F.length(F.coalesce(F.nullif(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(/-])", 1), F.lit("")), F.regexp_extract(m, r"^\(?([0-9]{2,5})(?=[ .)/-])", 1)))
+    code = F.when(F.length(digits) - first >= 4, first).otherwise(0)
     subscriber = permuted_digits(F.substring(digits, code + 1, F.length(digits)), key, "phone", undo)
     if undo:
         mailbox = m
@@ -219,6 +252,7 @@ def pseudonym(m: Column, kind: Column, key: str, undo: bool = False) -> Column:
         .when(kind == "phone", refilled(m, subscriber, code))
         .when(kind == "card", refilled(m, card))
         .when(kind == "number", refilled(m, permuted_number(digits, key, undo)))
+        .when(kind == "iban", permuted_iban(m, key, undo))
     )
 
 
