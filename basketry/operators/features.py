@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import numeric
 from basketry.functions.numeric import ratio
-from basketry.operators.ordered import quantile_row
+from basketry.operators.ordered import between, order_statistics, quantile_row
 
 
 def day_cycles(df: DataFrame) -> DataFrame:
@@ -47,14 +49,28 @@ def apply_edges(df: DataFrame, edges: DataFrame, column: str, name: str, missing
     return df.join(one).withColumn(name, numeric.bin_label(F.col(column), F.col("__edges"), missing)).drop("__edges")
 
 
-def clip_and_bin(df: DataFrame, column: str, name: str, bins: int = 10) -> DataFrame:
-    """Clipped to the 1st and 99th percentile, then equal-frequency bins labelled by their interval."""
-    bounds = quantile_row(df, [column], (0.01, 0.99)).select(F.col(column).alias("__b"))
-    held = df.join(F.broadcast(bounds)).withColumn("__c", numeric.clipped(F.col(column), F.col("__b")[0], F.col("__b")[1]))
-    edges = fit_edges(held, ["__c"], bins).select(F.col("__c_edges").alias("__e"))
-    place = F.greatest(F.lit(1), F.size(F.filter("__e", lambda e: e < F.round("__c", 9))))
-    label = F.format_string("(%.3f, %.3f]", F.element_at("__e", place), F.element_at("__e", F.least(place + 1, F.size("__e"))))
-    return held.join(F.broadcast(edges)).withColumn(name, F.when(F.col("__c").isNotNull(), label)).drop("__b", "__c", "__e")
+def clip_and_bin(df: DataFrame, columns: Mapping[str, str], bins: int = 10) -> DataFrame:
+    """Columns (column: name) clipped to the 1st and 99th percentile, then in equal-frequency bins labelled by their interval.
+
+    One pass gives all that is needed: a quantile of the clipped values lies between the clipped
+    values at the same two places.
+    """
+    points = (0.01, 0.99, *(k / bins for k in range(bins + 1)))
+    found = order_statistics(df, list(columns), points)
+    at = lambda x: between(x["a"], x["b"], x["part"])
+    low, high = at(F.col("ends")[0]), at(F.col("ends")[1])
+    edges = F.transform(F.slice("ends", 3, bins + 1), lambda x: between(numeric.clipped(x["a"], low, high), numeric.clipped(x["b"], low, high), x["part"]))
+    fitted = found.select("feature", F.struct(low.alias("low"), high.alias("high"), numeric.edges_of(edges).alias("edges")).alias("fit"))
+    # One row of a few dozen numbers.
+    one = F.broadcast(fitted.agg(*(F.max(F.when(F.col("feature") == c, F.col("fit"))).alias(f"__{c}") for c in columns)))
+    out = df.join(one)
+    for c, name in columns.items():
+        fit = F.col(f"__{c}")
+        x, e = numeric.clipped(F.col(c), fit["low"], fit["high"]), fit["edges"]
+        place = F.greatest(F.lit(1), F.size(F.filter(e, lambda y: y < F.round(x, 9))))  # noqa: B023
+        label = F.format_string("(%.3f, %.3f]", F.element_at(e, place), F.element_at(e, F.least(place + 1, F.size(e))))
+        out = out.withColumn(name, F.when(x.isNotNull(), label))
+    return out.drop(*(f"__{c}" for c in columns))
 
 
 def fit_frequency(train: DataFrame, column: str) -> DataFrame:

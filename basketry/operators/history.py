@@ -8,23 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.numeric import week_block
+from basketry.operators.ordered import with_ranges
 
 COUNTERS = {"pid_total_events": None, "click_time": "click", "basket_time": "basket", "order_time": "order"}
 FIRST_DAY = 26
 
 
-def cumulative(df: DataFrame, strict: bool = False, first_day: int = FIRST_DAY) -> DataFrame:
-    """Counts of earlier rows, clicks, baskets and orders of the same key; one exchange and one sort for all four.
+#: Rows of a key's block, about, if one key had all rows of a day.
+BLOCK_ROWS = 500_000
 
-    By default all rows before in (day, lineID); strict: only rows of earlier days.
+
+def cumulative(df: DataFrame, strict: bool = False, first_day: int = FIRST_DAY, key: str = "pid", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Counts of earlier rows, clicks, baskets and orders of the same key; one exchange and one sort of the rows for all four.
+
+    By default all rows before in (day, lineID); strict: only rows of earlier days. A row with a null
+    day comes before all others, and is counted nowhere.
+
+    Sums are made on two levels, so that a key of many rows is no single task: rows are first summed
+    by (key, day, range of lineID), a window adds up the blocks of a key, and a second window runs
+    within a block. The sums of what lies before a block enter that window as a row of their own,
+    which stands before the block's rows, so the rows need no join.
     """
+    names, sources = list(COUNTERS), list(COUNTERS.values())
+    valid = F.coalesce((F.col("day") >= first_day).cast("int"), F.lit(0))
+    values = {f"__v_{n}": (valid if c is None else valid * F.coalesce(c, F.lit(0))).cast("long") for n, c in zip(names, sources, strict=True)}
+    rows = with_ranges(df, "lineID", "__block", ranges=max(1, -(-df.count() // block_rows))).withColumns(values)
+    blocks = rows.groupBy(key, "day", "__block").agg(*(F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names))
+    # A row for each block of a key: days times ranges at most.
+    of_key = Window.partitionBy(key)
+    before = of_key.orderBy("day").rangeBetween(Window.unboundedPreceding, -1) if strict else of_key.orderBy("day", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = blocks.select(key, "day", "__block", F.lit(True).alias("__head"), *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__v_{n}") for n in names))
+    within = rows.withColumn("__head", F.lit(False))
     if strict:
-        w = Window.partitionBy("pid").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    else:
-        w = Window.partitionBy("pid").orderBy("day", "lineID").rowsBetween(Window.unboundedPreceding, -1)
-    valid = (F.col("day") >= first_day).cast("int")
-    columns = {n: F.coalesce(F.sum(valid if c is None else valid * F.col(c)).over(w), F.lit(0)).cast("long") for n, c in COUNTERS.items()}
-    return df.withColumns(columns).withColumn("num_pid_order", F.col("order_time"))
+        within = within.withColumns({f"__v_{n}": F.lit(0).cast("long") for n in names})
+    w = Window.partitionBy(key, "day", "__block").orderBy(F.desc("__head"), "lineID").rowsBetween(Window.unboundedPreceding, -1)
+    both = within.unionByName(heads, allowMissingColumns=True)
+    out = both.withColumns({n: F.sum(f"__v_{n}").over(w) for n in names}).where("not __head").withColumn("num_pid_order", F.col("order_time"))
+    return out.select(*df.columns, *names, "num_pid_order")
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import metrics
-from basketry.operators.sampling import hash_order
 
 #: Above this number of distinct values a category is treated as a number by the tree models.
 MOST_CATEGORIES = 255
@@ -146,22 +145,6 @@ def importances(model: PipelineModel, df: DataFrame, features: Sequence[str]) ->
     return df.sparkSession.createDataFrame([(f, v, v > 1e-12) for f, v in sums.items()], "feature string, importance double, selected boolean").orderBy(F.desc("importance"), "feature")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str = "order", seed: int = 42, key: str = "lineID") -> DataFrame:
-    """The loss of AUC when one feature is dealt anew among the rows.
-
-    Rows get their place in key order and in hash order; the value at a place of one order goes to
-    the row at the same place of the other. Places are counted by range partitions, not in one task.
-    """
-    base = metrics.roc_auc(score_classifier(model, df, features, target)).first()[0]
-    spark, rows = df.sparkSession, []
-    own = df.orderBy(key).rdd.zipWithIndex().map(lambda x: (x[1], x[0][key])).toDF(["__place", "__own"])
-    for f in features:
-        other = df.select(f, key).orderBy(hash_order(key, seed), key).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF(f"__place long, `{f}` {df.schema[f].dataType.simpleString()}")
-        dealt = df.drop(f).join(own.join(other, "__place").drop("__place"), F.col(key) == F.col("__own")).drop("__own")
-        rows.append((f, base - metrics.roc_auc(score_classifier(model, dealt, features, target)).first()[0]))
-    return spark.createDataFrame(rows, "feature string, auc_loss double").orderBy(F.desc("auc_loss"))
-
-
 def family_ablation(train: DataFrame, test: DataFrame, families: Mapping[str, Sequence[str]], kind: str = "logistic_balanced", core: Sequence[str] = (), target: str = "order") -> DataFrame:
     """Average precision without each family and with each family added to the core, and the differences."""
     every = [c for fs in families.values() for c in fs]

@@ -10,23 +10,34 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ranges that values are cut into, if there is nothing else to go by.
-RANGES = 64
+#: Rows of a range, about, and the most ranges; fewer rows than one range holds are sorted by one task.
+RANGE_ROWS, MOST_RANGES = 200_000, 4096
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder that all executors share, so that a plan that uses them several times does not compute them several times."""
-    context = df.sparkSession.sparkContext
+def ranges_for(rows: int) -> int:
+    """The number of ranges that so many rows are cut into. It decides where rows are sorted, never a result."""
+    return max(1, min(MOST_RANGES, -(-rows // RANGE_ROWS)))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, which the cluster names in spark.checkpoint.dir; a temporary one only on a local master."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='basketry-')}"
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            named = f"file://{tempfile.mkdtemp(prefix='basketry-')}"
         context.setCheckpointDir(named)
+    return named
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder, so that a plan that uses them several times does not compute them several times."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -36,18 +47,34 @@ def _place(value: str | Column, edges: str) -> Column:
     return F.size(F.filter(F.col(edges), lambda e: e < x))
 
 
-def with_ranges(df: DataFrame, value: str, name: str = "__range", ranges: int = RANGES) -> DataFrame:
-    """df with the range of each value, in increasing order of values; equal values share a range."""
+def with_ranges(df: DataFrame, value: str, name: str = "__range", ranges: int = 64, edges_by: Sequence[str] = ()) -> DataFrame:
+    """df with the range of each value, in increasing order of values; equal values share a range.
+
+    edges_by: columns of few values, such as the name of a feature, for each of which ranges are cut apart.
+    """
+    if ranges <= 1:
+        return df.withColumn(name, F.lit(0))
     points = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
-    # One row of at most `ranges` numbers.
-    edges = df.agg(F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(value, points, F.lit(10 * ranges)), F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")))).alias("__edges"))
-    return df.join(F.broadcast(edges)).withColumn(name, _place(value, "__edges")).drop("__edges")
+    # One row of at most `ranges` numbers, for each value of edges_by.
+    numbers = F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(value, points, F.lit(10 * ranges)), F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>"))))
+    edges = df.groupBy(*(F.col(c).alias(f"__e_{k}") for k, c in enumerate(edges_by))).agg(numbers.alias("__edges"))
+    same = F.lit(True)
+    for k, c in enumerate(edges_by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__e_{k}"))
+    return df.join(F.broadcast(edges), same).withColumn(name, _place(value, "__edges")).drop("__edges", *(f"__e_{k}" for k in range(len(edges_by))))
 
 
-def running(df: DataFrame, value: str, sums: Mapping[str, str], by: Sequence[str] = (), descending: bool = False, then: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
-    """df with new columns (name: column): sums of the columns over the rows before, in the order of the value and then of `then`, within `by`."""
-    cut = with_ranges(df, value, ranges=ranges)
+def running(df: DataFrame, value: str, sums: Mapping[str, str], by: Sequence[str] = (), descending: bool = False, then: Sequence[str] = (), ranges: int | None = None, edges_by: Sequence[str] = ()) -> DataFrame:
+    """df with new columns (name: column): sums of the columns over the rows before, in the order of the value and then of `then`, within `by`.
+
+    ranges: by the number of rows, unless given; then df is counted, and should be a written table. edges_by: see `with_ranges`.
+    """
+    ranges = ranges_for(df.count()) if ranges is None else ranges
     order = F.desc if descending else F.asc
+    if ranges <= 1:
+        whole = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order(value), *(F.asc(c) for c in then)).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *(F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(n) for n, c in sums.items()))
+    cut = with_ranges(df, value, ranges=ranges, edges_by=edges_by)
     totals = cut.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
     # At most `ranges` rows in each group.
     earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,8 +88,8 @@ def running(df: DataFrame, value: str, sums: Mapping[str, str], by: Sequence[str
     return out.withColumns({n: F.col(f"__w_{n}") + F.col(f"__o_{n}") for n in sums}).select(*df.columns, *sums)
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """by, feature and q: an array with the interpolated quantile of each column at each point, exact.
+def order_statistics(df: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, feature and ends: for each point (a, b, part), the values at the two places around it and how far it lies between them.
 
     All columns in one pass: values are counted, running counts give the places of each value, and
     only the values at the wanted places are kept. A column without values has no row.
@@ -70,7 +97,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*by, "x.feature", "x.v").where("v is not null")
     keys = [*by, "feature"]
     counts = written(long.groupBy(*keys, "v").agg(F.count("*").alias("n")))
-    placed = running(counts, "v", {"before": "n"}, keys)
+    placed = running(counts, "v", {"before": "n"}, keys, edges_by=["feature"])
     sizes = counts.groupBy(*(F.col(c).alias(f"__s_{k}") for k, c in enumerate(keys))).agg(F.sum("n").alias("size"))
     same = F.lit(True)
     for k, c in enumerate(keys):
@@ -84,9 +111,18 @@ def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by
     low, high = F.floor(at(F.col("x"))), F.ceil(at(F.col("x")))
     ends = found.groupBy(*keys, "x").agg(F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"), F.max("size").alias("size"))
     part = at(F.col("x")) - F.floor(at(F.col("x")))
-    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b"))
     # One struct for each point.
-    return ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.k").alias("k"), value.alias("q")))), lambda x: x["q"]).alias("q"))
+    return ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("x.k").alias("k"), "a", "b", part.alias("part")))).alias("ends"))
+
+
+def between(a: Column, b: Column, part: Column) -> Column:
+    return F.when(a == b, a).otherwise((1 - part) * a + part * b)
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, feature and q: an array with the interpolated quantile of each column at each point, exact."""
+    found = order_statistics(df, columns, points, by)
+    return found.select(*by, "feature", F.transform("ends", lambda x: between(x["a"], x["b"], x["part"])).alias("q"))
 
 
 def quantile_row(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> DataFrame:
@@ -101,8 +137,9 @@ def place_of_keys(counts: DataFrame, n: str, key: str) -> DataFrame:
     Keys with equal n may be most of all keys, so their order within n comes from ranges of the key.
     """
     counts = written(counts)
+    ranges = ranges_for(counts.count())
     levels = counts.groupBy(F.col(n).alias("__n")).agg(F.count("*").alias("keys_here"))
-    level = running(levels.withColumn("sum_here", F.col("__n") * F.col("keys_here")), "__n", {"keys_above": "keys_here", "sum_above": "sum_here"}, descending=True)
-    within = running(counts.withColumn("__one", F.lit(1).cast("long")), key, {"earlier": "__one"}, [n])
+    level = running(levels.withColumn("sum_here", F.col("__n") * F.col("keys_here")), "__n", {"keys_above": "keys_here", "sum_above": "sum_here"}, descending=True, ranges=ranges)
+    within = running(counts.withColumn("__one", F.lit(1).cast("long")), key, {"earlier": "__one"}, [n], ranges=ranges)
     joined = within.join(level, F.col(n) == F.col("__n"))
     return joined.select(*counts.columns, (F.col("keys_above") + F.col("earlier") + 1).alias("rank"), (F.col("sum_above") + F.col("earlier") * F.col(n)).alias("above"))

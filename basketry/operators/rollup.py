@@ -50,19 +50,19 @@ STATIC = ("manufacturer", "category_norm", "pharmForm_norm", "genericProduct", "
 
 def with_price_bins(df: DataFrame, bins: int = 10) -> DataFrame:
     """The interval bins of price difference and discount that the extracts show."""
-    df = price_features(df)
-    return clip_and_bin(clip_and_bin(df, "price_diff", "price_diff_bin", bins), "price_discount", "discount_bin", bins)
+    return clip_and_bin(price_features(df), {"price_diff": "price_diff_bin", "price_discount": "discount_bin"}, bins)
 
 
 def core_daily(df: DataFrame) -> DataFrame:
-    """One row for each day and product: counts, rates, median price, first attributes and the segment of the product. df has the price bins.
+    """One row for each day and product: counts, rates, median price, first attributes and the segment of the product; the price bins only if df has them.
 
     One aggregate on (day, pid) replaces separate passes; product columns are the same in all rows of
     a product, so they are taken in the same aggregate.
     """
+    firsts = [c for c in DAILY_FIRST if c in df.columns]
     days = df.groupBy("day", "pid").agg(
         F.count("lineID").alias("n_events"), F.sum("click").alias("n_click"), F.sum("basket").alias("n_basket"), F.sum("order").alias("n_order"), F.median("price").alias("price"),
-        *(first_by(c, DAILY_FIRST).alias(c) for c in DAILY_FIRST), *(F.first(c, ignorenulls=True).alias(c) for c in STATIC),
+        *(first_by(c, firsts).alias(c) for c in firsts), *(F.first(c, ignorenulls=True).alias(c) for c in STATIC),
     )
     # Written, since the segments are made from it and joined to it.
     days = written(days).withColumns({f"{a}_rate": F.col(f"n_{a}") / F.col("n_events") for a in ("click", "basket", "order")})

@@ -6,13 +6,16 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.features import fit_edges
-from basketry.operators.ordered import RANGES, running, written
+from basketry.operators.ordered import ranges_for, running, written
 from basketry.schema import FAMILIES, FEATURE_SETS, PRUNED, family_of
 
+#: Ranges in which the values of a category are sorted; values of a class between which neighbours are looked for at once.
+CODE_RANGES, NEIGHBOUR_BLOCK = 64, 50_000
+
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], least: float = 0.95) -> DataFrame:
     """Pairs with an absolute Pearson correlation of at least `least`, over rows that have both; all in one aggregate."""
@@ -31,21 +34,28 @@ def near_zero_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.withColumns({"is_constant": F.col("n_unique") <= 1, "is_nzv": (F.col("unique_ratio") < 0.01) & ((F.coalesce("freq_ratio", F.lit(math.inf)) > 19) | (F.col("n_unique") <= 1))})
 
 
-def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks, from counts of distinct values and a running sum over them."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    ranks = running(written(counts), "__v", {"__before": "__n"}).select("__v", (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
-    return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
+def spearman(df: DataFrame, columns: Sequence[str], target: str, least: int = 20) -> DataFrame:
+    """feature, n and the rank correlation with the target, over rows that have both; null with fewer than `least` of them.
+
+    All columns in one pass: rows are counted by (feature, value, target), average ranks of both come
+    from running sums over the counts, and the correlation from five sums over them.
+    """
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("f"), F.col(target).cast("double").alias("y"))
+    cells = written(long.select("f.feature", "f.x", "y").dropna().groupBy("feature", "x", "y").agg(F.count("*").alias("n")))
 
+    def ranks(side: str) -> DataFrame:
+        counts = written(cells.groupBy("feature", F.col(side).alias("v")).agg(F.sum("n").alias("c")))
+        placed = running(counts, "v", {"before": "c"}, ["feature"], edges_by=["feature"])
+        return placed.select("feature", F.col("v").alias(side), (F.col("before") + (F.col("c") + 1) / 2).alias(f"r{side}"))
 
-def spearman(df: DataFrame, columns: Sequence[str], target: str, least: int = 20) -> DataFrame:
-    """Rank correlation with the target; null with fewer than `least` pairs."""
-    out = None
-    for c in columns:
-        both = df.select(F.col(c).alias("x"), F.col(target).alias("y")).dropna()
-        one = with_rank(with_rank(both, "x", "rx"), "y", "ry").agg(F.lit(c).alias("feature"), F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("rx", "ry")).alias("spearman"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # Ranks are taken from the middle, so that their products keep their digits.
+    sizes = cells.groupBy("feature").agg(((F.sum("n") + 1) / 2).alias("middle"))
+    both = cells.join(ranks("x"), ["feature", "x"]).join(ranks("y"), ["feature", "y"]).join(sizes, "feature").withColumns({c: F.col(c) - F.col("middle") for c in ("rx", "ry")})
+    n, product = F.sum("n"), lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    rho = F.try_divide(product("rx", "ry"), F.sqrt(product("rx", "rx") * product("ry", "ry")))
+    found = both.groupBy("feature").agg(n.alias("n"), F.when(n >= least, rho).alias("spearman"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return every.join(found, "feature", "left").na.fill(0, ["n"])
 
 
 def chi_square(df: DataFrame, column: str, target: str, bins: int = 10, least: int = 20) -> DataFrame:
@@ -76,6 +86,66 @@ def binned_mutual_information(df: DataFrame, column: str, target: str, bins: int
     return terms.agg(F.lit(column).alias("feature"), F.sum(F.col("o") / F.col("n") * F.ln(F.col("o") * F.col("n") / (F.col("r") * F.col("c")))).alias("binned_mi"))
 
 
+def digamma(x: Column) -> Column:
+    """For numbers from 1: ten steps up, then the asymptotic series, to about 15 digits."""
+    up = x + 10
+    steps = sum((1 / (x + k) for k in range(1, 10)), 1 / x)
+    square = 1 / (up * up)
+    return F.ln(up) - 1 / (2 * up) - square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square * (1 / 240 - square / 132)))) - steps
+
+
+def _kth_distances(cells: DataFrame, k: int) -> DataFrame:
+    """cells (feature, y, v, n, n_y) with k_y and d: the distance of v to its k_y-th neighbour of the class, equal rows counting as neighbours.
+
+    The values of a class are numbered, and cut into blocks by their number. A block gets the k values
+    on either side of it too, so windows run within blocks, whatever the size of a class.
+    """
+    size = max(k, NEIGHBOUR_BLOCK)
+    placed = running(cells.withColumn("__one", F.lit(1).cast("long")), "v", {"__place": "__one"}, ["feature", "y"], edges_by=["feature"])
+    at, offset = F.floor(F.col("__place") / size), F.col("__place") % size
+    blocks = F.array_compact(F.array(at, F.when((offset < k) & (at > 0), at - 1), F.when(offset >= size - k, at + 1)))
+    dealt = placed.withColumn("__own", at).withColumn("__block", F.explode(blocks))
+    w = Window.partitionBy("feature", "y", "__block").orderBy("v")
+    near = lambda low, high: F.collect_list(F.struct("v", "n")).over(w.rowsBetween(low, high))
+    around = dealt.withColumns({"__low": near(-k, -1), "__high": near(1, k)}).where("__block = __own")
+    by_distance = F.array_sort(F.transform(F.concat("__low", "__high", F.array(F.struct("v", (F.col("n") - 1).alias("n")))), lambda x: F.struct(F.abs(x["v"] - F.col("v")).alias("d"), x["n"].alias("n"))))
+    k_y = F.least(F.lit(k).cast("long"), F.col("n_y") - 1)
+    none = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0.0).alias("d"))
+    step = lambda acc, x: F.when(acc["held"] >= k_y, acc).otherwise(F.struct((acc["held"] + x["n"]).alias("held"), x["d"].alias("d")))
+    return around.select("feature", "y", "v", "n", "n_y", k_y.alias("k_y"), F.aggregate(by_distance, none, step)["d"].alias("d"))
+
+
+def knn_mutual_information(df: DataFrame, columns: Sequence[str], target: str, k: int = 3) -> DataFrame:
+    """feature, n and knn_mi: the nearest-neighbour estimate (nats) between a number and classes, over all rows that have both.
+
+    For a row of class y, with the distance d to its k-th neighbour of the class and m rows of any class
+    nearer than d (itself included; at distance 0 the equal rows), the estimate is the mean of
+    digamma(k) - digamma(n_y) - digamma(m), plus digamma(n), and at least 0. Rows that are alone in
+    their class are left out; k is n_y - 1 in classes of fewer rows. No noise is added to equal values.
+
+    Equal rows are summed up first. m is the difference of two running counts: the ends of a row's
+    interval are sorted among the values, as rows that count for nothing.
+    """
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x"), F.col(target).alias("y"))
+    counted = long.select("x.feature", "y", "x.v").where("v is not null and not isnan(v) and y is not null").groupBy("feature", "y", "v").agg(F.count("*").alias("n"))
+    cells = written(counted)
+    classes = cells.groupBy("feature", "y").agg(F.sum("n").alias("n_y")).where("n_y > 1")
+    near = written(_kth_distances(written(cells.join(classes, ["feature", "y"])), k))
+    apart = F.col("d") > 0
+    data = near.groupBy("feature", "v").agg(F.sum("n").alias("w")).select("feature", "v", F.lit(1).alias("flag"), "w", *(F.lit(None).cast(t).alias(c) for c, t in (("y", near.schema["y"].dataType), ("x", "double"), ("sign", "long"))))
+    # An end stands before the rows that equal it (flag 0) or behind them (2); ends are open, but for d = 0.
+    ends = F.explode(F.array(
+        F.struct((F.col("v") - F.col("d")).alias("at"), F.when(apart, 2).otherwise(0).alias("flag"), F.lit(-1).cast("long").alias("sign")), F.struct((F.col("v") + F.col("d")).alias("at"), F.when(apart, 0).otherwise(2).alias("flag"), F.lit(1).cast("long").alias("sign"))
+    ))
+    asked = near.select("feature", "y", F.col("v").alias("x"), ends.alias("e")).select("feature", F.col("e.at").alias("v"), "e.flag", F.lit(0).cast("long").alias("w"), "y", "x", "e.sign")
+    stream = data.unionByName(asked)
+    counts = running(stream, "v", {"before": "w"}, ["feature"], then=["flag"], ranges=ranges_for(3 * near.count()), edges_by=["feature"])
+    inside = counts.where("sign is not null").groupBy("feature", "y", F.col("x").alias("v")).agg(F.sum(F.col("sign") * F.col("before")).alias("m"))
+    each = near.join(inside, ["feature", "y", "v"])
+    term = F.col("n") * (digamma(F.col("k_y")) - digamma(F.col("n_y")) - digamma(F.col("m")))
+    return each.groupBy("feature").agg(F.sum("n").alias("n"), F.sum(term).alias("s")).select("feature", "n", F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("s") / F.col("n")).alias("knn_mi"))
+
+
 def family_report(scores: DataFrame, score: str = "score") -> DataFrame:
     """Features, number, mean and best score of each feature family."""
     spark = scores.sparkSession
@@ -109,9 +179,9 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
 
     Values are sorted in ranges that are written once; the only window without a partition is over the sizes of the ranges.
     """
-    parts = written(df.select(F.col(column).alias("value")).where("value is not null").distinct().repartitionByRange(RANGES, "value").withColumn("__part", F.spark_partition_id()))
+    parts = written(df.select(F.col(column).alias("value")).where("value is not null").distinct().repartitionByRange(CODE_RANGES, "value").withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most RANGES rows.
+    # At most CODE_RANGES rows.
     offsets = parts.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy("value"))
     return parts.withColumn("__k", within).join(F.broadcast(offsets), "__part").select("value", (F.col("__k") - 1 + F.col("__before")).cast("long").alias("code"))

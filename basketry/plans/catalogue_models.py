@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from basketry.operators import clean, models
+from basketry.operators import clean, grams, models, permute
+from basketry.operators.ordered import shared_dir
 from basketry.plans import benchmark
-from basketry.plans.frames import featured, train_of
+from basketry.plans.frames import featured, final, train_of
 from basketry.plans.registry import query
-from basketry.schema import FAMILIES
+from basketry.schema import feature_set
 from basketry.sources import adapter
 from basketry.streaming import blocks
 
@@ -50,37 +50,116 @@ def embedded_selection(spark, sf):
 
 @query()
 def ablation(spark, sf):
-    train, validation = _sides(spark, sf)
-    families = {n: [c for c in fs if c in train.columns and c in {*_FEATURES, "day", "day_14", "day_30"}] for n, fs in FAMILIES.items() if n in ("time", "price_absolute", "campaign_ad")}
-    return models.family_ablation(train, validation, families, core=["day", "day_7", "day_14", "day_30"])
+    """All nine families, left out of and added to the final features of both stages."""
+    df, out = final(spark, sf), None
+    for task, target, rows in (("cls", "order", df), ("reg", "quantity", df.where(clean.stage2()))):
+        one = grams.family_ablation(train_of(rows), rows.where("split = 'test'"), feature_set(f"{task}_final"), target, task == "cls").withColumn("task", F.lit(task))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
-@query()
-def permutation_importance(spark, sf):
-    train, validation = _sides(spark, sf)
-    few = ["price", "rrp", "adFlag", "availability"]
-    return models.permutation_importance(models.fit_classifier(train, few, "logistic_balanced"), validation, few)
+_GRAM = [c for c in feature_set("cls_expanded_safe") if c not in ("manufacturer_freq", "price_diff_bin", "discount_bin")]
+_TEXTS = ("category_norm", "pharmForm_norm", "campaignIndex_norm", "group12", "group34")
+
+
+def _gram_sql() -> str:
+    """Centred columns side by side, and the mean of every product."""
+    code = lambda c: f'avg("order") OVER (PARTITION BY "{c}") - avg("order") OVER ()' if c in _TEXTS else f'coalesce(CAST("{c}" AS DOUBLE) - avg("{c}") OVER (), 0)'
+    columns = [*_GRAM, "order"]
+    pairs = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'covariance': avg(\"{a}\" * \"{b}\")}}" for k, a in enumerate(columns) for b in columns[k:])
+    inner = ", ".join(f'{code(c)} AS "{c}"' for c in columns)
+    return f"SELECT u.a AS a, u.b AS b, u.covariance AS covariance FROM (SELECT unnest([{pairs}]) AS u FROM (SELECT {inner} FROM feat WHERE split = 'train'))"
 
 
-def _streamed(spark, df, name: str, mode: str):
-    """The rows that a stream over a written table gives, run to its end."""
-    checkpoint = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='basketry-')}"
-    folder = f"{checkpoint}/stream-{name}-{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    q = q.format("parquet").option("path", f"{folder}/out").start() if mode == "append" else q.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out")).start()
+@query("feat", _gram_sql(), "covariance", 6)
+def gram_matrix(spark, sf):
+    """Mean products of all safe features and the order over the training rows."""
+    return grams.gram(train_of(featured(spark, sf)), _GRAM, "order")
+
+
+@query()
+def permutation_importance(spark, sf):
+    """All features of the final set, on the validation rows, with the boosted model."""
+    df, columns = final(spark, sf), feature_set("cls_final")
+    model = models.fit_classifier(train_of(df), columns, "boosted")
+    return permute.permutation_importance(model, df.where("split = 'validation'"), columns)
+
+
+_DEALT = [c for c in feature_set("cls_expanded_safe") if c not in ("manufacturer_freq", "price_diff_bin", "discount_bin")]
+
+
+def _deal_sql() -> str:
+    """Each place by each feature's network, a step for each round of each walk."""
+    keys = ", ".join(f"({j}, {', '.join(map(str, permute.round_keys(42_000 + j)))})" for j in range(len(_DEALT)))
+    names = ", ".join(f"c{r}" for r in range(permute.ROUNDS))
+    mixed = lambda x, c: f"((((({x} + {c}) % {permute.PRIME}) * (({x} + {c}) % {permute.PRIME})) % {permute.PRIME}) * {permute.FACTOR} + {c}) % {permute.PRIME}"
+    steps, last = [], "w0"
+    for w in range(permute.WALK):
+        steps.append(f"s{w} AS (SELECT * EXCLUDE (x), x, x // b AS l, x % b AS r FROM {last})")
+        inner = f"s{w}"
+        for k in range(permute.ROUNDS):
+            to, other, m = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+            steps.append(f"r{w}_{k} AS (SELECT * REPLACE (({to} + {mixed(other, f'c{k}')}) % {m} AS {to}) FROM {inner})")
+            inner = f"r{w}_{k}"
+        again = "true" if w == 0 else "x >= n"
+        steps.append(f"w{w + 1} AS (SELECT * EXCLUDE (x, l, r), CASE WHEN {again} THEN l * b + r ELSE x END AS x FROM {inner})")
+        last = f"w{w + 1}"
+    values = ", ".join(f'max(CASE WHEN j = {j} THEN v."{c}" END) AS "{c}"' for j, c in enumerate(_DEALT))
+    return f"""WITH v AS (SELECT *, row_number() OVER (ORDER BY "lineID") - 1 AS place, count(*) OVER () AS n FROM feat WHERE split = 'validation'),
+d AS (SELECT *, CAST(ceil(CAST(n AS DOUBLE) / a) AS BIGINT) AS b FROM (SELECT DISTINCT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM v)),
+k(j, {names}) AS (VALUES {keys}),
+w0 AS (SELECT place, CAST(place AS BIGINT) AS x, d.n, a, b, j, {names} FROM v, d, k),
+{", ".join(steps)}
+SELECT o."lineID", {values} FROM {last} JOIN v ON v.place = {last}.place JOIN v o ON o.place = {last}.x GROUP BY ALL"""
+
+
+@query("feat", _deal_sql())
+def permutation_deal(spark, sf):
+    """What each validation row gets when every feature is dealt anew."""
+    got = permute.dealt(featured(spark, sf).where("split = 'validation'"), _DEALT)
+    return got.select("lineID", *(F.col(f"{c}__0").alias(c) for c in _DEALT))
+
+
+def _streamed(spark, df, folder: str):
+    """The rows that a stream gives, run to its end."""
+    q = df.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def _event_stream(spark, sf):
-    return spark.readStream.schema(adapter.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf)
+def _replayed(spark, sf, folder: str, batches: int = 4):
+    """All events as a stream of several batches, out of order: an event arrives up to two days after its time.
+
+    The last batch brings a row of a much later time, so that the watermark passes all events.
+    """
+    events = adapter.table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    arrival = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86400))
+    timed = events.withColumn("arrival", arrival)
+    ends = timed.agg(F.min("arrival"), F.max("arrival")).first()
+    low, high = ends[0] or 0, ends[1] or 0
+    part = F.least(F.lit(batches - 1), F.floor((F.col("arrival") - low) * batches / max(1, high - low + 1)))
+    # One file for each batch; the next is written after it, so that the stream takes them in this order.
+    for k in range(batches):
+        timed.where(part == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    last = spark.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c != "ts"), F.lit(high + 365 * 86400).cast("timestamp").alias("ts")).select(*events.columns)
+    last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
 @query("", """SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') + INTERVAL '7 days' AS window_end, count(*) AS n_events, avg(CAST(event_type = 'purchase' AS DOUBLE)) AS order_rate FROM events GROUP BY ALL""", "order_rate")
 def streaming_windows(spark, sf):
-    return _streamed(spark, blocks.windowed_rates(_event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))), "windows", "complete")
+    folder = f"{shared_dir(spark)}/stream-windows-{uuid.uuid4().hex}"
+    return _streamed(spark, blocks.windowed_rates(_replayed(spark, sf, folder), late="3 days"), folder)
 
 
 @query("", """SELECT event_id, user_id, count(*) OVER w AS earlier_events, CAST(coalesce(sum(CAST(event_type = 'purchase' AS BIGINT)) OVER w, 0) AS BIGINT) AS earlier_orders FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def streaming_history(spark, sf):
-    return _streamed(spark, blocks.running_history(_event_stream(spark, sf)), "history", "append")
+    folder = f"{shared_dir(spark)}/stream-history-{uuid.uuid4().hex}"
+    return _streamed(spark, blocks.running_history(_replayed(spark, sf, folder), late="3 days"), folder).where("kind = 'in order'").select("event_id", "user_id", "earlier_events", "earlier_orders")
+
+
+@query("", """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '5 days' AS session_end, count(*) AS n_events, count(*) FILTER (event_type = 'purchase') AS n_orders FROM (
+SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL '5 days', true) AS fresh FROM events)) GROUP BY user_id, s""")
+def streaming_sessions(spark, sf):
+    folder = f"{shared_dir(spark)}/stream-sessions-{uuid.uuid4().hex}"
+    return _streamed(spark, blocks.sessions(_replayed(spark, sf, folder), late="3 days", gap="5 days"), folder).where("n_events > 0")

@@ -162,7 +162,8 @@ def core_daily(spark, sf):
 @query("daily", """SELECT p."lineID", p.day, p.pid, CAST(round_even(p.revenue / p.price, 0) AS BIGINT) AS quantity, CASE WHEN q <= 0 THEN NULL WHEN q <= 1 THEN '1' WHEN q <= 2 THEN '2' WHEN q <= 3 THEN '3' WHEN q <= 5 THEN '4-5' ELSE '>5' END AS quantity_class, d.pid_segment, d.availability
 FROM (SELECT *, round_even(revenue / price, 0) AS q FROM prep WHERE "order" = 1) p LEFT JOIN daily d USING (day, pid)""")
 def orders_line(spark, sf):
-    df = rollup.with_price_bins(prepared(spark, sf))
+    # No attribute of an order row is a price bin.
+    df = prepared(spark, sf)
     return rollup.order_lines(df, rollup.core_daily(df)).select("lineID", "day", "pid", "quantity", "quantity_class", "pid_segment", "availability")
 
 
@@ -242,6 +243,31 @@ def binned_mi(spark, sf):
     return screening.binned_mutual_information(prepared(spark, sf), "price", "order")
 
 
+_NUMBERS = (
+    "day", "day_7", "day_14", "day_30", "adFlag", "availability", "price", "rrp", "competitorPrice", "competitorPrice_missing", "genericProduct", "salesIndex", "has_campaign",
+    "is_multipack", "pack_n", "pack_size", "pack_total_size", "price_diff", "price_discount", "competitorPrice_discount", "price_discount_diff", "is_lower_price", "is_discount",
+    "is_greater_discount", "rrp_per_unit", "price_per_unit", "competitorPrice_per_unit",
+)
+
+
+def _digamma(x: str) -> str:
+    """Steps up to 60, then the series."""
+    up = f"(CAST({x} AS DOUBLE) + 60)"
+    return f"(ln({up}) - 1 / (2 * {up}) - 1 / (12 * {up} * {up}) + 1 / (120 * pow({up}, 4)) - 1 / (252 * pow({up}, 6)) - list_sum(list_transform(range(60), lambda j: 1 / (CAST({x} AS DOUBLE) + j))))"
+
+
+@query("feat", f"""WITH x AS (SELECT u.f AS f, u.v AS v, y FROM (SELECT unnest([{", ".join(f"{{'f': '{c}', 'v': CAST(" + '"' + c + '"' + " AS DOUBLE)}" for c in _NUMBERS)}]) AS u, "order" AS y FROM feat) WHERE u.v IS NOT NULL AND y IS NOT NULL),
+t AS (SELECT f, y, count(*) AS n_y FROM x GROUP BY ALL HAVING count(*) > 1),
+e AS (SELECT f, y, v, n_y, list(v) OVER (PARTITION BY f, y ORDER BY v ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM x JOIN t USING (f, y)),
+d AS (SELECT f, y, v, n_y, least(3, n_y - 1) AS k, max(list_sort(list_transform(near, lambda z: abs(z - v)))[least(3, n_y - 1) + 1]) AS d, count(*) AS n FROM e GROUP BY f, y, v, n_y),
+g AS (SELECT f, v AS w, sum(n) AS here FROM d GROUP BY ALL),
+m AS (SELECT d.f, d.y, d.v, sum(here) AS m FROM d JOIN g ON g.f = d.f AND w > v - d AND w < v + d WHERE d > 0 GROUP BY ALL UNION ALL SELECT d.f, d.y, d.v, here FROM d JOIN g ON g.f = d.f AND w = v WHERE d = 0)
+SELECT f AS feature, CAST(sum(n) AS BIGINT) AS n, greatest(0, {_digamma("sum(n)")} + sum(n * ({_digamma("k")} - {_digamma("n_y")} - {_digamma("m")})) / sum(n)) AS knn_mi FROM d JOIN m USING (f, y, v) GROUP BY f""", "knn_mi")
+def knn_mi(spark, sf):
+    """Nearest-neighbour mutual information of every numeric feature with the order, over all rows."""
+    return screening.knn_mutual_information(featured(spark, sf), _NUMBERS, "order")
+
+
 @query("prep", """SELECT CASE WHEN feature IN ('price', 'competitorPrice') THEN 'price_absolute' ELSE 'time' END AS family, count(*) AS n_features, avg(abs(r)) AS mean_score, max(abs(r)) AS max_score, string_agg(feature, ', ' ORDER BY feature) AS features
 FROM (""" + " UNION ALL ".join(f"""SELECT '{c}' AS feature, corr(rx, ry) AS r FROM (SELECT {_rank("x")} AS rx, {_rank("y")} AS ry FROM (SELECT "{c}" AS x, "order" AS y FROM prep WHERE "{c}" IS NOT NULL))""" for c in ("price", "competitorPrice", "day")) + ") GROUP BY 1", "mean_score max_score", 6)
 def family_report(spark, sf):

@@ -206,7 +206,7 @@ e AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(c, [CAST(k AS
 p AS (SELECT c.*, e.e, greatest(1, len(list_filter(e.e, lambda x: x < round(c.c, 9)))) AS k FROM c, e)
 SELECT "lineID", CASE WHEN c IS NOT NULL THEN format('({:.3f}, {:.3f}]', e[k], e[least(k + 1, len(e))]) END AS price_diff_bin FROM p""")
 def clip_qcut(spark, sf):
-    return features.clip_and_bin(featured(spark, sf), "price_diff", "price_diff_bin").select("lineID", "price_diff_bin")
+    return features.clip_and_bin(featured(spark, sf), {"price_diff": "price_diff_bin"}).select("lineID", "price_diff_bin")
 
 
 @query("feat", """WITH m AS (SELECT min(price) AS lo, max(price) AS hi FROM f) SELECT greatest(1, least(15, CAST(ceil((price - lo) / ((hi - lo) / 15)) AS INTEGER))) AS bin, count(*) AS n, avg("order") AS rate FROM f, m GROUP BY 1""", "rate")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from basketry.functions.numeric import week_block
 from basketry.operators import clean, features, metrics
+from basketry.operators.ordered import written
+from basketry.plans import build
+from basketry.schema import Config
 from basketry.sources import adapter
 
 
@@ -19,6 +22,12 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.safe_row_features(prepared(spark, sf_dir))
 
 
+def final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all splits with every feature, safe and conditional, as the build writes them; a written table."""
+    first = written(build.base(adapter.fact(spark, sf_dir), adapter.dim(spark, sf_dir), Config()))
+    return written(build.conditional(written(build.apply(first, build.fit(first, Config()))), Config()))
+
+
 def train_of(df: DataFrame) -> DataFrame:
     return df.where("split = 'train'")
 

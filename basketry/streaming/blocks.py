@@ -1,7 +1,15 @@
-"""Streaming counterparts of the batch history: weekly windows and running counts of each key."""
+"""Event time per key and by window: rows are held until the watermark has passed them, then handled in the order of time.
+
+The history of a key needs its rows in order, whatever the order in which batches bring them. So the
+state of a key holds the rows that the watermark has not passed; once it has, they are counted and
+emitted by time, and the state keeps two counts and the last session. Rows that come after the
+watermark has passed their time are emitted as late, without counts. State is bounded by what comes
+within the delay, and by the idle time after which a key is forgotten.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,25 +17,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+HISTORY = "event_id long, user_id long, ts timestamp, kind string, earlier_events long, earlier_orders long, session_start timestamp"
+#: Counts of what was emitted, the last time and the start of its session in microseconds, and the held rows.
+STATE = "n long, orders long, last long, session long, held_ts array<long>, held_id array<long>, held_order array<long>"
+
 
 def windowed_rates(events: DataFrame, late: str = "1 day", width: str = "7 days", slide: str | None = None) -> DataFrame:
-    """Events and order rate of each event-time window; events later than `late` are dropped."""
+    """Events and order rate of each event-time window. In append mode a window is emitted once the watermark has passed it, its state goes, and later rows of it are dropped.
+
+    Rows without an event_id move the watermark alone.
+    """
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     g = events.withWatermark("ts", late).groupBy(w.alias("w"))
-    return g.agg(F.count("*").alias("n_events"), F.avg((F.col("event_type") == "purchase").cast("double")).alias("order_rate")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events", "order_rate")
+    return g.agg(F.count("event_id").alias("n_events"), F.avg((F.col("event_type") == "purchase").cast("double")).alias("order_rate")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events", "order_rate")
+
+
+def sessions(events: DataFrame, late: str = "1 day", gap: str = "1 day") -> DataFrame:
+    """Events and orders of each user's sessions: runs of events less than `gap` apart, emitted once the watermark has passed their end."""
+    w = F.session_window("ts", gap)
+    g = events.withWatermark("ts", late).groupBy("user_id", w.alias("w"))
+    return g.agg(F.count("event_id").alias("n_events"), F.count_if(F.col("event_type") == "purchase").alias("n_orders")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "n_orders")
+
+
+def _micros(x: pd.Series) -> list[int]:
+    return x.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _in_order(gap: int, idle: int | None):
+    """The state function. gap, idle: microseconds."""
+
+    def rows(key: int, found: list[tuple], kind: str) -> pd.DataFrame:
+        """found: (ts, event_id, earlier events, earlier orders, session start)."""
+        cols = list(zip(*found, strict=True)) or [()] * 5
+        time = lambda x: pd.to_datetime(pd.Series(x, dtype="Int64"), unit="us")
+        return pd.DataFrame({"event_id": pd.Series(cols[1], dtype="int64"), "user_id": key, "ts": time(cols[0]), "kind": kind, "earlier_events": pd.Series(cols[2], dtype="Int64"), "earlier_orders": pd.Series(cols[3], dtype="Int64"), "session_start": time(cols[4])})
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, orders, last, session, *held = state.get if state.exists else (0, 0, None, None, [], [], [])
+        pending = list(zip(*held, strict=True))
+        passed = state.getCurrentWatermarkMs() * 1000
+        late = []
+        for b in batches:
+            new = zip(_micros(b["ts"]), b["event_id"].tolist(), (b["event_type"] == "purchase").astype(int).tolist(), strict=True)
+            for r in new:
+                late.append((r[0], r[1], None, None, None)) if r[0] < passed else pending.append(r)
+        pending.sort()
+        done = []
+        for ts, event, order in pending:
+            if ts >= passed:
+                break
+            session = ts if last is None or ts - last >= gap else session
+            done.append((ts, event, n, orders, session))
+            n, orders, last = n + 1, orders + order, ts
+        pending = pending[len(done) :]
+        if done:
+            yield rows(key[0], done, "in order")
+        if late:
+            yield rows(key[0], late, "late")
+        if not pending and idle is not None and (last is None or last + idle < passed):
+            if state.exists:
+                state.remove()
+            return
+        state.update((n, orders, last, session, *([r[c] for r in pending] for c in range(3))))
+        # Timers are in milliseconds, and lie ahead of the watermark.
+        if pending or idle is not None:
+            wake = pending[0][0] if pending else last + idle
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, passed // 1000 + 1))
+
+    return run
+
+
+def _microseconds(x: datetime.timedelta | None) -> int | None:
+    return None if x is None else x // datetime.timedelta(microseconds=1)
 
 
-def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, orders = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-    bought = (rows["event_type"] == "purchase").astype("int64")
-    out = pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "earlier_events": range(n, n + len(rows)), "earlier_orders": orders + bought.cumsum() - bought})
-    state.update((n + len(rows), int(orders + bought.sum())))
-    yield out
+def running_history(events: DataFrame, late: str = "1 day", gap: datetime.timedelta = datetime.timedelta(days=1), idle: datetime.timedelta | None = None) -> DataFrame:
+    """For each event the number of events and orders of its user before it in (ts, event_id), and the start of its session.
 
+    late: how long rows are waited for. kind is 'in order', or 'late' for rows behind the watermark, which have no
+    counts and are counted nowhere. idle: a user whose last event lies so far behind the watermark is
+    forgotten, and starts again from zero; None keeps two counts for every user. Rows without a user, an
+    id or a time are left out; those without an event_id move the watermark.
 
-def running_history(events: DataFrame) -> DataFrame:
-    """For each event the number of events and orders of its user before it, kept as two counts of state for each user."""
-    return events.select("event_id", "user_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(
-        _running, "event_id long, user_id long, earlier_events long, earlier_orders long", "n long, orders long", "append", GroupStateTimeout.NoTimeout
-    )
+    A row enters twice: as a tick, which alone carries the watermark and ends there, and as data
+    without an event-time column, so that Spark does not drop it before the state function can tell
+    that it is late.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    tick = F.struct(F.col("ts").alias("mark"), none("long").alias("event_id"), none("long").alias("user_id"), none("timestamp").alias("ts"), none("string").alias("event_type"))
+    data = F.struct(none("timestamp").alias("mark"), F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event_type"))
+    parts = F.when(F.col("event_id").isNotNull() & F.col("user_id").isNotNull(), F.array(tick, data)).otherwise(F.array(tick))
+    both = events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null").select(F.explode(parts).alias("x")).select("x.*")
+    # This condition alone: another would be moved before the watermark, and the ticks with it.
+    held = both.withWatermark("mark", late).where("mark is null")
+    return held.groupBy("user_id").applyInPandasWithState(_in_order(_microseconds(gap), _microseconds(idle)), HISTORY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
