@@ -33,6 +33,9 @@ SPELLINGS = (
 )
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright\b[^\n]*?(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©|all rights reserved)[^\n]*$"
 
+#: The form of a licence at the end of its name.
+FORM = r" \((.*)\)$"
+
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), r"[^\p{L}\p{N}]+", " ")
@@ -65,7 +68,10 @@ def _holds(text: Column, hints: tuple[str, ...]) -> Column:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES, digests: dict[str, str] = DIGESTS) -> DataFrame:
-    """doc_id, license_id (of an entire text, else null), notices (names of notice lines, sorted, comma-joined) and n_notice_lines."""
+    """doc_id, license_id (of an entire text, else null), license_form (the wording in which it stands, such as titled or terms; else null), notices (names of notice lines, sorted, comma-joined) and n_notice_lines.
+
+    A name in the tables is an identifier, and in parentheses its form, if it is not the plain text.
+    """
     known, lines_known = digest_table(texts, HINTS) | digests, digest_table(notices, HINTS[:1])
     whole = docs.sparkSession.createDataFrame(sorted(known.items()), "known_digest string, license_id string")
     name_of = F.create_map(*(F.lit(x) for pair in sorted(lines_known.items()) for x in pair))
@@ -79,4 +85,5 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tex
     )
     # The table of known digests is fixed, a few kilobytes.
     joined = named.join(F.broadcast(whole), F.col("digest") == F.col("known_digest"), "left")
-    return joined.select("doc_id", "license_id", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notice_lines"))
+    form = F.nullif(F.regexp_extract("license_id", FORM, 1), F.lit(""))
+    return joined.select("doc_id", F.regexp_replace("license_id", FORM, "").alias("license_id"), form.alias("license_form"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notice_lines"))

@@ -12,8 +12,15 @@ from basketry.llm.secret_scan import BASE_RULES, RULES
 
 def _url_filter() -> str:
     rows = ", ".join(f"('{k}', '{v}', TIMESTAMP '{d} 00:00:00', '{a}')" for k, v, d, a in LIST_ENTRIES)
+    host = "regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\\\\.?(:[0-9]*)?$', '')"
     return f"""
-WITH entries(kind, key, listed, action) AS (VALUES {rows}),
+WITH hosts AS (SELECT DISTINCT host FROM (SELECT {host} AS host FROM pages) WHERE host <> ''),
+fixed(kind, key, listed, action) AS (VALUES {rows}),
+named AS (SELECT 'host' AS kind, host AS key FROM hosts UNION SELECT 'domain', array_to_string(string_split(host, '.')[-2:], '.') FROM hosts),
+numbered AS (SELECT kind, key, CAST('0x' || substr(md5(kind || ':' || key), 1, 6) AS BIGINT) AS n FROM named),
+entries AS (SELECT * FROM fixed
+  UNION ALL SELECT kind, key, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(n % 60 AS INTEGER)), 'add' FROM numbered WHERE n % 4 = 0
+  UNION ALL SELECT kind, key, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(n % 60 + 1 + n % 25 AS INTEGER)), 'remove' FROM numbered WHERE n % 12 = 0),
 e AS (SELECT kind, key, listed, bool_and(action = 'add') AS on_list FROM entries GROUP BY ALL),
 f AS (SELECT *, lag(on_list) OVER (PARTITION BY kind, key ORDER BY listed) AS was FROM e),
 g AS (SELECT kind, key, listed, on_list, lead(listed) OVER (PARTITION BY kind, key ORDER BY listed) AS until FROM f WHERE was IS NULL OR was <> on_list),
@@ -83,14 +90,14 @@ WITH known(digest, license_id) AS (VALUES {values(known)}), notices(digest, noti
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT rid, notice FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) JOIN notices ON sha256({canonical("line")}) = digest),
 n AS (SELECT rid, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices, count(*) AS n_notice_lines FROM l GROUP BY rid)
-SELECT doc_id, license_id, coalesce(notices, '') AS notices, coalesce(n_notice_lines, 0) AS n_notice_lines FROM d LEFT JOIN known ON sha256({canonical("t")}) = digest LEFT JOIN n USING (rid)
+SELECT doc_id, regexp_replace(license_id, ' \\(.*\\)$', '') AS license_id, nullif(regexp_extract(license_id, ' \\((.*)\\)$', 1), '') AS license_form, coalesce(notices, '') AS notices, coalesce(n_notice_lines, 0) AS n_notice_lines FROM d LEFT JOIN known ON sha256({canonical("t")}) = digest LEFT JOIN n USING (rid)
 """
 
 
 def _quality_rules() -> str:
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     value = {
-        "n_words": "n_words", "mean_word_chars": "word_chars / w", "symbols_per_word": "n_symbols / w", "stop_words": "stop_words",
+        "n_words": "n_words", "mean_word_chars": "word_chars / w", "symbols_per_word": "n_symbols / w", "stop_words": "CASE WHEN stop_words >= 2 OR 2 * latin_words >= n_words THEN stop_words END",
         "dup_line_share": "CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0)", "repeat_word_share": "n_repeat_words / w", "upper_word_share": "upper_words / w",
     }
     tests = [f"coalesce({value[t.measure]} {op} CAST({limit} AS DOUBLE), true)" for t in THRESHOLDS for op, limit in ((">=", t.least), ("<=", t.most)) if limit is not None]
@@ -98,13 +105,13 @@ def _quality_rules() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') AS words FROM d),
 u AS (SELECT rid, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM w),
-c AS (SELECT rid, count(*) AS n_words, CAST(sum(length(x)) AS BIGINT) AS word_chars, count(*) FILTER (lower(x) IN ({stop})) AS stop_words, count(*) FILTER (regexp_matches(x, '^[^\\p{{Ll}}]*\\p{{Lu}}{{2}}[^\\p{{Ll}}]*$')) AS upper_words FROM u GROUP BY rid),
+c AS (SELECT rid, count(*) AS n_words, CAST(sum(length(x)) AS BIGINT) AS word_chars, count(*) FILTER (lower(x) IN ({stop})) AS stop_words, count(*) FILTER (regexp_matches(x, '[A-Za-zÀ-ɏ]')) AS latin_words, count(*) FILTER (regexp_matches(x, '^[^\\p{{Ll}}]*\\p{{Lu}}{{2}}[^\\p{{Ll}}]*$')) AS upper_words FROM u GROUP BY rid),
 v AS (SELECT rid, i, x AS a, lead(x, 1) OVER o AS b, lead(x, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
 p AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM v WHERE c IS NOT NULL),
 r AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM p CROSS JOIN range(3) AS s(k) WHERE n > 1 GROUP BY rid),
 l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY rid),
 m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(translate(t, '{MARKS}', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(stop_words, 0) AS stop_words, coalesce(upper_words, 0) AS upper_words, n_lines, CAST(nullif(n_words, 0) AS DOUBLE) AS w
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(stop_words, 0) AS stop_words, coalesce(latin_words, 0) AS latin_words, coalesce(upper_words, 0) AS upper_words, n_lines, CAST(nullif(n_words, 0) AS DOUBLE) AS w
   FROM d LEFT JOIN c USING (rid) LEFT JOIN r USING (rid) LEFT JOIN l USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, stop_words, upper_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {" AND ".join(tests)} AS kept FROM m

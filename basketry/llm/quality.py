@@ -28,6 +28,9 @@ STOP_WORDS = (
     "el", "los", "y", "en", "las", "del", "por", "con", "para", "una", "se", "su",
 )
 
+#: A letter of Latin script.
+LATIN = "[A-Za-z\u00C0-\u024F]"
+
 
 @dataclass(frozen=True)
 class Threshold:
@@ -97,7 +100,7 @@ def measures(text: Column) -> Column:
             (F.length(text) - F.length(F.translate(text, MARKS, ""))).cast("long").alias("n_symbols"),
             line_counts.alias("lines"),
             _repeat_words(words).alias("n_repeat_words"),
-            F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("stop_words"),
+            let(F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"), lambda n: F.struct(n.alias("n"), F.when(n < 2, F.size(F.filter(words, lambda w: w.rlike(LATIN)))).alias("latin"))).alias("stop"),
             F.size(F.filter(words, lambda w: w.rlike(r"^[^\p{Ll}]*\p{Lu}{2}[^\p{Ll}]*$"))).cast("long").alias("upper_words"),
         )
 
@@ -111,7 +114,8 @@ def compiled(m: Column, thresholds: Sequence[Threshold] = THRESHOLDS) -> Column:
         "n_words": m["n_words"],
         "mean_word_chars": m["word_chars"] / words,
         "symbols_per_word": m["n_symbols"] / words,
-        "stop_words": m["stop_words"],
+        # The words are those of some languages in Latin script; texts that are mostly in others have no such measure.
+        "stop_words": F.when((m["stop"]["n"] >= 2) | (2 * m["stop"]["latin"] >= m["n_words"]), m["stop"]["n"]),
         "dup_line_share": m["lines"]["dup"] / F.when(m["lines"]["n"] > 0, m["lines"]["n"]),
         "repeat_word_share": m["n_repeat_words"] / words,
         "upper_word_share": m["upper_words"] / words,
@@ -133,7 +137,7 @@ def judge(docs: DataFrame, text_col: str = "text", thresholds: Sequence[Threshol
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     return with_measures.withColumn(name, F.struct(
         m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["dup"].alias("n_dup_lines"),
-        m["n_repeat_words"].alias("n_repeat_words"), m["stop_words"].alias("stop_words"), m["upper_words"].alias("upper_words"), failed.alias("base_failed"), (~failed & compiled(m, thresholds)).alias("kept"),
+        m["n_repeat_words"].alias("n_repeat_words"), m["stop"]["n"].alias("stop_words"), m["upper_words"].alias("upper_words"), failed.alias("base_failed"), (~failed & compiled(m, thresholds)).alias("kept"),
     ))
 
 

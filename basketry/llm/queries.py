@@ -50,10 +50,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """Dated list entries made from the hosts of the pages and their domains: a hash of the key tells which are listed, since when, and when they are removed."""
+    host = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    labels = F.split("host", r"\.")
+    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
+    named = host.select(F.lit("host").alias("kind"), F.col("host").alias("key")).unionByName(host.select(F.lit("domain").alias("kind"), domain.alias("key")).distinct())
+    n = F.conv(F.substring(F.md5(F.concat_ws(":", "kind", "key")), 1, 6), 16, 10).cast("long")
+    at = lambda days: F.date_add(F.lit("2024-01-01").cast("date"), days.cast("int")).cast("timestamp")
+    added = F.when(n % 4 == 0, F.struct(at(n % 60).alias("listed_at"), F.lit("add").alias("action")))
+    removed = F.when(n % 12 == 0, F.struct(at(n % 60 + 1 + n % 25).alias("listed_at"), F.lit("remove").alias("action")))
+    return named.select("kind", "key", F.explode(F.array_compact(F.array(added, removed))).alias("e")).select("kind", "key", "e.listed_at", "e.action")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str, entries: DataFrame | None = None) -> DataFrame:
+    """entries: a table (kind, key, listed_at, action); without one, the fixed list and what `listed_hosts` makes of the pages."""
     # The table has no fetch times: a capture is fetched (page_id modulo 91) days after 2024-01-01.
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 91).cast("int")).cast("timestamp").alias("fetched_at"))
-    entries = spark.createDataFrame(LIST_ENTRIES, "kind string, key string, listed_at string, action string").withColumn("listed_at", F.to_timestamp("listed_at", "yyyy-MM-dd"))
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 91).cast("int")).cast("timestamp").alias("fetched_at"))
+    if entries is None:
+        fixed = spark.createDataFrame(LIST_ENTRIES, "kind string, key string, listed_at string, action string").withColumn("listed_at", F.to_timestamp("listed_at", "yyyy-MM-dd"))
+        entries = fixed.unionByName(listed_hosts(pages))
     return url_filter.filter_captures(captures, entries)
 
 

@@ -216,7 +216,16 @@ def test_long_licenses(spark):
         pytest.skip("no licence texts on this machine")
     rows += [(f"{n} (terms)", t[: t.index("END OF TERMS AND CONDITIONS")]) for n, t in rows if n in ("Apache-2.0", "GPL-3.0")]
     rows += [(n, t.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Someone")) for n, t in rows if n == "Apache-2.0"]
-    assert [r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).orderBy("doc_id").collect()] == sorted(n for n, _ in rows)
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).orderBy("doc_id").collect()
+    assert [r["license_id"] + (f" ({r['license_form']})" if r["license_form"] else "") for r in got] == sorted(n for n, _ in rows)
+
+
+def test_texts_in_other_scripts_need_no_stop_words(spark):
+    rng = np.random.default_rng(1)
+    line = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(90))
+    texts = [line("абвгдежзиклмноп"), line("αβγδεζηθικλμν"), line("ابتثجحخدذرز"), line("qwzxkvjpfgbm")]
+    got = {r["doc_id"]: r["kept"] for r in quality.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False}
 
 
 def test_quality_measures_equal_brute_force(spark, documents, docs, empty):

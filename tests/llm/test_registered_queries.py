@@ -20,10 +20,10 @@ def bag(rows):
     return collections.Counter(tuple(r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op1_secret_scan", "op7_license_scan", "op8_quality_rules", "op12_centroids", "op13_divergence"])
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op3_url_filter", "op7_license_scan", "op8_quality_rules", "op12_centroids", "op13_divergence"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     rel = con.sql(oracle_sql()[name])
     df = queries.queries()[name](spark, DATA)
