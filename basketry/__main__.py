@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.operators import rollup
+from basketry.operators import guards, rollup
 from basketry.operators.clean import prepare
 from basketry.plans import build
 from basketry.sources import delimited, sinks
@@ -16,6 +16,7 @@ from basketry.sources import delimited, sinks
 def extract(fact: DataFrame, dim: DataFrame, folder: str) -> None:
     """Writes the daily and the order extract, as Parquet and as pipe-separated text."""
     keep = lambda df, name: fact.sparkSession.read.parquet(sinks.save_parquet(df, f"{folder}/{name}.parquet"))
+    guards.require_valid(guards.unique_key(dim, "pid"), "product table")
     # What several aggregates read again is a written table.
     df = keep(rollup.with_price_bins(keep(prepare(fact, dim), "staging/prepared")), "staging/binned")
     daily = keep(rollup.core_daily(df), "core_daily")
@@ -31,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", required=True)
     p.add_argument("--mode", default="safe_only", choices=("safe_only", "safe_plus_conditional"))
     a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("basketry").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("basketry").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     try:
         fact, dim = delimited.read_fact(spark, a.fact), delimited.read_dim(spark, a.dim)
         if a.command == "build":

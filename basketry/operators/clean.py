@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import numeric, text
@@ -59,9 +59,16 @@ def split_of(day: Column, config: Config = Config()) -> Column:
     return F.when(day.between(*config.train_days), "train").when(day.between(*config.test_days), "test").when(day.between(*config.validation_days), "validation")
 
 
+def one_row_each(dim: DataFrame, key: str = "pid") -> DataFrame:
+    """dim, whose plan fails on a key that occurs twice, since a join with it would multiply the fact."""
+    n = F.count("*").over(Window.partitionBy(key))
+    once = F.assert_true(F.col("__n") == 1, F.concat(F.lit(f"{key} occurs more than once: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return dim.withColumn("__n", n).where(once.isNull()).drop("__n")
+
+
 def prepare(fact: DataFrame, dim: DataFrame, config: Config = Config()) -> DataFrame:
-    """The cleaned, joined rows with their split; days outside all splits have none."""
-    return join_dim(clean_fact(fact), enrich_dim(dim), config).withColumn("split", split_of(F.col("day"), config))
+    """The cleaned, joined rows with their split; days outside all splits have none. A product that occurs twice is an error."""
+    return join_dim(clean_fact(fact), enrich_dim(one_row_each(dim)), config).withColumn("split", split_of(F.col("day"), config))
 
 
 def stage2() -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import numeric
 from basketry.functions.numeric import ratio
-from basketry.operators.ordered import between, order_statistics, quantile_row
+from basketry.operators.ordered import between, codes_of, order_statistics, quantile_row, running, written
 
 
 def day_cycles(df: DataFrame) -> DataFrame:
@@ -101,18 +101,16 @@ def target_encode(df: DataFrame, train: DataFrame, column: str, target: str, nam
 
 
 def ordinal_by_appearance(train: DataFrame, column: str, order: str = "lineID") -> DataFrame:
-    """(__key, __value): codes from 0 in the order in which values first appear."""
+    """(__key, __value): codes from 0 in the order in which values first appear; places come from a running count, not from one window over all values."""
     first = train.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__key")).agg(F.min(order).alias("__first"))
-    return _numbered(first, [F.col("__first"), F.col("__key")])
+    values = written(first.withColumn("__one", F.lit(1).cast("long")))
+    return running(values, "__first", {"__place": "__one"}, then=["__key"]).select("__key", F.col("__place").cast("double").alias("__value"))
 
 
 def ordinal_sorted(train: DataFrame, column: str) -> DataFrame:
-    return _numbered(train.select(F.col(column).alias("__key")).where("__key is not null").distinct(), [F.col("__key")])
-
-
-def _numbered(values: DataFrame, order) -> DataFrame:
-    # The distinct values of a category, not its rows.
-    return values.select("__key", (F.row_number().over(Window.orderBy(*order)) - 1).cast("double").alias("__value"))
+    """(__key, __value): codes from 0 in the order of values."""
+    values = train.select(column).where(F.col(column).isNotNull()).distinct()
+    return codes_of(values, column).select(F.col("value").alias("__key"), F.col("code").cast("double").alias("__value"))
 
 
 def aligned_category(df: DataFrame, train: DataFrame, column: str, name: str) -> DataFrame:

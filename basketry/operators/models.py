@@ -6,17 +6,22 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators import metrics
+from basketry.operators.ordered import place_of_keys, written
 
-#: Above this number of distinct values a category is treated as a number by the tree models.
+#: A category of more values is a number to the tree models: the commonest, one less than this, are ordered by their target, and all others share an overflow code.
 MOST_CATEGORIES = 255
+#: Rows that the overall mean counts for in the mean target of a value.
+SMOOTHING = 20.0
+#: Boosting: rounds at most, the share of training rows that tell when to stop, and how little a round must gain there.
+ROUNDS, VALIDATION_SHARE, LEAST_GAIN = 40, 0.1, 0.001
 
 
 def split_types(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -32,14 +37,42 @@ def with_class_weights(df: DataFrame, target: str, name: str = "weight") -> Data
     return df.join(F.broadcast(counts.join(F.broadcast(total))), F.col(target) == F.col("__c")).withColumn(name, F.col("__t") / (2 * F.col("__n"))).drop("__c", "__n", "__t")
 
 
-def preparation(df: DataFrame, features: Sequence[str], one_hot: bool, scale: bool) -> list:
-    """Stages from raw columns to the vector `features`: median or constant imputation, codes, one-hot, scaling."""
+def ordered_codes(train: DataFrame, column: str, target: str, most: int = MOST_CATEGORIES) -> DataFrame:
+    """value, n, mean (smoothed) and code of a category, for trees that take it as a number.
+
+    The `most` - 1 commonest values get codes from 0 in the order of their smoothed mean target, which
+    is the order in which a tree would split them; all others, and values that training has not seen,
+    have the code that follows. Ties: by value.
+    """
+    rows = train.select(F.coalesce(F.col(column).cast("string"), F.lit("MISSING")).alias("value"), F.col(target).cast("double").alias("y")).where("y is not null")
+    counts = written(rows.groupBy("value").agg(F.count("*").alias("n"), F.sum("y").alias("s")))
+    overall = counts.agg((F.sum("s") / F.sum("n")).alias("__all"))
+    kept = place_of_keys(counts, "n", "value").where(F.col("rank") < most).join(F.broadcast(overall))
+    mean = (F.col("s") + SMOOTHING * F.col("__all")) / (F.col("n") + SMOOTHING)
+    # Fewer than `most` rows.
+    return kept.select("value", "n", mean.alias("mean")).withColumn("code", (F.row_number().over(Window.orderBy(F.round("mean", 12), "value")) - 1).cast("int"))
+
+
+def preparation(df: DataFrame, features: Sequence[str], one_hot: bool, scale: bool, target: str | None = None) -> list:
+    """Stages from raw columns to the vector `features`: median or constant imputation, codes, one-hot, scaling.
+
+    target: for trees, whose categories of more than MOST_CATEGORIES values then become numbers (`ordered_codes`).
+    """
     numeric, texts = split_types(df, features)
     stages, inputs = [], []
     if numeric:
         stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__i" for c in numeric]))
         inputs += [f"{c}__i" for c in numeric]
-    for c in texts:
+    many = []
+    if texts and not one_hot and target is not None:
+        sizes = df.agg(*(F.count_distinct(c).alias(c) for c in texts)).first()
+        many = [c for c in texts if sizes[c] > MOST_CATEGORIES]
+    for c in many:
+        labels = [r["value"] for r in ordered_codes(df, c, target).orderBy("code").collect()]
+        # Codes by the order of the labels; an addition makes them numbers to the trees.
+        stages.append(StringIndexerModel.from_labels(labels, inputCol=c, outputCol=f"{c}__k", handleInvalid="keep"))
+        stages.append(SQLTransformer(statement=f"SELECT *, `{c}__k` + 0D AS `{c}__s` FROM __THIS__"))
+    for c in (x for x in texts if x not in many):
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__s", handleInvalid="keep", stringOrderType="alphabetAsc"))
     if texts and one_hot:
         stages.append(OneHotEncoder(inputCols=[f"{c}__s" for c in texts], outputCols=[f"{c}__h" for c in texts], handleInvalid="keep"))
@@ -63,7 +96,7 @@ def classifier(kind: str, rows: int, target: str = "order"):
     if kind in ("l1", "elastic_net"):
         return LogisticRegression(labelCol=target, weightCol="weight", regParam=1 / (0.1 * max(rows, 1)), elasticNetParam=1.0 if kind == "l1" else 0.5, maxIter=100)
     if kind == "boosted":
-        return GBTClassifier(labelCol=target, weightCol="weight", maxIter=20, maxDepth=5, maxBins=512, seed=42)
+        return GBTClassifier(labelCol=target, weightCol="weight", maxIter=ROUNDS, stepSize=0.2, maxDepth=5, maxBins=512, validationIndicatorCol=VALIDATION, validationTol=LEAST_GAIN, seed=42)
     raise KeyError(kind)
 
 
@@ -73,20 +106,44 @@ def regressor(kind: str, rows: int, target: str = "quantity"):
     if kind in ("lasso", "elastic_net"):
         return LinearRegression(labelCol=target, regParam=0.01, elasticNetParam=1.0 if kind == "lasso" else 0.5, standardization=False)
     if kind in ("boosted", "boosted_log"):
-        return GBTRegressor(labelCol="log_target" if kind.endswith("log") else target, maxIter=20, maxDepth=5, maxBins=512, seed=42)
+        return GBTRegressor(labelCol="log_target" if kind.endswith("log") else target, maxIter=ROUNDS, stepSize=0.2, maxDepth=5, maxBins=512, validationIndicatorCol=VALIDATION, validationTol=LEAST_GAIN, seed=42)
     if kind == "forest":
         return RandomForestRegressor(labelCol=target, numTrees=30, maxDepth=10, minInstancesPerNode=50, maxBins=512, seed=42)
     raise KeyError(kind)
 
 
+#: Marks the training rows that boosting is stopped by.
+VALIDATION = "__validation"
+
+
+def with_validation(df: DataFrame, key: str = "lineID", share: float = VALIDATION_SHARE) -> DataFrame:
+    """df with VALIDATION: true for a share of the rows by a hash of the key, so the same rows in every run. Without the key, a hash of the row."""
+    h = F.xxhash64(key) if key in df.columns else F.xxhash64(*df.columns)
+    return df.withColumn(VALIDATION, F.pmod(h, F.lit(1000)) < int(1000 * share))
+
+
 CLASSIFIERS = ("most_frequent", "logistic_balanced", "boosted")
 REGRESSORS = ("always_1", "median", "ridge", "boosted", "boosted_log", "forest")
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str], kind: str, target: str = "order") -> PipelineModel:
-    ready = with_class_weights(_ready(train, features), target)
+    ready = with_validation(with_class_weights(_ready(train, features), target))
     linear = kind != "boosted"
-    return Pipeline(stages=[*preparation(ready, features, one_hot=linear, scale=linear), classifier(kind, train.count(), target)]).fit(ready)
+    return Pipeline(stages=[*preparation(ready, features, one_hot=linear, scale=linear, target=target), classifier(kind, train.count(), target)]).fit(ready)
+
+
+def boosting_curve(model: PipelineModel, train: DataFrame, features: Sequence[str], target: str = "order") -> DataFrame:
+    """round, the loss on the rows that boosting is stopped by, and whether the model ends with that round.
+
+    The loss is that of the boosted trees (log loss of the doubled margin for classes, squared error for quantities).
+    """
+    marked = with_validation(with_class_weights(_ready(train, features), target) if target == "order" else _ready(train, features).withColumn("log_target", F.log1p(target)))
+    ready = marked.where(VALIDATION)
+    for stage in model.stages[:-1]:
+        ready = stage.transform(ready)
+    trees = model.stages[-1]
+    losses = trees.evaluateEachIteration(ready) if isinstance(trees, GBTClassificationModel) else trees.evaluateEachIteration(ready, "squared")
+    return train.sparkSession.createDataFrame([(k, float(x), k == len(losses)) for k, x in enumerate(losses, 1)], "round int, loss double, last boolean")
 
 
 def score_classifier(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str = "order", keep: Sequence[str] = ()) -> DataFrame:
@@ -95,9 +152,9 @@ def score_classifier(model: PipelineModel, df: DataFrame, features: Sequence[str
 
 
 def fit_regressor(train: DataFrame, features: Sequence[str], kind: str, target: str = "quantity") -> PipelineModel:
-    ready = _ready(train, features).withColumn("log_target", F.log1p(target))
+    ready = with_validation(_ready(train, features).withColumn("log_target", F.log1p(target)))
     linear = kind in ("ridge", "lasso", "elastic_net")
-    return Pipeline(stages=[*preparation(ready, features, one_hot=linear, scale=False), regressor(kind, train.count(), target)]).fit(ready)
+    return Pipeline(stages=[*preparation(ready, features, one_hot=linear, scale=False, target=target), regressor(kind, train.count(), target)]).fit(ready)
 
 
 def score_regressor(model: PipelineModel, df: DataFrame, features: Sequence[str], kind: str, target: str = "quantity", low: float | None = None) -> DataFrame:
@@ -119,7 +176,7 @@ def attempted(name: str, task: str, run: Callable[[], Mapping[str, float]]) -> d
     try:
         return {"task": task, "model": name, "status": "ok", "error": None, **run(), "seconds": round(time.time() - began, 3)}
     except Exception as e:  # noqa: BLE001
-        return {"task": task, "model": name, "status": "failed", "error": str(e)[:300], "seconds": round(time.time() - began, 3)}
+        return {"task": task, "model": name, "status": "failed", "error": str(e), "seconds": round(time.time() - began, 3)}
 
 
 def evaluate_classifier(scored: DataFrame, threshold: float = 0.5) -> dict[str, float]:

@@ -143,3 +143,20 @@ def place_of_keys(counts: DataFrame, n: str, key: str) -> DataFrame:
     within = running(counts.withColumn("__one", F.lit(1).cast("long")), key, {"earlier": "__one"}, [n], ranges=ranges)
     joined = within.join(level, F.col(n) == F.col("__n"))
     return joined.select(*counts.columns, (F.col("keys_above") + F.col("earlier") + 1).alias("rank"), (F.col("sum_above") + F.col("earlier") * F.col(n)).alias("above"))
+
+
+#: Ranges in which the distinct values of a category are sorted.
+CODE_RANGES = 64
+
+
+def codes_of(values: DataFrame, column: str) -> DataFrame:
+    """value and code (from 0, in the order of values) of a frame of distinct values that are not null, of any type.
+
+    Values are sorted in ranges that are written once; the only window without a partition is over the sizes of the ranges.
+    """
+    parts = written(values.select(F.col(column).alias("value")).repartitionByRange(CODE_RANGES, "value").withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most CODE_RANGES rows.
+    offsets = parts.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy("value"))
+    return parts.withColumn("__k", within).join(F.broadcast(offsets), "__part").select("value", (F.col("__k") - 1 + F.col("__before")).cast("long").alias("code"))

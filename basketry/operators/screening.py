@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.features import fit_edges
-from basketry.operators.ordered import ranges_for, running, written
+from basketry.operators.ordered import codes_of, ranges_for, running, written
 from basketry.schema import FAMILIES, FEATURE_SETS, PRUNED, family_of
 
-#: Ranges in which the values of a category are sorted; values of a class between which neighbours are looked for at once.
-CODE_RANGES, NEIGHBOUR_BLOCK = 64, 50_000
+#: Values of a class among which neighbours are looked for at once.
+NEIGHBOUR_BLOCK = 50_000
 
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], least: float = 0.95) -> DataFrame:
@@ -175,16 +175,8 @@ def candidates(spark: SparkSession) -> DataFrame:
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """value and code of each value that is not null, from 0 in the order of values.
-
-    Values are sorted in ranges that are written once; the only window without a partition is over the sizes of the ranges.
-    """
-    parts = written(df.select(F.col(column).alias("value")).where("value is not null").distinct().repartitionByRange(CODE_RANGES, "value").withColumn("__part", F.spark_partition_id()))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most CODE_RANGES rows.
-    offsets = parts.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy("value"))
-    return parts.withColumn("__k", within).join(F.broadcast(offsets), "__part").select("value", (F.col("__k") - 1 + F.col("__before")).cast("long").alias("code"))
+    """value and code of each value that is not null, from 0 in the order of values."""
+    return codes_of(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
 
 
 def feature_kind(df: DataFrame, columns: Sequence[str]) -> DataFrame:

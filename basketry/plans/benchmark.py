@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import clean, decide, metrics, models, sampling
+from basketry.sources import sinks
 
 COLUMNS = "task string, variant string, model string, status string, error string, n_train long, n_eval long, f1 double, precision double, recall double, accuracy double, mcc double, roc_auc double, average_precision double, log_loss double, mae double, rmse double, r2 double, median_ae double, seconds double"
 
 
-def run(train: DataFrame, evaluation: DataFrame, features: dict[str, list[str]], cap_train: int | None = 200_000, cap_eval: int | None = 100_000, classifiers=models.CLASSIFIERS, regressors=models.REGRESSORS) -> DataFrame:
-    """One row for each task, variant and model. features: by variant. Caps are stratified by class; None for none."""
+def run(train: DataFrame, evaluation: DataFrame, features: dict[str, list[str]], cap_train: int | None = 200_000, cap_eval: int | None = 100_000, classifiers=models.CLASSIFIERS, regressors=models.REGRESSORS, ledger: str | None = None, run_name: str = "run") -> DataFrame:
+    """One row for each task, variant and model. features: by variant. Caps are stratified by class; None for none.
+
+    ledger: a folder in which each row is kept as soon as it is there; a run of the same name goes on
+    with what it lacks, and keeps its rows of errors.
+    """
     spark, rows = train.sparkSession, []
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    floats = {c.split()[0] for c in COLUMNS.split(", ") if c.endswith("double")}
+    kept = None if ledger is None else sinks.RunLedger(spark, ledger, run_name, COLUMNS, ("task", "variant", "model"))
+    done = set() if kept is None else kept.done()
     for task in ("cls", "reg"):
         target = "order" if task == "cls" else "quantity"
         keep = (lambda df: df.where(F.col("order").isNotNull())) if task == "cls" else (lambda df: df.where(clean.stage2()))
@@ -25,12 +34,15 @@ def run(train: DataFrame, evaluation: DataFrame, features: dict[str, list[str]],
         sizes = {"n_train": t.count(), "n_eval": e.count()}
         for variant, columns in features.items():
             for kind in classifiers if task == "cls" else regressors:
-                rows.append(models.attempted(kind, task, lambda: _one(t, e, columns, kind, task, target)) | {"variant": variant} | sizes)
+                if (task, variant, kind) in done:
+                    continue
+                row = models.attempted(kind, task, lambda: _one(t, e, columns, kind, task, target)) | {"variant": variant} | sizes
+                rows.append({n: None if row.get(n) is None else float(row[n]) if n in floats else row[n] for n in names})
+                if kept is not None:
+                    kept.add(rows[-1])
         for df in sides:
             df.unpersist()
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
-    floats = {c.split()[0] for c in COLUMNS.split(", ") if c.endswith("double")}
-    return spark.createDataFrame([tuple(None if r.get(n) is None else float(r[n]) if n in floats else r[n] for n in names) for r in rows], COLUMNS)
+    return kept.rows() if kept is not None else spark.createDataFrame([tuple(r[n] for n in names) for r in rows], COLUMNS)
 
 
 def _one(train: DataFrame, evaluation: DataFrame, features: list[str], kind: str, task: str, target: str) -> dict:

@@ -9,45 +9,66 @@ from pyspark.sql import functions as F
 from basketry.operators import clean, grams, models, permute
 from basketry.operators.ordered import shared_dir
 from basketry.plans import benchmark
-from basketry.plans.frames import featured, final, train_of
+from basketry.plans.frames import featured, final, prepared, train_of
 from basketry.plans.registry import query
 from basketry.schema import feature_set
 from basketry.sources import adapter
 from basketry.streaming import blocks
 
-_FEATURES = ["price", "competitorPrice", "rrp", "day_7", "adFlag", "availability", "genericProduct", "salesIndex", "price_discount", "campaignIndex_norm", "group12"]
-
-
 def _sides(spark, sf):
-    df = featured(spark, sf)
+    """Training and validation rows with every feature of the sets, and the final features of both stages."""
+    df = final(spark, sf)
     return train_of(df), df.where("split = 'validation'")
 
 
+_CLS, _REG = feature_set("cls_final"), feature_set("reg_final")
+
+
 @query()
 def models_cls(spark, sf):
+    """All safe features, and the final ones with the history; all rows."""
     train, validation = _sides(spark, sf)
-    return benchmark.run(train, validation, {"safe": _FEATURES}, cap_train=None, cap_eval=None, regressors=()).where("task = 'cls'")
+    return benchmark.run(train, validation, {"safe": feature_set("cls_expanded_safe"), "final": _CLS}, cap_train=None, cap_eval=None, regressors=()).where("task = 'cls'")
 
 
 @query()
 def models_reg(spark, sf):
     train, validation = _sides(spark, sf)
-    return benchmark.run(train, validation, {"safe": _FEATURES}, cap_train=None, cap_eval=None, classifiers=()).where("task = 'reg'")
+    return benchmark.run(train, validation, {"safe": feature_set("reg_expanded_safe"), "final": _REG}, cap_train=None, cap_eval=None, classifiers=()).where("task = 'reg'")
 
 
 @query()
 def embedded_selection(spark, sf):
+    """Six models over all final features of their stage."""
     train, _ = _sides(spark, sf)
     out = None
     for kind in ("l1", "elastic_net", "boosted"):
-        one = models.importances(models.fit_classifier(train, _FEATURES, kind), train, _FEATURES).withColumn("model", F.lit(kind))
+        one = models.importances(models.fit_classifier(train, _CLS, kind), train, _CLS).withColumn("model", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     reg = train.where(clean.stage2())
     for kind in ("lasso", "elastic_net", "boosted"):
-        out = out.unionByName(models.importances(models.fit_regressor(reg, _FEATURES, kind), reg, _FEATURES).withColumn("model", F.lit(f"reg_{kind}")))
+        out = out.unionByName(models.importances(models.fit_regressor(reg, _REG, kind), reg, _REG).withColumn("model", F.lit(f"reg_{kind}")))
     return out
 
 
+@query()
+def boosting_rounds(spark, sf):
+    """The loss by round on the training rows that boosting is stopped by, for both stages."""
+    train, _ = _sides(spark, sf)
+    reg = train.where(clean.stage2())
+    cls = models.boosting_curve(models.fit_classifier(train, _CLS, "boosted"), train, _CLS).withColumn("task", F.lit("cls"))
+    return cls.unionByName(models.boosting_curve(models.fit_regressor(reg, _REG, "boosted"), reg, _REG, "quantity").withColumn("task", F.lit("reg")))
+
+
+@query("prep", """WITH c AS (SELECT CAST(pid AS VARCHAR) AS value, count(*) AS n, sum(CAST("order" AS DOUBLE)) AS s FROM prep WHERE split = 'train' GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS place, sum(s) OVER () / sum(n) OVER () AS overall FROM c),
+m AS (SELECT value, n, (s + 20 * overall) / (n + 20) AS mean FROM k WHERE place < 255)
+SELECT value, n, mean, CAST(row_number() OVER (ORDER BY round(mean, 12), value) - 1 AS INTEGER) AS code FROM m""", "mean")
+def ordered_codes(spark, sf):
+    """The codes of a category of many values (the product) for trees."""
+    return models.ordered_codes(train_of(prepared(spark, sf)), "pid", "order")
+
+
 @query()
 def ablation(spark, sf):
     """All nine families, left out of and added to the final features of both stages."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketry.functions import numeric, text
 from basketry.operators import audit, clean, decide, guards, metrics, screening
 from basketry.plans.frames import featured, grid, predicted, prepared, scored, split_grid
 from basketry.plans.registry import query
@@ -47,7 +48,11 @@ def incumbent_match(spark, sf):
     return one.unionByName(guards.one_match(g, at).select(F.lit("any model").alias("name"), "*"))
 
 
-@query("grid", " UNION ALL ".join(f"""SELECT model, '{m}' AS metric, CAST({v} AS DOUBLE) AS actual, CAST({v} AS DOUBLE) AS expected, true AS valid FROM grid WHERE model = 'chars' AND threshold = CAST(50 AS DOUBLE) / 100""" for m, v in (("tp", "tp"), ("fp", "fp"), ("f1", "f1"), ("mcc", "mcc"))), "actual expected")
+@query("grid", """WITH c AS (SELECT CAST(count(*) FILTER (score >= 0.5 AND y = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (score >= 0.5 AND y = 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (score < 0.5 AND y = 1) AS DOUBLE) AS fn, CAST(count(*) FILTER (score < 0.5 AND y = 0) AS DOUBLE) AS tn FROM models WHERE model = 'chars'),
+a AS (SELECT 'tp' AS metric, tp AS actual FROM c UNION ALL SELECT 'fp', fp FROM c UNION ALL SELECT 'f1', CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END FROM c
+  UNION ALL SELECT 'mcc', CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0 ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END FROM c),
+e AS (UNPIVOT (SELECT CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, f1, mcc FROM grid WHERE model = 'chars' AND threshold = CAST(50 AS DOUBLE) / 100) ON tp, fp, f1, mcc INTO NAME metric VALUE expected)
+SELECT 'chars' AS model, metric, actual, expected, abs(actual - expected) <= 0.000001 AS valid FROM a JOIN e USING (metric)""", "actual expected")
 def pinned_metrics(spark, sf):
     """The confusion counts made from all rows against the row of the grid."""
     actual = metrics.confusion(scored(spark, sf).where("model = 'chars'"), 0.5).withColumn("model", F.lit("chars"))
@@ -259,3 +264,29 @@ SELECT 'chars' AS primary_model, *, CASE WHEN is_sample THEN 'sample run, no dec
 def overall_decision(spark, sf):
     sizes = decide.sample_run(scored(spark, sf).where("model = 'chars' and doc_id % 2 = 0"), adapter.fact(spark, sf), 10, 100)
     return decide.overall_decision(_deltas(spark, sf), sizes, "chars", "v0", ("f1", "mcc"))
+
+
+@query("feat", """SELECT "lineID", regexp_replace(CAST(CAST(pid AS DOUBLE) AS VARCHAR), '\\.0$', '') AS code, CAST(round("order" * 100.0, 2) AS DECIMAL(9, 2)) || '%' AS share,
+CASE WHEN "competitorPrice" IS NULL THEN NULL ELSE abs(price - "competitorPrice") <= 0.01 + 0.02 * abs("competitorPrice") END AS same_price,
+CASE WHEN price_diff < -0.002 THEN 'worse' WHEN price_diff > 0.002 THEN 'better' ELSE 'close' END AS verdict,
+CASE WHEN price <= 9 AND price >= 8 THEN 'low' WHEN price <= 10 AND price > 9 THEN 'middle' WHEN price <= 12.5 AND price > 10 THEN 'high' END AS band FROM feat""")
+def shown_values(spark, sf):
+    """Codes without a decimal part, shares as text, prices that are close, verdicts on a difference, and fixed bands."""
+    df = featured(spark, sf)
+    return df.select(
+        "lineID", text.without_point_zero(C("pid").cast("double").cast("string")).alias("code"), text.percent(C("order").cast("double")).alias("share"),
+        numeric.is_close(C("price"), C("competitorPrice"), 0.01, 0.02).alias("same_price"), decide.verdict(C("price_diff")).alias("verdict"), numeric.labelled(C("price"), (8, 9, 10, 12.5), ("low", "middle", "high")).alias("band"),
+    )
+
+
+@query("prep", """SELECT 'safe' AS kind, count(*) AS n_features, avg(score) AS mean_score, arg_max(feature, (score, feature)) AS best_feature FROM (
+""" + " UNION ALL ".join(f"""SELECT '{c}' AS feature, abs(corr("{c}", "order")) AS score FROM prep""" for c in ("price", "competitorPrice", "day", "adFlag")) + ")", "mean_score")
+def safe_vs_conditional(spark, sf):
+    scores = prepared(spark, sf).agg(*(F.abs(F.corr(c, "order")).alias(c) for c in ("price", "competitorPrice", "day", "adFlag")))
+    return screening.safe_vs_conditional(scores.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("score")) for c in scores.columns)))))
+
+
+@query("models", "SELECT model, count(score) AS n, min(score) AS least, avg(score) AS mean, max(score) AS greatest FROM models GROUP BY model", "mean")
+def described_scores(spark, sf):
+    """How many probabilities each model gave, and their range."""
+    return scored(spark, sf).groupBy("model").agg(F.count("score").alias("n"), F.min("score").alias("least"), F.avg("score").alias("mean"), F.max("score").alias("greatest"))

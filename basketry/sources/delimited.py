@@ -80,17 +80,29 @@ def read_mapping(spark: SparkSession, candidates: Sequence[str]) -> DataFrame |
 
 
 def read_predictions(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Predictions exported by a desktop tool: two metadata rows after the header are left out, if they are there.
+    """Predictions exported by a desktop tool, one file or several with the same header: the two rows after a file's header are left out if both hold metadata.
 
-    All columns are read as text and cast; a row counts as metadata by its cells, since rows of a
-    distributed read have no position.
+    Rows are known by their position: those of a file's first split are numbered in order, so the
+    header has the least number of its file and the two rows the next ones. All other rows stay, also
+    such as look like metadata; all columns are read as text and cast. Cells hold no line breaks.
     """
-    raw = spark.read.option("sep", sep).option("header", True).csv(require_path(spark, path))
+    header = [c.strip().strip('"') for c in header_line(spark, path).split(sep)]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("k"))
+    columns = StructType()
+    for k in range(len(header)):
+        columns = columns.add(f"c{k}", "string")
+    cells = lines.withColumn("x", F.from_csv(F.regexp_replace("value", "^\uFEFF", ""), columns.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": sep}))
     marks = F.lit(True)
-    for c in raw.columns:
-        marks = marks & (F.col(f"`{c}`").isNull() | F.lower(F.trim(F.col(f"`{c}`"))).isin(*METADATA_CELLS) | F.col(f"`{c}`").rlike("^[a-z]+=.*"))
-    rows = raw.where(~marks)
-    return rows.select(*(F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns))
+    for k in range(len(header)):
+        x = F.col(f"x.c{k}")
+        marks = marks & (x.isNull() | F.lower(F.trim(x)).isin(*METADATA_CELLS) | x.rlike("^[a-z]+=.*"))
+    # A row for each file.
+    firsts = lines.where("start = 0").groupBy(F.col("file").alias("of")).agg(F.min("k").alias("first"))
+    placed = cells.join(F.broadcast(firsts), F.col("file") == F.col("of"), "left").withColumn("place", F.when(F.col("start") == 0, F.col("k") - F.col("first")))
+    held = placed.where(F.col("place").between(1, 2)).groupBy(F.col("file").alias("in")).agg((F.bool_and(marks) & (F.count("*") == 2)).alias("metadata"))
+    rows = placed.join(F.broadcast(held), F.col("file") == F.col("in"), "left").where(F.col("place").isNull() | (F.col("place") > F.when(F.coalesce("metadata", F.lit(False)), 2).otherwise(0)))
+    # Lines without a sign are no rows.
+    return rows.where(F.length(F.trim("value")) > 0).select(*(F.col(f"x.c{k}").try_cast("double").alias(c) for k, c in enumerate(header)))
 
 
 def load_exports(spark: SparkSession, paths: Mapping[str, str], target: str) -> DataFrame:

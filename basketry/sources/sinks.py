@@ -58,6 +58,39 @@ def append_json(df: DataFrame, path: str) -> str:
     return path
 
 
+class RunLedger:
+    """Rows of a run that are kept as soon as each is there, so that a broken run goes on where it stopped.
+
+    A row is appended once its work has ended, well or with an error, under a key within the run; before
+    the work the ledger is asked for that key. A row that was written twice, by a run that broke
+    between its work and its note of it, counts once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, run: str, schema: str, key: Sequence[str]):
+        self.spark, self.path, self.run, self.schema, self.key = spark, path, run, f"run string, {schema}", tuple(key)
+
+    def rows(self) -> DataFrame:
+        """All rows of the run."""
+        if not _exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema).drop("run")
+        held = self.spark.read.schema(self.schema).json(self.path).where(F.col("run") == self.run)
+        return held.dropDuplicates(["run", *self.key]).drop("run")
+
+    def done(self) -> set[tuple]:
+        """The keys of the run's rows; as many as the run has pieces of work."""
+        return {tuple(r[k] for k in self.key) for r in self.rows().select(*self.key).collect()}
+
+    def add(self, row: Mapping) -> None:
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        one = self.spark.createDataFrame([tuple(({"run": self.run} | dict(row)).get(n) for n in names)], self.schema)
+        append_json(one.coalesce(1), self.path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def export_frame(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Features in order and the target last, categories as text, with a prefix where they look like numbers."""
     require_columns(df.columns, [*features, target], "export")
