@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from basketry import schema
 from basketry.functions.numeric import week_block
 from basketry.operators import audit, clean, features, guards, history, sampling, segment
+from basketry.operators.encoding_store import EncodingStore, encoded, later_history
+from basketry.operators.ordered import written
 from basketry.schema import Config
 from basketry.sources import sinks
 
@@ -73,6 +75,21 @@ def conditional(df: DataFrame, config: Config) -> DataFrame:
     return own.unionByName(later)
 
 
+def store_of(spark: SparkSession, folder: str) -> EncodingStore:
+    """The sums that a build of mode safe_plus_conditional has left, to be read or added to."""
+    return EncodingStore(spark, f"{folder}/metadata/encodings")
+
+
+def score_later(fact: DataFrame, dim: DataFrame, folder: str, config: Config = Config()) -> DataFrame:
+    """Rows that come after all rows of a build, with every feature, from what the build has stored; its fact is not read."""
+    spark = fact.sparkSession
+    df = clean.prepare(fact, dim, config)
+    df = features.safe_row_features(df.withColumn("week_block", week_block(F.col("day"), config.train_days[0])))
+    store = store_of(spark, folder)
+    df = apply(df, load_artefacts(spark, f"{folder}/metadata/artefacts"))
+    return encoded(later_history(df, store, config.train_days[0]), written(store.cells()))
+
+
 def matrices(df: DataFrame, mode: str) -> dict[str, tuple[DataFrame, list[str], str]]:
     """name: (frame, features, target) for every stage, set and split, as lazy projections."""
     out = {}
@@ -112,7 +129,9 @@ def run(fact: DataFrame, dim: DataFrame, folder: str, mode: str = "safe_only", c
     first = spark.read.parquet(sinks.save_parquet(base(fact, dim, config), f"{folder}/staging/base.parquet"))
     df = apply(first, load_artefacts(spark, save_artefacts(fit(first, config), f"{folder}/metadata/artefacts")))
     if mode == "safe_plus_conditional":
-        df = conditional(spark.read.parquet(sinks.save_parquet(df, f"{folder}/staging/safe.parquet")), config)
+        safe = spark.read.parquet(sinks.save_parquet(df, f"{folder}/staging/safe.parquet"))
+        store_of(spark, folder).add(safe.where("split = 'train'"), safe, "build", config.train_days[0])
+        df = conditional(safe, config)
     df.write.mode("overwrite").partitionBy("split").parquet(featured)
     df = spark.read.parquet(featured)
     audit.assert_clean(df, audit.preprocessing_checks(), "cleaning")

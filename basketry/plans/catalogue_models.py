@@ -7,17 +7,18 @@ import uuid
 from pyspark.sql import functions as F
 
 from basketry.operators import clean, grams, models, permute
+from basketry.operators.encoding_store import EncodingStore, encoded, later_history
 from basketry.operators.ordered import shared_dir
 from basketry.plans import benchmark
-from basketry.plans.frames import featured, final, prepared, train_of
+from basketry.plans.frames import featured, final, prepared, safe, train_of
 from basketry.plans.registry import query
 from basketry.schema import feature_set
 from basketry.sources import adapter
 from basketry.streaming import blocks
 
-def _sides(spark, sf):
-    """Training and validation rows with every feature of the sets, and the final features of both stages."""
-    df = final(spark, sf)
+def _sides(spark, sf, frame=final):
+    """Training and validation rows."""
+    df = frame(spark, sf)
     return train_of(df), df.where("split = 'validation'")
 
 
@@ -26,15 +27,15 @@ _CLS, _REG = feature_set("cls_final"), feature_set("reg_final")
 
 @query()
 def models_cls(spark, sf):
-    """All safe features, and the final ones with the history; all rows."""
-    train, validation = _sides(spark, sf)
-    return benchmark.run(train, validation, {"safe": feature_set("cls_expanded_safe"), "final": _CLS}, cap_train=None, cap_eval=None, regressors=()).where("task = 'cls'")
+    """All 35 safe features and all rows."""
+    train, validation = _sides(spark, sf, safe)
+    return benchmark.run(train, validation, {"safe": feature_set("cls_expanded_safe")}, cap_train=None, cap_eval=None, regressors=()).where("task = 'cls'")
 
 
 @query()
 def models_reg(spark, sf):
-    train, validation = _sides(spark, sf)
-    return benchmark.run(train, validation, {"safe": feature_set("reg_expanded_safe"), "final": _REG}, cap_train=None, cap_eval=None, classifiers=()).where("task = 'reg'")
+    train, validation = _sides(spark, sf, safe)
+    return benchmark.run(train, validation, {"safe": feature_set("reg_expanded_safe")}, cap_train=None, cap_eval=None, classifiers=()).where("task = 'reg'")
 
 
 @query()
@@ -60,6 +61,28 @@ def boosting_rounds(spark, sf):
     return cls.unionByName(models.boosting_curve(models.fit_regressor(reg, _REG, "boosted"), reg, _REG, "quantity").withColumn("task", F.lit("reg")))
 
 
+_STORED = ("pid_prob", "availability_likelihood", "day_7_likelihood", "group12_order", "week_order")
+
+
+def _stored_sql() -> str:
+    of = {"pid_prob": "pid", "availability_likelihood": "availability", "day_7_likelihood": "day_7", "group12_order": "group12", "week_order": "week_block"}
+    values = ", ".join(f"""coalesce(CASE WHEN f."{of[n]}" IS NOT NULL THEN (SELECT avg(CAST(t."order" AS DOUBLE)) FROM t WHERE t."{of[n]}" = f."{of[n]}") END, (SELECT avg(CAST("order" AS DOUBLE)) FROM t)) AS {n}""" for n in _STORED)
+    counts = ", ".join(f"""(SELECT CAST(coalesce(sum({v}), 0) AS BIGINT) FROM feat p WHERE p.day >= 26 AND p.pid = f.pid AND (p.day, p."lineID") < (f.day, f."lineID")) AS {n}""" for n, v in (("pid_total_events", "1"), ("order_time", 'p."order"')))
+    return f"""WITH t AS (SELECT * FROM feat WHERE split = 'train') SELECT "lineID", {values}, {counts} FROM feat f WHERE split = 'validation'"""
+
+
+@query("feat", _stored_sql(), " ".join(_STORED))
+def later_rows(spark, sf):
+    """The conditional features of the validation rows from stored sums of the earlier rows alone, added in two batches."""
+    df = featured(spark, sf).where("split is not null")
+    store = EncodingStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    early = F.col("day") < 54
+    store.add(df.where(early & (F.col("split") == "train")), df.where(early), "early")
+    store.add(df.where(~early & (F.col("split") == "train")), df.where(~early & (F.col("split") != "validation")), "late")
+    rows = later_history(df.where("split = 'validation'"), store)
+    return encoded(rows, store.cells()).select("lineID", *_STORED, "pid_total_events", "order_time")
+
+
 @query("prep", """WITH c AS (SELECT CAST(pid AS VARCHAR) AS value, count(*) AS n, sum(CAST("order" AS DOUBLE)) AS s FROM prep WHERE split = 'train' GROUP BY 1),
 k AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS place, sum(s) OVER () / sum(n) OVER () AS overall FROM c),
 m AS (SELECT value, n, (s + 20 * overall) / (n + 20) AS mean FROM k WHERE place < 255)

@@ -22,10 +22,15 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.safe_row_features(prepared(spark, sf_dir))
 
 
-def final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of all splits with every feature, safe and conditional, as the build writes them; a written table."""
+def safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all splits with every safe feature, as the build writes them; a written table."""
     first = written(build.base(adapter.fact(spark, sf_dir), adapter.dim(spark, sf_dir), Config()))
-    return written(build.conditional(written(build.apply(first, build.fit(first, Config()))), Config()))
+    return written(build.apply(first, build.fit(first, Config())))
+
+
+def final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the conditional features."""
+    return written(build.conditional(safe(spark, sf_dir), Config()))
 
 
 def train_of(df: DataFrame) -> DataFrame:
