@@ -96,7 +96,11 @@ def order_statistics(df: DataFrame, columns: Sequence[str], points: Sequence[flo
     """
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*by, "x.feature", "x.v").where("v is not null")
     keys = [*by, "feature"]
-    counts = written(long.groupBy(*keys, "v").agg(F.count("*").alias("n")))
+    return places(written(long.groupBy(*keys, "v").agg(F.count("*").alias("n"))), keys, points)
+
+
+def places(counts: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """The same from a written table of counts (keys, v, n); `feature` is among the keys."""
     placed = running(counts, "v", {"before": "n"}, keys, edges_by=["feature"])
     sizes = counts.groupBy(*(F.col(c).alias(f"__s_{k}") for k, c in enumerate(keys))).agg(F.sum("n").alias("size"))
     same = F.lit(True)

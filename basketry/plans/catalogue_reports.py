@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basketry.operators import audit, clean, decide, metrics, rollup, sampling, screening, segment
 from basketry.plans.frames import featured, grid, predicted, prepared, scored, split_grid, train_of
 from basketry.plans.registry import query
-from basketry.schema import FEATURE_SETS
+from basketry.schema import FEATURE_SETS, family_of
 from basketry.sources import adapter
 
 C = F.col
@@ -256,18 +256,68 @@ def _digamma(x: str) -> str:
     return f"(ln({up}) - 1 / (2 * {up}) - 1 / (12 * {up} * {up}) + 1 / (120 * pow({up}, 4)) - 1 / (252 * pow({up}, 6)) - list_sum(list_transform(range(60), lambda j: 1 / (CAST({x} AS DOUBLE) + j))))"
 
 
-@query("feat", f"""WITH x AS (SELECT u.f AS f, u.v AS v, y FROM (SELECT unnest([{", ".join(f"{{'f': '{c}', 'v': CAST(" + '"' + c + '"' + " AS DOUBLE)}" for c in _NUMBERS)}]) AS u, "order" AS y FROM feat) WHERE u.v IS NOT NULL AND y IS NOT NULL),
+_KNN = f"""WITH x AS (SELECT u.f AS f, u.v AS v, y FROM (SELECT unnest([{", ".join(f"{{'f': '{c}', 'v': CAST(" + '"' + c + '"' + " AS DOUBLE)}" for c in _NUMBERS)}]) AS u, "order" AS y FROM feat) WHERE u.v IS NOT NULL AND y IS NOT NULL),
 t AS (SELECT f, y, count(*) AS n_y FROM x GROUP BY ALL HAVING count(*) > 1),
 e AS (SELECT f, y, v, n_y, list(v) OVER (PARTITION BY f, y ORDER BY v ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM x JOIN t USING (f, y)),
 d AS (SELECT f, y, v, n_y, least(3, n_y - 1) AS k, max(list_sort(list_transform(near, lambda z: abs(z - v)))[least(3, n_y - 1) + 1]) AS d, count(*) AS n FROM e GROUP BY f, y, v, n_y),
 g AS (SELECT f, v AS w, sum(n) AS here FROM d GROUP BY ALL),
 m AS (SELECT d.f, d.y, d.v, sum(here) AS m FROM d JOIN g ON g.f = d.f AND w > v - d AND w < v + d WHERE d > 0 GROUP BY ALL UNION ALL SELECT d.f, d.y, d.v, here FROM d JOIN g ON g.f = d.f AND w = v WHERE d = 0)
-SELECT f AS feature, CAST(sum(n) AS BIGINT) AS n, greatest(0, {_digamma("sum(n)")} + sum(n * ({_digamma("k")} - {_digamma("n_y")} - {_digamma("m")})) / sum(n)) AS knn_mi FROM d JOIN m USING (f, y, v) GROUP BY f""", "knn_mi")
+SELECT f AS feature, CAST(sum(n) AS BIGINT) AS n, greatest(0, {_digamma("sum(n)")} + sum(n * ({_digamma("k")} - {_digamma("n_y")} - {_digamma("m")})) / sum(n)) AS knn_mi FROM d JOIN m USING (f, y, v) GROUP BY f"""
+
+
+@query("feat", _KNN, "knn_mi")
 def knn_mi(spark, sf):
     """Nearest-neighbour mutual information of every numeric feature with the order, over all rows."""
     return screening.knn_mutual_information(featured(spark, sf), _NUMBERS, "order")
 
 
+_WORDS = ("category_norm", "pharmForm_norm", "campaignIndex_norm", "group12", "group34")
+_FAMILY = {c: family_of(c) for c in (*_NUMBERS, *_WORDS)}
+
+
+def _filter_sql() -> str:
+    long = ", ".join([*(f"{{'f': '{c}', 'v': CAST(" + f'"{c}"' + " AS DOUBLE), 's': CAST(NULL AS VARCHAR)}" for c in _NUMBERS), *(f"{{'f': '{c}', 'v': CAST(NULL AS DOUBLE), 's': " + f'"{c}"' + "}" for c in _WORDS)])
+    families = ", ".join(f"('{c}', '{f}', {str(c in _WORDS).lower()})" for c, f in _FAMILY.items())
+    return f"""WITH fam(f, family, is_text) AS (VALUES {families}),
+z AS (SELECT u.f AS f, u.v AS v, u.s AS s, y FROM (SELECT unnest([{long}]) AS u, "order" AS y FROM feat)),
+a AS (SELECT f, count(*) AS n_rows, count(*) FILTER (v IS NULL AND s IS NULL) AS n_missing FROM z GROUP BY f),
+h AS (SELECT f, coalesce(s, CAST(v AS VARCHAR)) AS x, count(*) AS n FROM z WHERE v IS NOT NULL OR s IS NOT NULL GROUP BY ALL),
+u AS (SELECT f, count(*) AS n_unique, max(n) AS first, (list_sort(list(n), 'DESC'))[2] AS second FROM h GROUP BY f),
+q AS (SELECT f, list_sort(list_distinct(list_transform(quantile_cont(v, [CAST(k AS DOUBLE) / 10 for k in range(0, 11)]), lambda x: round(x, 9)))) AS e FROM z WHERE v IS NOT NULL GROUP BY f),
+b AS (SELECT f, CASE WHEN s IS NULL THEN CAST(len(list_filter(e[2:-2], lambda x: x < v)) AS VARCHAR) ELSE s END AS b, y FROM z LEFT JOIN q USING (f) WHERE v IS NOT NULL OR s IS NOT NULL),
+o AS (SELECT f, b, y, count(*) AS o FROM b GROUP BY ALL),
+g AS (SELECT r.f, r.b, c.y, coalesce(o.o, 0) AS o, CAST(r.r AS DOUBLE) * c.c / n.n AS ex, n.n FROM (SELECT f, b, sum(o) AS r FROM o GROUP BY ALL) r JOIN (SELECT f, y, sum(o) AS c FROM o GROUP BY ALL) c USING (f)
+  JOIN (SELECT f, sum(o) AS n FROM o GROUP BY f) n USING (f) LEFT JOIN o ON o.f = r.f AND o.b = r.b AND o.y = c.y),
+t AS (SELECT f, max(n) AS n, (count(DISTINCT b) - 1) * (count(DISTINCT y) - 1) AS dof, sum(pow(o - ex, 2) / ex) AS plain, sum(pow(abs(o - ex) - least(0.5, abs(o - ex)), 2) / ex) AS yates, sum(CASE WHEN o > 0 THEN CAST(o AS DOUBLE) / n * ln(o / ex) ELSE 0 END) AS table_mi FROM g GROUP BY f),
+rk AS (SELECT f, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY f ORDER BY y) + (count(*) OVER (PARTITION BY f, y) - 1) / 2.0 AS ry FROM z WHERE v IS NOT NULL),
+sp AS (SELECT f, CASE WHEN count(*) >= 20 AND min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS spearman FROM rk GROUP BY f),
+k AS ({_KNN}),
+m AS (SELECT f AS feature, family, is_text, n_rows, CAST(n_missing AS DOUBLE) / n_rows AS missing_rate, coalesce(n_unique, 0) AS n_unique, coalesce(n_unique, 0) <= 1 AS is_constant,
+  CAST(coalesce(n_unique, 0) AS DOUBLE) / n_rows < 0.01 AND (second IS NULL OR CAST(first AS DOUBLE) / second > 19 OR coalesce(n_unique, 0) <= 1) AS near_zero_variance,
+  CASE WHEN t.n >= 20 AND dof >= 1 THEN CASE WHEN dof = 1 THEN yates ELSE plain END END AS chi2, CASE WHEN is_text THEN greatest(0, table_mi) ELSE knn_mi END AS mutual_information, spearman
+  FROM fam JOIN a USING (f) LEFT JOIN u USING (f) LEFT JOIN t USING (f) LEFT JOIN sp USING (f) LEFT JOIN k ON k.feature = f)
+SELECT feature, family, CASE WHEN is_text THEN 'categorical' WHEN n_unique <= 2 THEN 'binary' ELSE 'numeric' END AS kind, n_rows, missing_rate, n_unique, is_constant, near_zero_variance, chi2, mutual_information, spearman,
+  concat_ws('; ', CASE WHEN is_constant THEN 'CONSTANT' END, CASE WHEN near_zero_variance AND NOT is_constant THEN 'NEAR_ZERO_VAR' END, CASE WHEN missing_rate > 0.5 THEN 'HIGH_MISSING' END) AS notes FROM m"""
+
+
+@query("feat", _filter_sql(), "missing_rate chi2 mutual_information spearman", 6)
+def filter_report(spark, sf):
+    """All figures of every safe feature that needs no fit against the order, from one pass."""
+    return screening.filter_report(featured(spark, sf), [*_NUMBERS, *_WORDS], "order")
+
+
+_PAIRS = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': corr(CASE WHEN \"{b}\" IS NOT NULL THEN CAST(\"{a}\" AS DOUBLE) END, CASE WHEN \"{a}\" IS NOT NULL THEN CAST(\"{b}\" AS DOUBLE) END)}}" for k, a in enumerate(_NUMBERS) for b in _NUMBERS[k + 1 :])
+
+
+@query("feat", f"""WITH r AS ({_filter_sql()}), p AS (SELECT unnest([{_PAIRS}]) AS u FROM feat), twins AS (SELECT DISTINCT unnest([u.a, u.b]) AS twin FROM p WHERE abs(u.r) >= 0.95 AND NOT isnan(u.r)),
+g AS (SELECT family, count(*) AS n_features, avg(missing_rate) AS mean_missing_rate, avg(mutual_information) AS mean_information, count(*) FILTER (near_zero_variance) AS n_flat, coalesce(string_agg(twin, ', ' ORDER BY twin), '') AS redundant_features FROM r LEFT JOIN twins ON twin = feature GROUP BY family)
+SELECT *, coalesce(nullif(concat_ws('; ', CASE WHEN mean_information > 0.002 THEN 'relevant' END, CASE WHEN redundant_features <> '' THEN 'has redundancy' END, CASE WHEN n_flat > 0 THEN n_flat || ' near-zero variance' END), ''), 'neutral') AS assessment FROM g""", "mean_missing_rate mean_information", 6)
+def assessed_families(spark, sf):
+    """What the filter report and the redundant pairs say of each family."""
+    df = featured(spark, sf)
+    return screening.assessed_families(screening.filter_report(df, [*_NUMBERS, *_WORDS], "order"), screening.redundant_pairs(df, _NUMBERS))
+
+
 @query("prep", """SELECT CASE WHEN feature IN ('price', 'competitorPrice') THEN 'price_absolute' ELSE 'time' END AS family, count(*) AS n_features, avg(abs(r)) AS mean_score, max(abs(r)) AS max_score, string_agg(feature, ', ' ORDER BY feature) AS features
 FROM (""" + " UNION ALL ".join(f"""SELECT '{c}' AS feature, corr(rx, ry) AS r FROM (SELECT {_rank("x")} AS rx, {_rank("y")} AS ry FROM (SELECT "{c}" AS x, "order" AS y FROM prep WHERE "{c}" IS NOT NULL))""" for c in ("price", "competitorPrice", "day")) + ") GROUP BY 1", "mean_score max_score", 6)
 def family_report(spark, sf):
