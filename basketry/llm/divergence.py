@@ -290,8 +290,8 @@ def audit(docs: DataFrame, *, least: int = 30, top: int = 50, tile: int = TILE,
     least: documents of a language that must hold a term. tile: sources of a language that are paired in one task.
     """
     rows = docs.select(text_or_empty(lang_col).alias("lang"), text_or_empty(source_col).alias("source"), text_or_empty(text_col).cast("binary").alias("text"))
-    # The hash comes first, so that two terms differ in a number; strings are compared within a run.
-    records = rows.mapInArrow(_records, ddl(RECORDS)).withColumn("key", F.xxhash64("lang", "term"))
+    # The hash comes first, so that two terms mostly differ in a number; strings are compared within a run. Four bytes do, since equal hashes only cost such a comparison.
+    records = rows.mapInArrow(_records, ddl(RECORDS)).withColumn("key", F.hash("lang", "term"))
     kept = cut(records.repartition("key").sortWithinPartitions("key", "lang", "term", "source", "document").mapInArrow(_runs(least), ddl(KEPT)))
 
     by_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))

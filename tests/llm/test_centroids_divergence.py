@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketry.llm import centroids, divergence
@@ -149,7 +150,7 @@ def test_long_texts_and_small_shares(spark, monkeypatch):
 
 
 def test_long_texts_are_counted_like_others(monkeypatch):
-    import pyarrow as pa
+
 
     class Context:
         partitionId = staticmethod(lambda: 0)
@@ -164,3 +165,10 @@ def test_long_texts_are_counted_like_others(monkeypatch):
 def test_probabilities_beyond_64_bits():
     n = np.array([0, 10**10, 10**12], np.int64)
     assert divergence.probability(n, 10**13, 7).tolist() == [1 + 10**9 * (int(x) + 5) // (10**13 + 35) for x in n]
+
+
+def test_terms_of_equal_hash_stay_apart():
+    rows = [("de", "a", "s", 2, 5), ("en", "a", "s", 1, 1), ("en", "a", "t", 2, 4), ("en", "b", "s", 2, 2), ("en", "c", "s", 3, 3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in some]) for c in range(3)] + [pa.array([9] * len(some), pa.int32())] + [pa.array([r[c] for r in some]) for c in (3, 4)], names=["lang", "term", "source", "key", "docs", "n"]) for some in (rows[:2], rows[2:4], rows[4:])]
+    got = [tuple(r.values()) for b in divergence._runs(3)(batches) for r in b.to_pylist()]
+    assert got == [("en", "a", "s", 1, 5, True), ("en", "a", "t", 4, 5, False), ("en", "c", "s", 3, 3, True)]
