@@ -112,13 +112,14 @@ def _gram_sql() -> str:
     columns = [*_GRAM, "order"]
     pairs = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'covariance': avg(\"{a}\" * \"{b}\")}}" for k, a in enumerate(columns) for b in columns[k:])
     inner = ", ".join(f'{code(c)} AS "{c}"' for c in columns)
-    return f"SELECT u.a AS a, u.b AS b, u.covariance AS covariance FROM (SELECT unnest([{pairs}]) AS u FROM (SELECT {inner} FROM feat WHERE split = 'train'))"
+    return f"SELECT u.a AS a, u.b AS b, CASE WHEN abs(u.covariance) < 0.000000001 THEN 0 ELSE u.covariance END AS covariance FROM (SELECT unnest([{pairs}]) AS u FROM (SELECT {inner} FROM feat WHERE split = 'train'))"
 
 
 @query("feat", _gram_sql(), "covariance", 6)
 def gram_matrix(spark, sf):
     """Mean products of all safe features and the order over the training rows."""
-    return grams.gram(train_of(featured(spark, sf)), _GRAM, "order")
+    # What rounding leaves of a zero has no sign.
+    return grams.gram(train_of(featured(spark, sf)), _GRAM, "order").withColumn("covariance", F.when(F.abs("covariance") < 1e-9, 0.0).otherwise(F.col("covariance")))
 
 
 @query()
