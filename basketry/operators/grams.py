@@ -22,7 +22,7 @@ from basketry.operators.models import split_types
 from basketry.operators.ordered import written
 from basketry.schema import FAMILIES
 
-#: Families that are left out and added as one.
+#: Families that are left out and added as one; fixed values.
 MERGED = {"conditional_history": ("conditional_cumulative", "conditional_aggregation"), "conditional_oof_segment": ("conditional_oof", "conditional_segment")}
 
 
