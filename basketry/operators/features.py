@@ -60,17 +60,22 @@ def clip_and_bin(df: DataFrame, columns: Mapping[str, str], bins: int = 10) -> D
     at = lambda x: between(x["a"], x["b"], x["part"])
     low, high = at(F.col("ends")[0]), at(F.col("ends")[1])
     edges = F.transform(F.slice("ends", 3, bins + 1), lambda x: between(numeric.clipped(x["a"], low, high), numeric.clipped(x["b"], low, high), x["part"]))
-    fitted = found.select("feature", F.struct(low.alias("low"), high.alias("high"), numeric.edges_of(edges).alias("edges")).alias("fit"))
-    # One row of a few dozen numbers.
-    one = F.broadcast(fitted.agg(*(F.max(F.when(F.col("feature") == c, F.col("fit"))).alias(f"__{c}") for c in columns)))
-    out = df.join(one)
+    e = F.col("edges")
+    labels = F.transform(F.sequence(F.lit(1), F.size(e)), lambda k: F.format_string("(%.3f, %.3f]", F.element_at(e, k), F.element_at(e, F.least(k + 1, F.size(e)))))
+    # A row of a few dozen numbers for each column: they become constants of the plan.
+    fits = {r["feature"]: r for r in found.select("feature", low.alias("low"), high.alias("high"), numeric.edges_of(edges).alias("edges")).withColumn("labels", labels).collect()}
+    out = df
     for c, name in columns.items():
-        fit = F.col(f"__{c}")
-        x, e = numeric.clipped(F.col(c), fit["low"], fit["high"]), fit["edges"]
-        place = F.greatest(F.lit(1), F.size(F.filter(e, lambda y: y < F.round(x, 9))))  # noqa: B023
-        label = F.format_string("(%.3f, %.3f]", F.element_at(e, place), F.element_at(e, F.least(place + 1, F.size(e))))
-        out = out.withColumn(name, F.when(x.isNotNull(), label))
-    return out.drop(*(f"__{c}" for c in columns))
+        label = F.lit(None).cast("string")
+        if c in fits:
+            fit = fits[c]
+            x = numeric.clipped(F.col(c), fit["low"], fit["high"])
+            label = F.lit(fit["labels"][-1])
+            for edge, text in reversed(list(zip(fit["edges"][1:], fit["labels"], strict=False))):
+                label = F.when(F.round(x, 9) <= edge, text).otherwise(label)
+            label = F.when(x.isNotNull(), label)
+        out = out.withColumn(name, label)
+    return out
 
 
 def fit_frequency(train: DataFrame, column: str) -> DataFrame:

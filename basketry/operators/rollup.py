@@ -38,9 +38,13 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFram
     return df.groupBy(row).pivot(column, list(values)).count().na.fill(0)
 
 
-def first_by(column: str, order: Sequence[str]) -> Column:
-    """The first non-null value of a group in a total order: no sort, one aggregate."""
-    keys = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c).alias(f"v_{c}"))))
+def order_keys(order: Sequence[str]) -> Column:
+    """A total order of the columns, null last."""
+    return F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c).alias(f"v_{c}"))))
+
+
+def first_by(column: str, keys: Column) -> Column:
+    """The first non-null value of a group in the order of keys: no sort, one aggregate."""
     return F.min_by(column, F.when(F.col(column).isNotNull(), keys))
 
 
@@ -60,9 +64,10 @@ def core_daily(df: DataFrame) -> DataFrame:
     a product, so they are taken in the same aggregate.
     """
     firsts = [c for c in DAILY_FIRST if c in df.columns]
-    days = df.groupBy("day", "pid").agg(
+    # The keys are made once for a row, before the aggregate.
+    days = df.withColumn("__keys", order_keys(firsts)).groupBy("day", "pid").agg(
         F.count("lineID").alias("n_events"), F.sum("click").alias("n_click"), F.sum("basket").alias("n_basket"), F.sum("order").alias("n_order"), F.median("price").alias("price"),
-        *(first_by(c, firsts).alias(c) for c in firsts), *(F.first(c, ignorenulls=True).alias(c) for c in STATIC),
+        *(first_by(c, F.col("__keys")).alias(c) for c in firsts), *(F.first(c, ignorenulls=True).alias(c) for c in STATIC),
     )
     # Written, since the segments are made from it and joined to it.
     days = written(days).withColumns({f"{a}_rate": F.col(f"n_{a}") / F.col("n_events") for a in ("click", "basket", "order")})
