@@ -356,6 +356,23 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("vec_id is null"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_queries_that_are_unlike_the_other_rows(spark):
+    """The rows lie in tight clusters, each within one list; the queries lie anywhere, so their neighbours are in many lists."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 32))[rng.integers(0, 200, 6000)] + 0.05 * rng.standard_normal((6000, 32))
+    x[::100] = rng.standard_normal((60, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(set)
+    for r in neighbours.search(table, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.95 * 600
+
+
 def test_lists_and_sample_grow_within_their_bounds(monkeypatch):
     assert [neighbours.lists_for(n) for n in (1, 1600, 1 << 24, 1 << 28, 1 << 40)] == [1, 10, 1024, 4096, neighbours.MOST_LISTS]
     assert neighbours.sample_rows(1000, 64) == neighbours.SAMPLE and neighbours.sample_rows(1 << 40, 64) == neighbours.MOST_SAMPLE
