@@ -28,10 +28,14 @@ def enrich_dim(dim: DataFrame) -> DataFrame:
     }).drop("pack")
 
 
-def join_dim(fact: DataFrame, dim: DataFrame, config: Config = Config()) -> DataFrame:
-    """Fact left join dimension; the dimension is broadcast only if Spark's estimate of its size allows."""
-    size = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return fact.join(F.broadcast(dim) if size <= config.broadcast_bytes else dim, "pid", "left")
+def join_dim(fact: DataFrame, dim: DataFrame, rows: int, config: Config = Config()) -> DataFrame:
+    """Fact left join dimension, which is broadcast only if it is small. rows: those of the dimension.
+
+    A broadcast table is built on the driver. Spark's estimate of its size is that of compressed files, which
+    says little of the size in memory, so a larger dimension is kept from being broadcast by that estimate.
+    """
+    size = rows * dim._jdf.schema().defaultSize()
+    return fact.join(F.broadcast(dim) if size <= config.broadcast_bytes else dim.hint("merge"), "pid", "left")
 
 
 def quantity(order: Column, price: Column, revenue: Column) -> Column:
@@ -68,7 +72,7 @@ def one_row_each(dim: DataFrame, key: str = "pid") -> DataFrame:
 
 def prepare(fact: DataFrame, dim: DataFrame, config: Config = Config()) -> DataFrame:
     """The cleaned, joined rows with their split; days outside all splits have none. A product that occurs twice is an error."""
-    return join_dim(clean_fact(fact), enrich_dim(one_row_each(dim)), config).withColumn("split", split_of(F.col("day"), config))
+    return join_dim(clean_fact(fact), enrich_dim(one_row_each(dim)), dim.count(), config).withColumn("split", split_of(F.col("day"), config))
 
 
 def stage2() -> Column:

@@ -130,8 +130,8 @@ class Config:
     bins: int = 20
     cold_start_probability: float = 0.5
     cold_start_quantity: float = 1.0
-    #: The dimension is broadcast up to this many bytes, by Spark's own estimate of its size.
-    broadcast_bytes: int = 64 << 20
+    #: The dimension is broadcast up to this many bytes: its rows, counted, times the width of a row.
+    broadcast_bytes: int = 16 << 20
     paths: dict[str, str] = field(default_factory=dict)
 
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators import history, ordered, permute, screening
+from basketry.operators import clean, history, ordered, permute, screening
+from basketry.schema import Config
 
 
 @pytest.fixture
@@ -116,3 +117,13 @@ def test_every_value_is_dealt_once(spark, small_ranges):
         for f in "abc":
             assert collections.Counter(r[f"{f}__{k}"] for r in rows) == collections.Counter(r[f] for r in own)
     assert [r["c__0"] for r in rows] != [r["c__1"] for r in rows]
+
+
+def test_a_dimension_of_many_rows_is_not_broadcast_however_small_its_files_are(spark, tmp_path):
+    dim = spark.range(20_000).select(F.col("id").alias("pid"), *(F.lit("1").alias(c) for c in ("group", "content", "unit", "pharmForm", "campaignIndex")), *(F.lit(1).alias(c) for c in ("manufacturer", "genericProduct", "salesIndex", "category")), F.lit(1.0).alias("rrp"))
+    dim.coalesce(1).write.parquet(f"{tmp_path}/dim")
+    dim = spark.read.parquet(f"{tmp_path}/dim")
+    fact = spark.createDataFrame([(k, 30, k, 0, 1, 1.0, 1, 0, 0, 1.0, 0.0) for k in range(3)], "lineID long, day int, pid long, adFlag int, availability int, competitorPrice double, click int, basket int, order int, price double, revenue double")
+    plan = lambda limit: clean.prepare(fact, dim, Config(broadcast_bytes=limit))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(64 << 20)
+    assert "BroadcastHashJoin" not in plan(3 << 20)
