@@ -5,19 +5,26 @@ is the least such product that holds n places; a result outside 0..n-1 is permut
 inside. So every row sends its value of every feature straight to the row that gets it, without a
 sort or a join for each feature: the places come from one running count, all features of all rows are
 dealt in one exchange, and all of them are scored in one pass.
+
+Values travel in runs: a task packs what its rows send to a block of places, one array for each feature,
+and the block's task puts the values to their places. So the exchange has a record for a run of values,
+not for each value, and nothing is joined: the key of a place travels the same way.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import metrics
-from basketry.operators.models import score_classifier
+from basketry.operators.models import importances, score_classifier
 from basketry.operators.ordered import running, written
 
 #: Arithmetic is modulo this prime, so that products stay within 64 bits; more places than its square are not needed.
@@ -56,36 +63,134 @@ def permuted(place: Column, n: int, round_keys: Column) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a place did not come back")))
 
 
-def dealt(df: DataFrame, features: Sequence[str], key: str = "lineID", seed: int = 42, repeats: int = 1) -> DataFrame:
+def places_of(place: np.ndarray, n: int, round_keys: Sequence[int]) -> np.ndarray:
+    """The same for many places at once, in numpy."""
+
+    def mixed(x: np.ndarray, c: int) -> np.ndarray:
+        t = (x + c) % PRIME
+        return (t * t % PRIME * FACTOR + c) % PRIME
+
+    a, b = sides(n)
+
+    def network(x: np.ndarray) -> np.ndarray:
+        left, right = x // b, x % b
+        for r, c in enumerate(round_keys):
+            if r % 2 == 0:
+                left = (left + mixed(right, c)) % a
+            else:
+                right = (right + mixed(left, c)) % b
+        return left * b + right
+
+    out = network(place.astype(np.int64))
+    for _ in range(2, WALK + 1):
+        outside = np.flatnonzero(out >= n)
+        if not len(outside):
+            return out
+        out[outside] = network(out[outside])
+    if (out >= n).any():
+        raise ValueError("a place did not come back")
+    return out
+
+
+def _runs(values: pa.Array, to: np.ndarray, block_rows: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(block, places within it, values) for each block that gets some of the values."""
+    order = np.argsort(to, kind="stable")
+    places, sent = to[order], values.take(pa.array(order))
+    ends = np.flatnonzero(np.diff(places // block_rows)) + 1
+    for low, high in zip([0, *ends.tolist()], [*ends.tolist(), len(places)], strict=True):
+        block = int(places[low]) // block_rows
+        yield block, (places[low:high] - block * block_rows).astype("i4"), sent.slice(low, high - low)
+
+
+#: Places of a block, whose values one task puts in order at a time; rows that a task packs at a time.
+BLOCK_ROWS, PACKED_ROWS = 16_384, 131_072
+
+
+def dealt(df: DataFrame, features: Sequence[str], key: str = "lineID", seed: int = 42, repeats: int = 1, stay: Sequence[str] = (), among: Sequence[str] | None = None) -> DataFrame:
     """key, and for each repeat k and feature f a column `f__k`: the value that the row gets from another. Keys are unique.
 
     Each feature has a permutation of its own; nulls are dealt like other values.
+    stay: columns that each row keeps. among: the list in which the place of a feature chooses its permutation; the features, unless given.
     """
-    rows = written(df.select(key, *(F.col(f) for f in features if f != key)).withColumn("__one", F.lit(1).cast("long")))
+    among = list(features if among is None else among)
+    taken = list(dict.fromkeys([key, *stay, *features]))
+    rows = written(df.select(*taken).withColumn("__one", F.lit(1).cast("long")))
     n = rows.count()
-    placed = running(rows, key, {"__place": "__one"})
-    texts = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
-    number = lambda k, f: k * len(features) + features.index(f)
-    every = [(k, f) for k in range(repeats) for f in features]
-    networks = F.array(*(F.struct(F.lit(number(k, f)).alias("j"), F.array(*(F.lit(c).cast("long") for c in round_keys(seed * 1000 + number(k, f)))).alias("keys")) for k, f in every))
-    numbers = F.array(*(F.lit(None).cast("double") if f in texts else F.col(f).cast("double") for f in features))
-    strings = F.array(*(F.col(f) if f in texts else F.lit(None).cast("string") for f in features))
-    at = lambda x: x["j"] % len(features)
-    sent = F.explode(F.transform(networks, lambda x: F.struct(permuted(F.col("__place"), n, x["keys"]).alias("to"), x["j"].alias("j"), F.get(numbers, at(x)).alias("d"), F.get(strings, at(x)).alias("s")))).alias("x")
-    # One row for each place and feature.
-    held = lambda k, f: F.max(F.when(F.col("x.j") == number(k, f), F.col("x.s" if f in texts else "x.d"))).cast(df.schema[f].dataType).alias(f"{f}__{k}")
-    got = placed.select(sent).groupBy(F.col("x.to").alias("__to")).agg(*(held(k, f) for k, f in every))
-    return placed.select(key, "__place").join(got, F.col("__place") == F.col("__to")).drop("__place", "__to")
+    placed = running(rows, key, {"__place": "__one"}).select("__place", *taken)
+    # A column of the result: its source, its name and the key of its permutation; what stays has none.
+    made = [(c, c, None) for c in dict.fromkeys([key, *stay])]
+    made += [(f, f"{f}__{k}", seed * 1000 + k * len(among) + among.index(f)) for k in range(repeats) for f in features]
+    kinds = {f.name: f.dataType for f in df.schema}
+    texts = {c for c in taken if kinds[c].simpleString() == "string"}
+    longs = {c for c in taken if kinds[c].simpleString() in ("bigint", "int", "smallint", "tinyint")}
+    block_rows, packed_rows = BLOCK_ROWS, PACKED_ROWS
+    columns = ("d", "i", "s")
+    kind_of = {c: "s" if c in texts else "i" if c in longs else "d" for c in taken}
+    arrow = {"d": pa.float64(), "i": pa.int64(), "s": pa.string()}
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            place = table.column("__place").to_numpy()
+            for j, (source, _, seeded) in enumerate(made):
+                kind = kind_of[source]
+                values = table.column(source).combine_chunks().cast(arrow[kind])
+                to = place if seeded is None else places_of(place, n, round_keys(seeded))
+                found = list(_runs(values, to, block_rows))
+                ends = pa.array(np.cumsum([0, *(len(p) for _, p, _ in found)]).astype("i4"))
+                lists = {c: pa.nulls(len(found), pa.list_(arrow[c])) for c in columns}
+                lists[kind] = pa.ListArray.from_arrays(ends, pa.concat_arrays([v for _, _, v in found]))
+                at = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p for _, p, _ in found])))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in found], pa.int64()), pa.array([j] * len(found), pa.int32()), at, *(lists[c] for c in columns)], names=["block", "j", "at", *columns])
+
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size >= packed_rows:
+                yield from out(held)
+                held, size = [], 0
+        if size:
+            yield from out(held)
+
+    def put(table: pa.Table) -> pa.Table:
+        out = []
+        for j, (source, _, _) in enumerate(made):
+            mine = table.filter(pc.equal(table.column("j"), j))
+            flat = lambda c: pa.concat_arrays([x.flatten() for x in mine.column(c).chunks])  # noqa: E731, B023
+            order = np.argsort(flat("at").to_numpy())
+            out.append(flat(kind_of[source]).take(pa.array(order)))
+        return pa.table(out, names=[name for _, name, _ in made])
+
+    wide = ", ".join(f"`{name}` {'string' if kind_of[source] == 's' else 'bigint' if kind_of[source] == 'i' else 'double'}" for source, name, _ in made)
+    runs = placed.mapInArrow(packed, "block long, j int, at array<int>, d array<double>, i array<long>, s array<string>")
+    got = runs.groupBy("block").applyInArrow(put, wide)
+    return got.select(*(F.col(name).cast(kinds[source]).alias(name) for source, name, _ in made))
+
+
+def used_by(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> list[str]:
+    """The features that the model's trees split by, or that have a coefficient; all, if that cannot be told. No other feature can change a score."""
+    last = model.stages[-1]
+    total = float(last.featureImportances.toArray().sum() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray()).sum())
+    # A row for each feature.
+    found = {r["feature"]: r["importance"] for r in importances(model, df, features).collect()}
+    return [f for f in features if found[f] > 0] if math.isclose(sum(found.values()), total, rel_tol=1e-9) else list(features)
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str = "order", seed: int = 42, key: str = "lineID", repeats: int = 3) -> DataFrame:
-    """feature, auc_loss (the mean over the repeats of what the area under the curve loses when the feature is dealt anew) and its standard deviation."""
-    both = df.select(key, target, *(f for f in features if f not in (key, target))).join(dealt(df, features, key, seed, repeats), key)
-    variants = F.explode(F.array(F.struct(F.lit("").alias("f"), F.lit(0).alias("k")), *(F.struct(F.lit(f).alias("f"), F.lit(k).alias("k")) for k in range(repeats) for f in features)))
+    """feature, auc_loss (the mean over the repeats of what the area under the curve loses when the feature is dealt anew) and its standard deviation.
+
+    Features that the model does not use lose nothing, whatever they are dealt; only the others are dealt and scored.
+    """
+    used = used_by(model, df, features)
+    both = dealt(df, used, key, seed, repeats, stay=[target, *features], among=features)
+    variants = F.explode(F.array(F.struct(F.lit("").alias("f"), F.lit(0).alias("k")), *(F.struct(F.lit(f).alias("f"), F.lit(k).alias("k")) for k in range(repeats) for f in used)))
     rows = both.withColumn("__v", variants)
-    changed = {f: F.coalesce(*(F.when((F.col("__v.f") == f) & (F.col("__v.k") == k), F.struct(F.col(f"{f}__{k}").alias("x"))) for k in range(repeats)), F.struct(F.col(f).alias("x")))["x"] for f in features}
+    changed = {f: F.coalesce(*(F.when((F.col("__v.f") == f) & (F.col("__v.k") == k), F.struct(F.col(f"{f}__{k}").alias("x"))) for k in range(repeats)), F.struct(F.col(f).alias("x")))["x"] for f in used}
     scored = score_classifier(model, rows.withColumns(changed).select(target, *features, F.col("__v.f").alias("feature"), F.col("__v.k").alias("repeat")), features, target, keep=["feature", "repeat"])
     areas = written(metrics.roc_auc(scored, ["feature", "repeat"]))
     base = areas.where("feature = ''").select(F.col("roc_auc").alias("__base"))
     loss = F.col("__base") - F.col("roc_auc")
-    return areas.where("feature <> ''").join(F.broadcast(base)).groupBy("feature").agg(F.avg(loss).alias("auc_loss"), F.stddev_pop(loss).alias("auc_loss_std"))
+    out = areas.where("feature <> ''").join(F.broadcast(base)).groupBy("feature").agg(F.avg(loss).alias("auc_loss"), F.stddev_pop(loss).alias("auc_loss_std"))
+    rest = df.sparkSession.createDataFrame([(f,) for f in features if f not in used], "feature string")
+    none = F.col("__base") - F.col("__base")
+    return out.unionByName(rest.join(F.broadcast(base)).select("feature", none.alias("auc_loss"), none.alias("auc_loss_std")))

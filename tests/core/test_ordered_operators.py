@@ -127,3 +127,20 @@ def test_a_dimension_of_many_rows_is_not_broadcast_however_small_its_files_are(s
     plan = lambda limit: clean.prepare(fact, dim, Config(broadcast_bytes=limit))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan(64 << 20)
     assert "BroadcastHashJoin" not in plan(3 << 20)
+
+
+def test_values_are_dealt_in_runs_without_a_join(spark, monkeypatch):
+    """Small blocks and packs give the places of the network, by a plan that has one record for a run and joins nothing."""
+    monkeypatch.setattr(permute, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(permute, "PACKED_ROWS", 11)
+    df = spark.createDataFrame([(k * 3, f"t{k}" if k % 6 else None, k / 2) for k in range(60)], "lineID long, b string, c double").repartition(3)
+    got = permute.dealt(df, ["b", "c"], seed=9, stay=["c"])
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(got.collect(), key=lambda r: r["lineID"])
+    assert [r["c"] for r in rows] == [k / 2 for k in range(60)]
+    for j, f in enumerate(("b", "c")):
+        keys = permute.round_keys(9000 + j)
+        to = permute.places_of(np.arange(60), 60, keys)
+        plain = spark.range(60).select(permute.permuted(F.col("id"), 60, F.array(*(F.lit(k).cast("long") for k in keys))).alias("to"))
+        assert to.tolist() == [r["to"] for r in plain.collect()]
+        assert [rows[p][f"{f}__0"] for p in to] == [(f"t{k}" if k % 6 else None) if f == "b" else k / 2 for k in range(60)]
