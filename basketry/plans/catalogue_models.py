@@ -165,17 +165,11 @@ def permutation_deal(spark, sf):
     return got.select("lineID", *(F.col(f"{c}__0").alias(c) for c in _DEALT))
 
 
-def _streamed(spark, df, folder: str):
-    """The rows that a stream gives, run to its end."""
-    q = df.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/out")
-
+def _replayed(spark, sf, folder: str, plan, batches: int = 4):
+    """What `plan` makes of all events as a stream of several batches, out of order: an event arrives up to two days after its time.
 
-def _replayed(spark, sf, folder: str, batches: int = 4):
-    """All events as a stream of several batches, out of order: an event arrives up to two days after its time.
-
-    The last batch brings a row of a much later time, so that the watermark passes all events.
+    The last batch brings a row of a much later time, so that the watermark passes all events. A batch is as
+    many files as tasks have written; the stream goes on from its checkpoint after each, so it takes them in this order.
     """
     events = adapter.table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     arrival = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86400))
@@ -183,28 +177,29 @@ def _replayed(spark, sf, folder: str, batches: int = 4):
     ends = timed.agg(F.min("arrival"), F.max("arrival")).first()
     low, high = ends[0] or 0, ends[1] or 0
     part = F.least(F.lit(batches - 1), F.floor((F.col("arrival") - low) * batches / max(1, high - low + 1)))
-    # One file for each batch; the next is written after it, so that the stream takes them in this order.
-    for k in range(batches):
-        timed.where(part == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     last = spark.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c != "ts"), F.lit(high + 365 * 86400).cast("timestamp").alias("ts")).select(*events.columns)
-    last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for rows in (*(timed.where(part == k).drop("arrival") for k in range(batches)), last):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        df = plan(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
+        q = df.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
+        q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 @query("", """SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') + INTERVAL '7 days' AS window_end, count(*) AS n_events, avg(CAST(event_type = 'purchase' AS DOUBLE)) AS order_rate FROM events GROUP BY ALL""", "order_rate")
 def streaming_windows(spark, sf):
     folder = f"{shared_dir(spark)}/stream-windows-{uuid.uuid4().hex}"
-    return _streamed(spark, blocks.windowed_rates(_replayed(spark, sf, folder), late="3 days"), folder)
+    return _replayed(spark, sf, folder, lambda rows: blocks.windowed_rates(rows, late="3 days"))
 
 
 @query("", """SELECT event_id, user_id, count(*) OVER w AS earlier_events, CAST(coalesce(sum(CAST(event_type = 'purchase' AS BIGINT)) OVER w, 0) AS BIGINT) AS earlier_orders FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def streaming_history(spark, sf):
     folder = f"{shared_dir(spark)}/stream-history-{uuid.uuid4().hex}"
-    return _streamed(spark, blocks.running_history(_replayed(spark, sf, folder), late="3 days"), folder).where("kind = 'in order'").select("event_id", "user_id", "earlier_events", "earlier_orders")
+    return _replayed(spark, sf, folder, lambda rows: blocks.running_history(rows, late="3 days")).where("kind = 'in order'").select("event_id", "user_id", "earlier_events", "earlier_orders")
 
 
 @query("", """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '5 days' AS session_end, count(*) AS n_events, count(*) FILTER (event_type = 'purchase') AS n_orders FROM (
 SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL '5 days', true) AS fresh FROM events)) GROUP BY user_id, s""")
 def streaming_sessions(spark, sf):
     folder = f"{shared_dir(spark)}/stream-sessions-{uuid.uuid4().hex}"
-    return _streamed(spark, blocks.sessions(_replayed(spark, sf, folder), late="3 days", gap="5 days"), folder).where("n_events > 0")
+    return _replayed(spark, sf, folder, lambda rows: blocks.sessions(rows, late="3 days", gap="5 days")).where("n_events > 0")

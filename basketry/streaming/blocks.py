@@ -1,8 +1,9 @@
 """Event time per key and by window: rows are held until the watermark has passed them, then handled in the order of time.
 
 The history of a key needs its rows in order, whatever the order in which batches bring them. So the
-state of a key holds the rows that the watermark has not passed; once it has, they are counted and
-emitted by time, and the state keeps two counts and the last session. Rows that come after the
+state holds the rows that the watermark has not passed; once it has, they are counted and emitted by
+time, and the state keeps two counts and the last session of each key. Keys share a state by a hash of
+BUCKETS values, so a batch has as many calls as there are buckets and not as keys, each over arrays. Rows that come after the
 watermark has passed their time are emitted as late, without counts. State is bounded by what comes
 within the delay, and by the idle time after which a key is forgotten.
 """
@@ -12,14 +13,17 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HISTORY = "event_id long, user_id long, ts timestamp, kind string, earlier_events long, earlier_orders long, session_start timestamp"
-#: Counts of what was emitted, the last time and the start of its session in microseconds, and the held rows.
-STATE = "n long, orders long, last long, session long, held_ts array<long>, held_id array<long>, held_order array<long>"
+#: Buckets of users, each with one state.
+BUCKETS = 256
+#: For each user: counts of what was emitted, the last time and the start of its session in microseconds; and the held rows.
+STATE = "users array<long>, n array<long>, orders array<long>, last array<long>, session array<long>, held_user array<long>, held_ts array<long>, held_id array<long>, held_order array<long>"
 
 
 def windowed_rates(events: DataFrame, late: str = "1 day", width: str = "7 days", slide: str | None = None) -> DataFrame:
@@ -39,50 +43,64 @@ def sessions(events: DataFrame, late: str = "1 day", gap: str = "1 day") -> Data
     return g.agg(F.count("event_id").alias("n_events"), F.count_if(F.col("event_type") == "purchase").alias("n_orders")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "n_orders")
 
 
-def _micros(x: pd.Series) -> list[int]:
-    return x.astype("datetime64[us]").astype("int64").tolist()
+def _arrays(b: pd.DataFrame) -> np.ndarray:
+    """Four rows of numbers: user, time in microseconds, event, order."""
+    return np.array([b["user_id"].to_numpy("int64"), b["ts"].astype("datetime64[us]").astype("int64").to_numpy(), b["event_id"].to_numpy("int64"), (b["event_type"] == "purchase").to_numpy("int64")])
 
 
 def _in_order(gap: int, idle: int | None):
-    """The state function. gap, idle: microseconds."""
+    """The state function of a bucket. gap, idle: microseconds."""
 
-    def rows(key: int, found: list[tuple], kind: str) -> pd.DataFrame:
-        """found: (ts, event_id, earlier events, earlier orders, session start)."""
-        cols = list(zip(*found, strict=True)) or [()] * 5
-        time = lambda x: pd.to_datetime(pd.Series(x, dtype="Int64"), unit="us")
-        return pd.DataFrame({"event_id": pd.Series(cols[1], dtype="int64"), "user_id": key, "ts": time(cols[0]), "kind": kind, "earlier_events": pd.Series(cols[2], dtype="Int64"), "earlier_orders": pd.Series(cols[3], dtype="Int64"), "session_start": time(cols[4])})
+    def rows(found: np.ndarray, kind: str, events=None, orders=None, session=None) -> pd.DataFrame:
+        time = lambda x: pd.to_datetime(pd.Series(x), unit="us")
+        count = lambda x: pd.array([pd.NA] * found.shape[1] if x is None else x, dtype="Int64")
+        start = pd.Series([pd.NaT] * found.shape[1], dtype="datetime64[us]") if session is None else time(session)
+        return pd.DataFrame({"event_id": found[2], "user_id": found[0], "ts": time(found[1]), "kind": kind, "earlier_events": count(events), "earlier_orders": count(orders), "session_start": start})
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, orders, last, session, *held = state.get if state.exists else (0, 0, None, None, [], [], [])
-        pending = list(zip(*held, strict=True))
+        kept = [np.array(x, dtype="int64") for x in (state.get if state.exists else ([],) * 9)]
+        known, held = np.array(kept[:5]), np.array(kept[5:])
         passed = state.getCurrentWatermarkMs() * 1000
-        late = []
-        for b in batches:
-            new = zip(_micros(b["ts"]), b["event_id"].tolist(), (b["event_type"] == "purchase").astype(int).tolist(), strict=True)
-            for r in new:
-                late.append((r[0], r[1], None, None, None)) if r[0] < passed else pending.append(r)
-        pending.sort()
-        done = []
-        for ts, event, order in pending:
-            if ts >= passed:
-                break
-            session = ts if last is None or ts - last >= gap else session
-            done.append((ts, event, n, orders, session))
-            n, orders, last = n + 1, orders + order, ts
-        pending = pending[len(done) :]
-        if done:
-            yield rows(key[0], done, "in order")
-        if late:
-            yield rows(key[0], late, "late")
-        if not pending and idle is not None and (last is None or last + idle < passed):
+        new = np.concatenate([np.empty((4, 0), "int64"), *(_arrays(b) for b in batches)], axis=1)
+        late = new[:, new[1] < passed]
+        pending = np.concatenate([held, new[:, new[1] >= passed]], axis=1)
+        pending = pending[:, np.lexsort(pending[[3, 2, 1, 0]])]
+        done, pending = pending[:, pending[1] < passed], pending[:, pending[1] >= passed]
+        if done.shape[1]:
+            user, ts, _, order = done
+            every = np.union1d(known[0], user)
+            was = np.zeros((5, len(every)), "int64")
+            was[0] = every
+            was[:, np.searchsorted(every, known[0])] = known
+            _, n, orders, last, session = was[:, np.searchsorted(every, user)]
+            first = np.append(True, user[1:] != user[:-1])
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(user)), 0))
+            events = n + np.arange(len(user)) - begin
+            before = np.cumsum(order) - order
+            earlier = orders + before - before[begin]
+            previous = np.where(first, last, np.append(0, ts[:-1]))
+            fresh = (events == 0) | (ts - previous >= gap)
+            marks = np.maximum.accumulate(np.where(fresh | first, np.arange(len(user)), 0))
+            started = np.where(fresh, ts, session)[marks]
+            yield rows(done, "in order", events, earlier, started)
+            ends = np.append(first[1:], True)
+            was[1:, np.searchsorted(every, user[ends])] = np.array([events + 1, earlier + order, ts, started])[:, ends]
+            known = was
+        if late.shape[1]:
+            yield rows(late, "late")
+        waiting = np.isin(known[0], pending[0])
+        if idle is not None:
+            stays = waiting | (known[3] + idle >= passed)
+            known, waiting = known[:, stays], waiting[stays]
+        if not known.shape[1] and not pending.shape[1]:
             if state.exists:
                 state.remove()
             return
-        state.update((n, orders, last, session, *([r[c] for r in pending] for c in range(3))))
+        state.update(tuple(x.tolist() for x in (*known, *pending)))
         # Timers are in milliseconds, and lie ahead of the watermark.
-        if pending or idle is not None:
-            wake = pending[0][0] if pending else last + idle
-            state.setTimeoutTimestamp(max(wake // 1000 + 1, passed // 1000 + 1))
+        wakes = [*pending[1].tolist(), *([] if idle is None else (known[3, ~waiting] + idle).tolist())]
+        if wakes:
+            state.setTimeoutTimestamp(max(min(wakes) // 1000 + 1, passed // 1000 + 1))
 
     return run
 
@@ -110,4 +128,5 @@ def running_history(events: DataFrame, late: str = "1 day", gap: datetime.timede
     both = events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null").select(F.explode(parts).alias("x")).select("x.*")
     # This condition alone: another would be moved before the watermark, and the ticks with it.
     held = both.withWatermark("mark", late).where("mark is null")
-    return held.groupBy("user_id").applyInPandasWithState(_in_order(_microseconds(gap), _microseconds(idle)), HISTORY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    bucketed = held.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)))
+    return bucketed.groupBy("bucket").applyInPandasWithState(_in_order(_microseconds(gap), _microseconds(idle)), HISTORY, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -72,3 +72,12 @@ def test_sessions_and_windows(stream):
     assert {tuple(r) for r in got if r["user_id"]} == {(1, at(0), at(1, 10), 2, 1), (1, at(3), at(4), 1, 0), (2, at(1), at(2), 1, 0)}
     windows, _ = stream([rows, [(5, 1, at(30), "click")], [(7, 1, at(31), "click")], [(6, 1, at(2), "click")], END], lambda s: blocks.windowed_rates(s, late="1 day", width="7 days"))
     assert sum(r["n_events"] for r in windows) == 6  # the click of day 2 was too late for its window
+
+
+def test_users_share_states(stream):
+    """A state for each user made the time of a batch grow with the users."""
+    rows = [(k, k % 900, at(k % 11), "purchase") for k in range(1800)]
+    got, q = stream([rows[::2], rows[1::2], END], lambda s: blocks.running_history(s, late="30 days"))
+    assert len(got) == 1800 and {r["earlier_events"] for r in got} == {0, 1}
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(sizes) <= 256
