@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators import clean, history, ordered, permute, screening
+from basketry.operators import clean, history, models, ordered, permute, screening
 from basketry.schema import Config
 
 
@@ -144,3 +144,12 @@ def test_values_are_dealt_in_runs_without_a_join(spark, monkeypatch):
         plain = spark.range(60).select(permute.permuted(F.col("id"), 60, F.array(*(F.lit(k).cast("long") for k in keys))).alias("to"))
         assert to.tolist() == [r["to"] for r in plain.collect()]
         assert [rows[p][f"{f}__0"] for p in to] == [(f"t{k}" if k % 6 else None) if f == "b" else k / 2 for k in range(60)]
+
+
+def test_only_features_that_the_model_uses_are_dealt(spark, monkeypatch):
+    df = spark.createDataFrame([(k, k * 37 % 100 / 100, 1.0, int(k * 37 % 100 >= 50)) for k in range(300)], "lineID long, a double, b double, `order` int").coalesce(1)
+    model = models.fit_classifier(df, ["b", "a"], "boosted")
+    asked, plain = [], permute.dealt
+    monkeypatch.setattr(permute, "dealt", lambda df, features, *rest, **named: asked.append(list(features)) or plain(df, features, *rest, **named))
+    got = {r["feature"]: r for r in permute.permutation_importance(model, df, ["b", "a"]).collect()}
+    assert asked == [["a"]] and got["b"]["auc_loss"] == 0 and got["b"]["auc_loss_std"] == 0 and 0.3 < got["a"]["auc_loss"] < 0.7
