@@ -7,10 +7,10 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, OneHotEncoderModel, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators import metrics
@@ -151,6 +151,24 @@ def score_classifier(model: PipelineModel, df: DataFrame, features: Sequence[str
     return model.transform(_ready(df, features)).select(*keep, F.col(target).cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
 
 
+def numbered(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, dict[str, str], list]:
+    """df with a number for each feature, the names of these columns, and the stages that come after them."""
+    first = next(k for k, s in enumerate(model.stages) if isinstance(s, (OneHotEncoderModel, VectorAssembler)))
+    _, texts = split_types(df, features)
+    columns = {f: f"{f}__{'s' if f in texts else 'i'}" for f in features}
+    return PipelineModel(model.stages[:first]).transform(_ready(df, features)), columns, model.stages[first:]
+
+
+def with_vector(stages: Sequence, df: DataFrame, numbers: Mapping[str, Column], name: str) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """df with the vector, as an array, that the stages after `numbered` and before the model make of numbers (feature: column), and where a feature lies in it: its first place and how many."""
+    wide = PipelineModel(list(stages)).transform(df.select("*", *numbers.values()))
+    at, places = 0, {}
+    for c in next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols():
+        places[c.rpartition("__")[0]] = at, (n := wide.schema[c].metadata["ml_attr"]["num_attrs"] if c.endswith("__h") else 1)
+        at += n
+    return wide.select(*df.columns, vector_to_array("features").alias(name)), places
+
+
 def fit_regressor(train: DataFrame, features: Sequence[str], kind: str, target: str = "quantity") -> PipelineModel:
     ready = with_validation(_ready(train, features).withColumn("log_target", F.log1p(target)))
     linear = kind in ("ridge", "lasso", "elastic_net")

@@ -20,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import metrics
-from basketry.operators.models import importances, score_classifier
+from basketry.operators.models import importances, numbered, with_vector
 from basketry.operators.ordered import running, written
 
 #: Arithmetic is modulo this prime, so that products stay within 64 bits; more places than its square are not needed.
@@ -102,8 +103,10 @@ def _runs(values: pa.Array, to: np.ndarray, block_rows: int) -> Iterator[tuple[i
         yield block, (places[low:high] - block * block_rows).astype("i4"), sent.slice(low, high - low)
 
 
-#: Places of a block, whose values one task puts in order at a time; rows that a task packs at a time.
+#: Places of a block at most, whose values one task puts in order at a time; rows that a task packs at a time.
 BLOCK_ROWS, PACKED_ROWS = 16_384, 131_072
+#: Blocks of fewer places are made of few rows, so that there are so many of them; tasks that put blocks in order at most.
+BLOCKS, LEAST_BLOCK, MOST_TASKS = 64, 1024, 4096
 
 
 def dealt(df: DataFrame, features: Sequence[str], key: str = "lineID", seed: int = 42, repeats: int = 1, stay: Sequence[str] = (), among: Sequence[str] | None = None) -> DataFrame:
@@ -123,7 +126,7 @@ def dealt(df: DataFrame, features: Sequence[str], key: str = "lineID", seed: int
     kinds = {f.name: f.dataType for f in df.schema}
     texts = {c for c in taken if kinds[c].simpleString() == "string"}
     longs = {c for c in taken if kinds[c].simpleString() in ("bigint", "int", "smallint", "tinyint")}
-    block_rows, packed_rows = BLOCK_ROWS, PACKED_ROWS
+    block_rows, packed_rows = min(BLOCK_ROWS, max(LEAST_BLOCK, -(-n // BLOCKS))), PACKED_ROWS
     columns = ("d", "i", "s")
     kind_of = {c: "s" if c in texts else "i" if c in longs else "d" for c in taken}
     arrow = {"d": pa.float64(), "i": pa.int64(), "s": pa.string()}
@@ -163,7 +166,8 @@ def dealt(df: DataFrame, features: Sequence[str], key: str = "lineID", seed: int
 
     wide = ", ".join(f"`{name}` {'string' if kind_of[source] == 's' else 'bigint' if kind_of[source] == 'i' else 'double'}" for source, name, _ in made)
     runs = placed.mapInArrow(packed, "block long, j int, at array<int>, d array<double>, i array<long>, s array<string>")
-    got = runs.groupBy("block").applyInArrow(put, wide)
+    # The number is given, so that blocks, of little size before what follows multiplies their rows, are not put together into a few tasks.
+    got = runs.repartition(min(MOST_TASKS, -(-n // block_rows) or 1), "block").groupBy("block").applyInArrow(put, wide)
     return got.select(*(F.col(name).cast(kinds[source]).alias(name) for source, name, _ in made))
 
 
@@ -180,13 +184,25 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     """feature, auc_loss (the mean over the repeats of what the area under the curve loses when the feature is dealt anew) and its standard deviation.
 
     Features that the model does not use lose nothing, whatever they are dealt; only the others are dealt and scored.
+    Each feature is made a number once for a row, before the deal; a row's vectors are assembled once for each repeat. So a variant
+    of a row costs an exchange of places in its vector and its score. The stages must treat each feature by itself, as those of `models.preparation` do.
     """
     used = used_by(model, df, features)
-    both = dealt(df, used, key, seed, repeats, stay=[target, *features], among=features)
-    variants = F.explode(F.array(F.struct(F.lit("").alias("f"), F.lit(0).alias("k")), *(F.struct(F.lit(f).alias("f"), F.lit(k).alias("k")) for k in range(repeats) for f in used)))
-    rows = both.withColumn("__v", variants)
-    changed = {f: F.coalesce(*(F.when((F.col("__v.f") == f) & (F.col("__v.k") == k), F.struct(F.col(f"{f}__{k}").alias("x"))) for k in range(repeats)), F.struct(F.col(f).alias("x")))["x"] for f in used}
-    scored = score_classifier(model, rows.withColumns(changed).select(target, *features, F.col("__v.f").alias("feature"), F.col("__v.k").alias("repeat")), features, target, keep=["feature", "repeat"])
+    rows, number, (*assembly, last) = numbered(model, df, features)
+    rows = rows.select(key, target, *(F.col(c).alias(f) for f, c in number.items()))
+    both = dealt(rows, used, key, seed, repeats, stay=[target, *features], among=features)
+    # The vector of a row, and for each repeat the one that has every feature dealt anew.
+    both, places = with_vector(assembly, both, {f: F.col(f).alias(c) for f, c in number.items()}, "__own")
+    for k in range(repeats):
+        both, _ = with_vector(assembly, both, {f: F.col(f"{f}__{k}" if f in used else f).alias(c) for f, c in number.items()}, f"__{k}")
+    rows = both.select(target, F.col("__own").alias("own"), F.array(*(f"__{k}" for k in range(repeats))).alias("anew"))
+    variants = [("", 0, 0, 0), *((f, k, *places[f]) for k in range(repeats) for f in used)]
+    v = F.explode(F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(one, ("feature", "repeat", "at", "n"), strict=True))) for one in variants)))
+    at, n, own = F.col("at"), F.col("n"), F.col("own")
+    # Arrays, since a plan that has columns for all features is too long to be compiled to machine code.
+    vector = F.concat(F.slice(own, F.lit(1), at), F.slice(F.get("anew", F.col("repeat")), at + 1, n), F.slice(own, at + n + 1, F.size(own)))
+    each = rows.select("*", v.alias("v")).select(target, "own", "anew", "v.*").select("feature", "repeat", target, array_to_vector(vector).alias("features"))
+    scored = last.transform(each).select("feature", "repeat", F.col(target).cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
     areas = written(metrics.roc_auc(scored, ["feature", "repeat"]))
     base = areas.where("feature = ''").select(F.col("roc_auc").alias("__base"))
     loss = F.col("__base") - F.col("roc_auc")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators import clean, history, models, ordered, permute, screening
+from basketry.operators import clean, history, metrics, models, ordered, permute, screening
 from basketry.schema import Config
 
 
@@ -153,3 +153,30 @@ def test_only_features_that_the_model_uses_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(permute, "dealt", lambda df, features, *rest, **named: asked.append(list(features)) or plain(df, features, *rest, **named))
     got = {r["feature"]: r for r in permute.permutation_importance(model, df, ["b", "a"]).collect()}
     assert asked == [["a"]] and got["b"]["auc_loss"] == 0 and got["b"]["auc_loss_std"] == 0 and 0.3 < got["a"]["auc_loss"] < 0.7
+
+
+def test_rows_are_dealt_to_many_tasks_however_small_they_are(spark, monkeypatch):
+    monkeypatch.setattr(permute, "BLOCK_ROWS", 7)
+    df = spark.createDataFrame([(k, k / 2) for k in range(200)], "lineID long, c double").repartition(3)
+    assert permute.dealt(df, ["c"]).select(F.spark_partition_id().alias("p")).distinct().count() > 10
+
+
+@pytest.mark.parametrize("kind", ["boosted", "l1"])
+def test_a_variant_is_an_exchange_of_places_in_a_vector(spark, monkeypatch, kind):
+    """Features are made numbers and assembled before the rows are multiplied; the loss is that of the whole model on rows with dealt features."""
+    made = [(k, k * 37 % 100 / 100 if k % 11 else None, "xyz"[k % 3] if k % 5 else None, k % 7 / 7, int(k * 37 % 100 + 30 * (k % 3) + k % 13 >= 80)) for k in range(300)]
+    df = spark.createDataFrame(made, "lineID long, a double, t string, c double, `order` int").coalesce(1)
+    features, seen, plain = ["a", "t", "c"], [], metrics.roc_auc
+    model = models.fit_classifier(df, features, kind)
+    monkeypatch.setattr(metrics, "roc_auc", lambda scored, by=(): seen.append(scored) or plain(scored, by))
+    got = {r["feature"]: r for r in permute.permutation_importance(model, df, features, repeats=2).collect()}
+    above = seen[0]._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "t__" not in above and "a__" not in above
+    monkeypatch.undo()
+    rows = permute.dealt(df, features, repeats=2, stay=["order", *features])
+    area = lambda x: metrics.roc_auc(models.score_classifier(model, x, features)).first()[0]
+    base, used = area(df), permute.used_by(model, df, features)
+    assert {"a", "t"} <= set(used)
+    for f in used:
+        losses = [base - area(rows.withColumn(f, F.col(f"{f}__{k}"))) for k in range(2)]
+        assert got[f]["auc_loss"] == pytest.approx(np.mean(losses), abs=1e-9) and got[f]["auc_loss_std"] == pytest.approx(np.std(losses), abs=1e-9)
